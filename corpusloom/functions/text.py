@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -15,6 +16,15 @@ def _c(value: Cols) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``.
+
+    Needed wherever a computed value is used inside an array lambda: there it would otherwise be
+    evaluated again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def py_strip(text: Cols) -> Column:
     """Trim all leading and trailing whitespace, not only spaces."""
     return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
@@ -93,14 +103,13 @@ def words(text: Cols) -> Column:
 
 def shingles(word_array: Column, n: int = 3) -> Column:
     """Distinct n-word shingles as strings; a shorter text gives one shingle of all its words."""
-    size = F.size(word_array)
-    starts = F.sequence(F.lit(1), size - (n - 1))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice(word_array, i, n), " "))
-    return (
-        F.when(size >= n, F.array_distinct(windows))
-        .when(size > 0, F.array(F.array_join(word_array, " ")))
-        .otherwise(F.array().cast("array<string>"))
-    )
+
+    def body(ws: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1)))
+        windows = F.transform(starts, lambda i: F.array_join(F.slice(ws, i, n), " "))
+        return F.when(F.size(ws) > 0, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+
+    return let(word_array, body)
 
 
 def word_trigrams(text: Cols) -> Column:
@@ -109,9 +118,13 @@ def word_trigrams(text: Cols) -> Column:
 
 def trigram_recall(reference: Cols, chunk: Cols) -> Column:
     """Share of the reference's trigrams found in the chunk, for a pair already on one row."""
-    wanted = word_trigrams(reference)
-    found = F.size(F.array_intersect(wanted, word_trigrams(chunk)))
-    return F.when(F.size(wanted) > 0, found / F.size(wanted)).otherwise(F.lit(0.0))
+    pair = F.struct(word_trigrams(reference).alias("wanted"), word_trigrams(chunk).alias("held"))
+    return let(
+        pair,
+        lambda p: F.when(
+            F.size(p["wanted"]) > 0, F.size(F.array_intersect(p["wanted"], p["held"])) / F.size(p["wanted"])
+        ).otherwise(F.lit(0.0)),
+    )
 
 
 def search_terms(text: Cols) -> Column:

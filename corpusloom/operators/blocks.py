@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom import rules
 from corpusloom.functions import text as T
 from corpusloom.functions.markup import BLOCK
+from corpusloom.functions.text import let
 
 GRID = "array<array<string>>"
 LOCATED = BLOCK[:-1] + ",path:array<string>>"
@@ -27,11 +28,6 @@ CHUNK = (
 GROUP = "struct<blocks:array<int>,heading_path:array<string>,context:string,chunk_type:string>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 # --- normalization -------------------------------------------------------------------------------
 
 

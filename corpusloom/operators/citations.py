@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import rules
 from corpusloom.functions import citations as C
-from corpusloom.functions.text import py_strip, regex_literal
-from corpusloom.operators.blocks import let
+from corpusloom.functions.text import let, py_strip, regex_literal
 from corpusloom.operators.sections import carried_before
 
 VERDICT = "struct<sentence_id:int,attributed:array<int>,quote:string,supported:boolean,in_scope:boolean,action:string>"

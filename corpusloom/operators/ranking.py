@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom import rules
@@ -29,28 +29,30 @@ def top_k(
 
 
 def fused_contributions(dense: DataFrame, sparse: DataFrame) -> DataFrame:
-    """Both ranked lists as (query_id, chunk_id, dense_part, sparse_part) reciprocal-rank terms."""
+    """Both ranked lists side by side: (query_id, chunk_id, dense_part, sparse_part), 0 where absent."""
+    keys = ["query_id", "chunk_id"]
     part = F.lit(1.0) / (F.lit(rules.RRF_CONSTANT) + F.col("rank"))
-    none = F.lit(None).cast("double")
-    return dense.select("query_id", "chunk_id", part.alias("dense_part"), none.alias("sparse_part")).unionByName(
-        sparse.select("query_id", "chunk_id", none.alias("dense_part"), part.alias("sparse_part"))
+    joined = dense.select(*keys, part.alias("d")).join(sparse.select(*keys, part.alias("s")), keys, "full")
+    return joined.select(
+        *keys, F.coalesce("d", F.lit(0.0)).alias("dense_part"), F.coalesce("s", F.lit(0.0)).alias("sparse_part")
     )
 
 
+def _fused_score(alpha: Column) -> Column:
+    return rounded(alpha * F.col("dense_part") + (1 - alpha) * F.col("sparse_part"), 9).alias("score")
+
+
 def weighted_rrf(
     dense: DataFrame, sparse: DataFrame, alpha: float | None = None, k: int = rules.CANDIDATES
 ) -> DataFrame:
     """alpha/(60+rank) from the dense list plus (1-alpha)/(60+rank) from the sparse one.
 
-    ``None`` means the default weight.  A branch with weight zero contributes no rows, so 0 is pure
+    ``None`` means the default weight.  Rows of a branch with weight zero do not count, so 0 is pure
     keyword order and 1 pure vector order.
     """
-    a = rules.HYBRID_ALPHA if alpha is None else float(alpha)
-    parts = fused_contributions(dense, sparse)
-    weighted = parts.withColumn(
-        "w", F.coalesce(F.lit(a) * F.col("dense_part"), F.lit(1.0 - a) * F.col("sparse_part"))
-    ).filter(F.col("w") > 0)
-    return top_k(weighted.groupBy("query_id", "chunk_id").agg(rounded(F.sum("w"), 9).alias("score")), k)
+    a = F.lit(rules.HYBRID_ALPHA if alpha is None else float(alpha))
+    fused = fused_contributions(dense, sparse).select("query_id", "chunk_id", _fused_score(a))
+    return top_k(fused.filter(F.col("score") > 0), k)
 
 
 def alpha_sweep(
@@ -62,14 +64,8 @@ def alpha_sweep(
     """Fusion for every weight at once: the branches are ranked once, only their ranks are re-weighted."""
     grid = F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")
     parts = fused_contributions(dense, sparse).select("*", grid)
-    weight = F.coalesce(F.col("alpha") * F.col("dense_part"), (1 - F.col("alpha")) * F.col("sparse_part"))
-    fused = (
-        parts.withColumn("w", weight)
-        .filter(F.col("w") > 0)
-        .groupBy("alpha", "query_id", "chunk_id")
-        .agg(rounded(F.sum("w"), 9).alias("score"))
-    )
-    return top_k(fused, max_k, by=("alpha", "query_id"))
+    fused = parts.select("alpha", "query_id", "chunk_id", _fused_score(F.col("alpha")))
+    return top_k(fused.filter(F.col("score") > 0), max_k, by=("alpha", "query_id"))
 
 
 def pool(ranked: DataFrame, corpus: DataFrame, depth: int = rules.POOL_DEPTH) -> DataFrame:
