@@ -1 +1,51 @@
+"""Structured Streaming variants, driven over the test tables with an available-now trigger."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import register
+from catalog.data import CHUNKED, lined_blocks, table
+from corpusloom.session import scratch_path
+from corpusloom.streaming import ingest, usage
+
+
+def _stream(spark, sf, name):
+    """One table of the folder as a file stream with an explicit schema."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@register(
+    CHUNKED
+    + """ select doc_id, 'ready' as status, count(*) as chunk_count, sum(length(content))::bigint as n_chars from chunk_rows group by doc_id"""
+)
+def stream_ingest(spark, sf):
+    target, marks = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-checkpoint")
+
+    def to_blocks(df):
+        return df.withColumn("blocks", lined_blocks(F.col("text"))).withColumn("page_count", F.lit(1)).withColumn("has_content", F.lit(True))
+
+    ingest.stream_ingest(_stream(spark, sf, "documents"), to_blocks, target, marks, filename="source").awaitTermination()
+    chunks, status = ingest.read_ingested(spark, target)
+    sizes = chunks.groupBy("doc_id").agg(F.sum(F.char_length("content")).alias("n_chars"))
+    return status.join(sizes, "doc_id").select("doc_id", "status", "chunk_count", "n_chars")
+
+
+@register(
+    """select date_trunc('day', ts)::timestamp as window_start, count(*) as n_events, count(distinct user_id) as n_users from events
+    where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 1 hour group by 1"""
+)
+def stream_activity(spark, sf):
+    """Finished days only: a day is appended once the watermark has passed its end."""
+    target, marks = scratch_path(spark, "activity"), scratch_path(spark, "activity-checkpoint")
+    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    usage.stream_activity(events, target, marks).awaitTermination()
+    return spark.read.parquet(target).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_events", "n_users")
+
+
+@register("select user_id, max(ts) as ts, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type from events group by 1")
+def stream_latest(spark, sf):
+    target, marks = scratch_path(spark, "latest"), scratch_path(spark, "latest-checkpoint")
+    usage.stream_latest(_stream(spark, sf, "events"), target, marks, "user_id", ("ts", "event_id"), ("event_type",)).awaitTermination()
+    return usage.read_latest(spark, target, "user_id").select("user_id", "ts", "event_id", "event_type")
