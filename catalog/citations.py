@@ -29,7 +29,7 @@ def _answers(spark, sf):
 
 @register(f"with {_ANSWERS} select answer_id, id::int as id, text, delim from sentences")
 def split_sentences(spark, sf):
-    return _answers(spark, sf).select("answer_id", F.explode(C.split_sentences("answer")).alias("s")).select("answer_id", "s.id", "s.text", "s.delim")
+    return _answers(spark, sf).select("answer_id", F.explode_outer(C.split_sentences("answer")).alias("s")).select("answer_id", "s.id", "s.text", "s.delim")
 
 
 @register(f"with {_ANSWERS} select answer_id, len(regexp_extract_all(answer, '\\[(\\d+)\\]'))::int as n, array_to_string(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), ',') as cited from a")
@@ -48,7 +48,7 @@ _RECITED = rf"""case when regexp_matches({_BARE}, '[.!?…]+\s*$')
     rf"""with {_ANSWERS} select answer_id, id::int as id, {_RECITED} as recited, rtrim(regexp_replace({_BARE}, '\s\s+', ' ', 'g')) as bare from sentences"""
 )
 def recite(spark, sf):
-    rows = _answers(spark, sf).select("answer_id", F.explode(C.split_sentences("answer")).alias("s"))
+    rows = _answers(spark, sf).select("answer_id", F.explode_outer(C.split_sentences("answer")).alias("s"))
     return rows.select(
         "answer_id", "s.id", C.recite("s.text", F.array(F.lit(3), F.lit(1))).alias("recited"), C.recite("s.text", F.array().cast("array<int>")).alias("bare")
     )
@@ -118,7 +118,7 @@ _SPANS = """spans as (select answer_id, idx, list_distinct(list(trim(quote)) fil
 )
 def cited_sets(spark, sf):
     parsed = V.parse_verdicts(_replies(spark, sf)).filter(~F.col("verdict_error"))
-    rows = V.cited_sets(V.apply_verdicts(parsed)).select("answer_id", F.explode("cited_spans").alias("c"))
+    rows = V.cited_sets(V.apply_verdicts(parsed)).select("answer_id", F.explode_outer("cited_spans").alias("c")).filter("c is not null")
     return rows.select("answer_id", "c.index", F.array_join(F.array_sort("c.quotes"), "|").alias("quotes"))
 
 
@@ -140,7 +140,7 @@ def verification_failsafe(spark, sf):
     from s left join spans p on p.answer_id = s.answer_id and p.idx = s.index where failed or list_contains(cited, s.index)"""
 )
 def filter_sources(spark, sf):
-    rows = V.verify_answers(_replies(spark, sf)).select("answer_id", F.explode("sources").alias("s"))
+    rows = V.verify_answers(_replies(spark, sf)).select("answer_id", F.explode_outer("sources").alias("s")).filter("s is not null")
     return rows.select("answer_id", "s.index", "s.filename", F.array_join(F.array_sort("s.cited_spans"), "|").alias("cited_spans"))
 
 

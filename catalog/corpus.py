@@ -69,7 +69,7 @@ def read_parsed_pages(spark, sf):
     path = scratch_path(spark, "parsed-pages")
     _parsed_pages(spark, sf).write.json(path)
     docs = A.read_parsed_pages(spark, path, json_lines=True, keys="doc_id bigint")
-    page = docs.select("doc_id", F.posexplode("pages").alias("i", "p"))
+    page = docs.select("doc_id", F.posexplode_outer("pages").alias("i", "p"))
     n = F.aggregate("p.items", F.lit(0), lambda a, x: a + F.char_length(x["value"]))
     return page.select(
         "doc_id",
@@ -158,7 +158,7 @@ def append_chunks(spark, sf):
 )
 def normalize_blocks(spark, sf):
     docs = B.normalize_blocks(_parsed_pages(spark, sf))
-    return docs.select("doc_id", F.posexplode("blocks").alias("pos", "b")).select(
+    return docs.select("doc_id", F.posexplode_outer("blocks").alias("pos", "b")).select(
         "doc_id", "pos", "b.page_number", "b.type", "b.value", "b.md"
     )
 
@@ -185,7 +185,7 @@ def normalize_blocks(spark, sf):
 )
 def html_to_blocks(spark, sf):
     pages = table(spark, sf, "pages", "page_id", "html")
-    return pages.select("page_id", F.posexplode(markup.html_blocks("html")).alias("pos", "b")).select(
+    return pages.select("page_id", F.posexplode_outer(markup.html_blocks("html")).alias("pos", "b")).select(
         "page_id", "pos", "b.type", "b.level", "b.value", "b.md"
     )
 

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.markup import BLOCK, text_blocks
 from corpusloom.functions.text import count_tokens
-from corpusloom.sources.tables import read_table
+from corpusloom.sources.tables import read_table, spread_small
+
+
+TEXT_HEAVY = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    return read_table(spark, sf, name, columns or None)
+    rows = read_table(spark, sf, name, columns or None)
+    heavy = name in TEXT_HEAVY and (not columns or {"text", "html"} & set(columns))
+    return spread_small(rows) if heavy else rows
 
 
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import register
-from catalog.data import CHUNKED, lined_blocks, table
+from catalog.data import CHUNKED, lined_blocks
 from corpusloom.session import scratch_path
+from corpusloom.sources.tables import read_table
 from corpusloom.streaming import ingest, usage
 
 
 def _stream(spark, sf, name):
     """One table of the folder as a file stream with an explicit schema."""
-    schema = table(spark, sf, name).schema
+    schema = read_table(spark, sf, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Cols = Column | str
@@ -25,6 +25,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unnest(df: DataFrame, keep: Sequence[Cols], array: Cols, pos: str, value: str) -> DataFrame:
+    """One row per array element with its 0-based position.
+
+    The outer form is used on purpose: for the inner one Spark adds filters on the array's size below
+    the explode, which evaluates a computed array several times.
+    """
+    rows = df.select(*keep, F.posexplode_outer(_c(array)).alias(pos, value))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def py_strip(text: Cols) -> Column:
     """Trim all leading and trailing whitespace, not only spaces."""
     return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")

@@ -151,7 +151,7 @@ def located_blocks(blocks: Column) -> Column:
 
 def heading_path(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per block with its position and heading path."""
-    return docs.select(key, F.posexplode(located_blocks(F.col("blocks"))).alias("pos", "b")).select(
+    return T.unnest(docs, [key], located_blocks(F.col("blocks")), "pos", "b").select(
         key, "pos", "b.page_number", "b.type", "b.level", "b.value", "b.md", "b.rows", F.col("b.path").alias("heading_path")
     )
 
@@ -215,7 +215,7 @@ def segment_items(located: Column, region_max: int = rules.REGION_MAX_TOKENS) ->
 def segment_blocks(docs: DataFrame, key: str = "doc_id", region_max: int = rules.REGION_MAX_TOKENS) -> DataFrame:
     """One row per segment (tables excluded) with its page, heading path, token count and blocks."""
     items = F.filter(segment_items(located_blocks(F.col("blocks")), region_max), lambda x: ~x["is_table"])
-    return docs.select(key, F.posexplode(items).alias("segment_index", "s")).select(
+    return T.unnest(docs, [key], items, "segment_index", "s").select(
         key, "segment_index", "s.page_number", F.col("s.path").alias("heading_path"), "s.tokens", "s.blocks"
     )
 
@@ -253,7 +253,7 @@ def merge_blocks(segments: DataFrame, chunk_size: int = rules.CHUNK_SIZE) -> Dat
     """One row per merged piece of each segment."""
     texts = F.transform("blocks", lambda b: b["md"])
     keep = [c for c in segments.columns if c not in ("blocks", "tokens")]
-    return segments.select(*keep, F.posexplode(merged_texts(texts, chunk_size)).alias("piece_index", "content"))
+    return T.unnest(segments, keep, merged_texts(texts, chunk_size), "piece_index", "content")
 
 
 def grouping_gate(
@@ -274,24 +274,25 @@ def partition_problem(groups: Column, n_blocks: Column) -> Column:
     state = "struct<problem:string,seen:array<int>>"
     zero = F.struct(F.lit(None).cast("string").alias("problem"), F.array().cast("array<int>").alias("seen")).cast(state)
 
-    def step(s: Column, g: Column) -> Column:
+    def step(n: Column, s: Column, g: Column) -> Column:
         ids = g["blocks"]
         size = F.coalesce(F.size(ids), F.lit(0))
         first = F.get(ids, F.lit(0))
         problem = (
             F.when(s["problem"].isNotNull(), s["problem"])
             .when(size <= 0, "group without blocks")
-            .when(F.exists(ids, lambda i: (i < 0) | (i >= n_blocks)), "block out of range")
+            .when(F.exists(ids, lambda i: (i < 0) | (i >= n)), "block out of range")
             .when(F.exists(F.transform(ids, lambda x, j: x - first - j), lambda d: d != 0), "blocks not consecutive")
             .when(F.arrays_overlap(s["seen"], ids), "block in several groups")
         )
         return F.struct(problem.alias("problem"), F.concat(s["seen"], F.coalesce(ids, F.array().cast("array<int>"))).alias("seen")).cast(state)
 
-    def finish(s: Column) -> Column:
-        return F.coalesce(s["problem"], F.when(F.size(s["seen"]) != n_blocks, F.lit("blocks not covered")))
+    def check(n: Column) -> Column:
+        finish = lambda s: F.coalesce(s["problem"], F.when(F.size(s["seen"]) != n, F.lit("blocks not covered")))
+        return F.aggregate(groups, zero, lambda s, g: step(n, s, g), finish)
 
     empty = F.coalesce(F.size(groups), F.lit(0)) <= 0
-    return F.when(empty, F.lit("no groups")).otherwise(F.aggregate(groups, zero, step, finish))
+    return F.when(empty, F.lit("no groups")).otherwise(let(n_blocks, check))
 
 
 def validate_partition(proposals: DataFrame, groups: str = "groups", n_blocks: str = "n_blocks") -> DataFrame:
@@ -338,7 +339,7 @@ def assemble_groups(
         F.transform("blocks", lambda b: b["md"]), F.col("heading_path"), F.col("page_number"), name, F.lit(None).cast("string"), chunk_size
     )
     chunks = F.when(F.col("accepted"), F.transform("groups", from_group)).otherwise(fallback)
-    return ready.select(key, "segment_index", "accepted", F.posexplode(chunks).alias("piece_index", "c")).select(
+    return T.unnest(ready, [key, "segment_index", "accepted"], chunks, "piece_index", "c").select(
         key, "segment_index", "piece_index", "accepted", "c.*"
     )
 
@@ -397,7 +398,7 @@ def table_chunks(
         segment_items(located_blocks(F.col("blocks"))), lambda x: x["is_table"] & _has_table_content(x)
     )
     chunks = F.transform(items, lambda x: _table_chunk(x, name, file_col))
-    return docs.select(key, F.posexplode(chunks).alias("table_index", "c")).select(key, "table_index", "c.*")
+    return T.unnest(docs, [key], chunks, "table_index", "c").select(key, "table_index", "c.*")
 
 
 def build_chunks(
@@ -426,7 +427,7 @@ def build_chunks(
         return F.when(item["is_table"], table).otherwise(merged)
 
     chunks = F.flatten(F.transform(items, expand))
-    rows = docs.select(key, *carry, F.posexplode(chunks).alias("chunk_index", "c"))
+    rows = T.unnest(docs, [key, *carry], chunks, "chunk_index", "c")
     text = T.contextual_text("c.context", "c.content")
     return rows.select(
         key,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import rules
 from corpusloom.functions import citations as C
-from corpusloom.functions.text import let, py_strip, regex_literal
+from corpusloom.functions.text import let, py_strip, regex_literal, unnest
 from corpusloom.operators.sections import carried_before
 
 VERDICT = "struct<sentence_id:int,attributed:array<int>,quote:string,supported:boolean,in_scope:boolean,action:string>"
@@ -59,7 +59,7 @@ def parse_verdicts(answers: DataFrame, column: str = "verdict_json") -> DataFram
 def verdict_rows(parsed: DataFrame, key: str = "answer_id") -> DataFrame:
     """Usable verdicts as rows: known sentences only, the last duplicate wins."""
     ids = F.transform(C.split_sentences("answer"), lambda s: s["id"])
-    known = parsed.filter(~F.col("verdict_error")).select(key, ids.alias("_ids"), F.posexplode("verdicts").alias("_pos", "v"))
+    known = unnest(parsed.filter(~F.col("verdict_error")), [key, ids.alias("_ids")], "verdicts", "_pos", "v")
     known = known.filter(F.array_contains("_ids", F.col("v.sentence_id")))
     last = known.groupBy(key, F.col("v.sentence_id").alias("sentence_id")).agg(F.max_by("v", "_pos").alias("v"))
     return last.select(
@@ -167,15 +167,18 @@ def filter_sources(checked: DataFrame) -> DataFrame:
         return F.struct(*[s[f].alias(f) for f in fields], spans.alias("cited_spans"))
 
     none = F.lit(None).cast("array<string>")
-    quotes_of = lambda i: F.coalesce(
-        F.get(F.filter("cited_spans", lambda c: c["index"] == i), F.lit(0))["quotes"], F.array().cast("array<string>")
+    quotes_of = lambda found, i: F.coalesce(
+        F.get(F.filter(found, lambda c: c["index"] == i), F.lit(0))["quotes"], F.array().cast("array<string>")
     )
-    chosen = F.filter("sources", lambda s: F.array_contains("cited_indices", s["index"]))
+
+    def keep(e: Column) -> Column:
+        chosen = F.filter("sources", lambda s: F.array_contains(e["cited"], s["index"]))
+        return F.transform(chosen, lambda s: with_spans(s, quotes_of(e["spans"], s["index"])))
+
+    found = F.struct(F.col("cited_indices").alias("cited"), F.col("cited_spans").alias("spans"))
     return checked.withColumn(
         "sources",
-        F.when(F.col("ok"), F.transform(chosen, lambda s: with_spans(s, quotes_of(s["index"])))).otherwise(
-            F.transform("sources", lambda s: with_spans(s, none))
-        ),
+        F.when(F.col("ok"), let(found, keep)).otherwise(F.transform("sources", lambda s: with_spans(s, none))),
     )
 
 
@@ -287,7 +290,7 @@ def span_ranges(content: Column, quote: Column) -> Column:
 
 def quote_spans(pairs: DataFrame, keys: Sequence[str], content: str = "content", quote: str = "quote") -> DataFrame:
     """One row per occurrence of a quote in the chunk it is attached to."""
-    return pairs.select(*keys, F.explode(span_ranges(F.col(content), F.col(quote))).alias("r")).select(
+    return unnest(pairs, keys, span_ranges(F.col(content), F.col(quote)), "_n", "r").select(
         *keys, F.col("r.start").alias("start"), F.col("r.end").alias("end")
     )
 
@@ -326,12 +329,12 @@ def highlight_segments(chunks: DataFrame, keys: Sequence[str], content: str = "c
 
     ``chunks(keys, content, quotes array<string>)``: the quotes of one answer for one chunk.
     """
-    all_ranges = F.flatten(F.transform(F.col(quotes), lambda q: span_ranges(F.col(content), q)))
     piece = "struct<text:string,mark:boolean>"
-    text = F.col(content)
-    cut = lambda a, b: F.substring(text, a + 1, b - a)
 
-    def pieces(ms: Column) -> Column:
+    def pieces(e: Column) -> Column:
+        text, ms = e["text"], e["ranges"]
+        cut = lambda a, b: F.substring(text, a + 1, b - a)
+
         def around(r: Column, i: Column) -> Column:
             before = F.coalesce(F.get(ms, i - 1)["end"], F.lit(0))
             return F.array(
@@ -345,7 +348,11 @@ def highlight_segments(chunks: DataFrame, keys: Sequence[str], content: str = "c
         whole = F.array(F.struct(text.alias("text"), F.lit(True).alias("mark")).cast(piece))
         return F.when(F.size(ms) > 0, marked).otherwise(whole)
 
-    segments = let(merged_in_row(all_ranges), pieces)
-    return chunks.select(*keys, F.posexplode(segments).alias("segment_no", "s")).select(
+    def with_ranges(text: Column) -> Column:
+        found = F.flatten(F.transform(F.col(quotes), lambda q: span_ranges(text, q)))
+        return let(F.struct(text.alias("text"), merged_in_row(found).alias("ranges")), pieces)
+
+    segments = let(F.col(content), with_ranges)
+    return unnest(chunks, keys, segments, "segment_no", "s").select(
         *keys, "segment_no", "s.text", "s.mark"
     )

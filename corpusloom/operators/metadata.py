@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import rules
 from corpusloom.functions import metadata as M
-from corpusloom.functions.text import null_if_blank, py_strip
+from corpusloom.functions.text import let, null_if_blank, py_strip
 
 SMALL_GAZETTEER = 2000
 
@@ -95,9 +95,9 @@ def gazetteer_match(
     ).filter(F.col("low") != "")
     if names.limit(small + 1).count() <= small:
         listed = names.agg(F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("n"), "name", "low"))))
-        rows = texts.withColumn("_names", listed.scalar()).withColumn("_low", F.lower(F.col(column)))
-        hit = F.filter("_names", lambda g: F.contains(F.col("_low"), g["low"]))
-        return rows.select(*texts.columns, F.get(hit, F.lit(0))["name"].alias(out))
+        rows = texts.withColumn("_names", listed.scalar())
+        hits = let(F.lower(F.col(column)), lambda low: F.filter("_names", lambda g: F.contains(low, g["low"])))
+        return rows.select(*texts.columns, F.get(hits, F.lit(0))["name"].alias(out))
     width = min(8, names.agg(F.min("n")).first()[0])
     low = F.lower(F.col(column))
     grams = F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))

@@ -17,8 +17,8 @@ def shared_trigrams(items: DataFrame, corpus: DataFrame) -> DataFrame:
     come from one chunk row and collapse in the map-side aggregate.
     """
     wanted = items.select("query_id", T.word_trigrams("reference").alias("grams"))
-    wanted = wanted.select("query_id", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
-    held = corpus.select("chunk_id", F.explode(T.word_trigrams("text")).alias("gram"))
+    wanted = wanted.select("query_id", F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("gram"))
+    held = corpus.select("chunk_id", F.explode_outer(T.word_trigrams("text")).alias("gram"))
     return (
         held.join(wanted, "gram")
         .groupBy("query_id", "chunk_id", "n_grams")
@@ -30,7 +30,7 @@ def shared_trigrams(items: DataFrame, corpus: DataFrame) -> DataFrame:
 def item_keywords(items: DataFrame) -> DataFrame:
     """Distinct (query_id, keyword) with normalized non-blank keywords."""
     return (
-        items.select("query_id", F.explode("keywords").alias("kw"))
+        items.select("query_id", F.explode_outer("keywords").alias("kw"))
         .select("query_id", T.normalize_text("kw").alias("keyword"))
         .filter(F.col("keyword") != "")
         .distinct()
@@ -57,7 +57,7 @@ def keyword_matches(keywords: DataFrame, corpus: DataFrame) -> DataFrame:
     normalized = corpus.select("chunk_id", T.normalize_text("text").alias("body"))
     tokens = normalized.select(
         "chunk_id",
-        F.explode(
+        F.explode_outer(
             F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+|[^a-z0-9]"), F.lit(0)))
         ).alias("token"),
     )

@@ -161,7 +161,7 @@ def term_statistics(vocabulary: DataFrame, corpus_terms: DataFrame) -> DataFrame
     """
     rows = corpus_terms.select(
         F.size("terms").alias("dl"),
-        F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.col("terms")))).alias("term"),
+        F.explode_outer(F.array_distinct(F.concat(F.array(F.lit("")), F.col("terms")))).alias("term"),
     )
     wanted = vocabulary.select("term").distinct()
     return (
@@ -319,7 +319,7 @@ def lsh_candidates(
         rows = df.filter(F.col(vector).isNotNull()).select(
             key, F.col(vector).alias(f"{prefix}vec"), sign(vector).alias(f"{prefix}sig")
         )
-        return rows.select("*", F.posexplode(f"{prefix}sig").alias("table", "bucket"))
+        return rows.select("*", F.posexplode_outer(f"{prefix}sig").alias("table", "bucket"))
 
     pairs = bucketed(queries, "query_id", "q").join(bucketed(corpus, "chunk_id", "c"), ["table", "bucket"])
     agree = F.zip_with("qsig", "csig", lambda x, y: x == y)
@@ -441,7 +441,7 @@ def explode_subqueries(
     strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     kept = F.filter(F.transform(F.col(parts), strip), lambda x: x.isNotNull() & (x != ""))
     chosen = F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.slice(kept, 1, limit)).otherwise(F.array(F.col(original)))
-    return plans.select("query_id", F.posexplode(chosen).alias("sub_no", "subquery"))
+    return plans.select("query_id", F.posexplode_outer(chosen).alias("sub_no", "subquery"))
 
 
 def refine_rounds(
