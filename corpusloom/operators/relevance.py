@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom import rules
 from corpusloom.functions import text as T
+from corpusloom.session import materialize
+
+SMALL_VOCABULARY = 100_000
 
 
 def shared_trigrams(items: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -46,30 +49,24 @@ def _anchor(keyword: Column) -> Column:
     return F.coalesce(F.array_max(runs)["run"], F.substring(keyword, 1, 1))
 
 
-def keyword_matches(keywords: DataFrame, corpus: DataFrame) -> DataFrame:
+def keyword_matches(keywords: DataFrame, corpus: DataFrame, small: int = SMALL_VOCABULARY) -> DataFrame:
     """(keyword, chunk_id) for every keyword present as a whole word.
 
     A keyword can only be present where its longest run is a token of the chunk, so the join is on that
-    token.  One-token keywords are then settled; the others are verified on the text of the candidate
-    chunks only.
+    token; one-token keywords are then settled, the others are verified on the text.  While the distinct
+    keywords are at most ``small`` (checked) they are broadcast and the text is at hand in the same row.
+    Beyond that the join is shuffled by token, and only the candidate chunks' texts are joined back.
     """
     distinct = keywords.select("keyword").distinct().withColumn("token", _anchor(F.col("keyword")))
     normalized = corpus.select("chunk_id", T.normalize_text("text").alias("body"))
-    tokens = normalized.select(
-        "chunk_id",
-        F.explode_outer(
-            F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+|[^a-z0-9]"), F.lit(0)))
-        ).alias("token"),
-    )
-    near = tokens.join(distinct, "token").withColumn(
-        "settled", F.rlike("keyword", F.lit("^[a-z0-9]+$"))
-    )
-    checked = (
-        near.filter(~F.col("settled"))
-        .join(normalized, "chunk_id")
-        .filter(T.keyword_present("keyword", "body"))
-    )
-    return near.filter("settled").select("keyword", "chunk_id").unionByName(checked.select("keyword", "chunk_id"))
+    tokens = F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+|[^a-z0-9]"), F.lit(0)))
+    settled = F.rlike("keyword", F.lit("^[a-z0-9]+$"))
+    if distinct.limit(small + 1).count() <= small:
+        near = normalized.select("chunk_id", "body", F.explode_outer(tokens).alias("token")).join(F.broadcast(distinct), "token")
+        return near.filter(settled | T.keyword_present("keyword", "body")).select("keyword", "chunk_id")
+    near = normalized.select("chunk_id", F.explode_outer(tokens).alias("token")).join(distinct, "token")
+    checked = near.filter(~settled).join(normalized, "chunk_id").filter(T.keyword_present("keyword", "body"))
+    return near.filter(settled).select("keyword", "chunk_id").unionByName(checked.select("keyword", "chunk_id"))
 
 
 def keyword_df(keywords: DataFrame, corpus: DataFrame, matches: DataFrame | None = None) -> DataFrame:
@@ -94,9 +91,10 @@ def rare_keyword_hit(
     """(query_id, chunk_id) where all keywords of the item are present and at least one is rare.
 
     With ``use_df`` a keyword is rare when its document frequency is at most ``rare_df``; without it,
-    when it is specific by its form.
+    when it is specific by its form.  The matches are read several times, so they are written to the
+    shared folder once.
     """
-    matches = keyword_matches(keywords, corpus)
+    matches = materialize(keyword_matches(keywords, corpus), "keyword-hits")
     needed = keywords.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_needed"))
     if use_df:
         frequency = df if df is not None else keyword_df(keywords, corpus, matches)

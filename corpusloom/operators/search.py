@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from corpusloom import rules
-from corpusloom.functions.text import rounded, search_terms, trigram_recall
+from corpusloom.functions.text import rounded, search_terms, word_trigrams
 from corpusloom.operators.ranking import top_k, weighted_rrf
 from corpusloom.session import materialize
 
@@ -377,17 +377,18 @@ def no_context_gate(queries: DataFrame, ranked: DataFrame, answers: DataFrame |
     )
 
 
-def pair_texts(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Attach query and chunk text to ranked pairs (a bounded number per query)."""
-    return pairs.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id").join(
-        corpus.select("chunk_id", F.col("text").alias("chunk_text")), "chunk_id"
-    )
-
-
 def trigram_scores(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Deterministic pair scorer for reranking: trigram recall of the query in the chunk."""
-    rows = pair_texts(pairs.select("query_id", "chunk_id"), queries, corpus)
-    return rows.select("query_id", "chunk_id", rounded(trigram_recall("query_text", "chunk_text")).alias("score"))
+    """Deterministic pair scorer for reranking: trigram recall of the query in the chunk.
+
+    Work grows with the candidates (a bounded number per query): shingles are built once per distinct
+    candidate chunk and once per query, then compared pair by pair.
+    """
+    wanted = queries.select("query_id", word_trigrams("text").alias("wanted"))
+    ids = pairs.select("chunk_id").distinct()
+    held = corpus.select("chunk_id", "text").join(ids, "chunk_id", "left_semi").select("chunk_id", word_trigrams("text").alias("held"))
+    rows = pairs.select("query_id", "chunk_id").join(wanted, "query_id").join(held, "chunk_id")
+    share = F.size(F.array_intersect("wanted", "held")) / F.nullif(F.size("wanted"), F.lit(0))
+    return rows.select("query_id", "chunk_id", rounded(F.coalesce(share, F.lit(0.0))).alias("score"))
 
 
 def source_list(reranked: DataFrame, corpus: DataFrame) -> DataFrame:
