@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import register
 from catalog.data import (
-    DENSE, TRIGRAM_RECALL, benchmark_queries, best, norm, table, text_corpus, vector_corpus, vector_queries,
+    DENSE, TRIGRAM_RECALL, benchmark_queries, best, hybrid_corpus, norm, table, text_corpus, vector_corpus, vector_queries,
 )
 from catalog.retrieval import RERANKED, SWEEP, branches
 from corpusloom import rules
@@ -16,6 +16,7 @@ from corpusloom.operators import ranking as R
 from corpusloom.operators import relevance as L
 from corpusloom.operators import search as S
 from corpusloom.plans.sweep import retrieval_sweep as whole_sweep
+from corpusloom.session import materialize
 
 # --- text ----------------------------------------------------------------------------------------
 
@@ -200,7 +201,7 @@ def _grid_sql(ranked, by, ks, cut=False):
 _MEANS = """round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(f1), 6) as f1, round(avg(hit), 6) as hit,
   round(avg(ndcg), 6) as ndcg, round(avg(rr), 6) as mrr, count(*) as n"""
 
-_SWEEP_GRID = f"{SWEEP}, {AUTO.replace(TRIGRAM_RECALL, TRIGRAM_RECALL)}, combos as (select alpha from grid), {_grid_sql('swept', ['alpha'], rules.K_GRID)}"
+_SWEEP_GRID = f"{SWEEP}, {AUTO}, combos as (select alpha from grid), {_grid_sql('swept', ['alpha'], rules.K_GRID)}"
 
 
 def _weights(spark):
@@ -218,7 +219,7 @@ def _splits(spark, sf):
 
 def _grid(spark, sf, splits=False):
     ranked = R.alpha_sweep(*branches(spark, sf, 50))
-    labels = L.auto_relevant(_items(spark, sf), text_corpus(spark, sf))
+    labels = materialize(L.auto_relevant(_items(spark, sf), text_corpus(spark, sf)), "labels")  # read twice
     return E.metric_grid(ranked, labels, grid=_weights(spark), splits=_splits(spark, sf) if splits else None)
 
 
@@ -264,13 +265,13 @@ full_rerank as (select *, row_number() over (partition by query_id order by scor
 
 def _hybrid_and_rerank(spark, sf):
     """Hybrid order of 50 candidates and their full rerank."""
-    hybrid = R.weighted_rrf(*branches(spark, sf, 50), k=50)
+    hybrid = S.hybrid_search(vector_queries(spark, sf), hybrid_corpus(spark, sf), 50)
     scores = S.trigram_scores(hybrid, benchmark_queries(spark, sf), text_corpus(spark, sf))
-    return hybrid, R.rerank(hybrid, scores, 50)
+    return hybrid, materialize(R.rerank(hybrid, scores, 50), "reranked")
 
 
 def _labels(spark, sf):
-    return L.auto_relevant(_items(spark, sf), text_corpus(spark, sf))
+    return materialize(L.auto_relevant(_items(spark, sf), text_corpus(spark, sf)), "labels")
 
 
 @register(

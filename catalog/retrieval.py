@@ -13,6 +13,7 @@ from corpusloom import rules
 from corpusloom.operators import ranking as R
 from corpusloom.operators import search as S
 from corpusloom.plans.ask import prepare_contexts as ask_contexts
+from corpusloom.session import materialize
 
 
 @register(f"with {BM25}, {best('bm25_all', 30)} select query_id, chunk_id, score, rank::int as rank from ranked")
@@ -136,7 +137,7 @@ pair_scores as (select f.query_id, f.chunk_id, coalesce(r.recall, 0) as score fr
 
 
 def reranked(spark, sf, k=30, top_n=6):
-    found = R.weighted_rrf(*branches(spark, sf, k), k=k)
+    found = S.hybrid_search(vector_queries(spark, sf), hybrid_corpus(spark, sf), k)
     scores = S.trigram_scores(found, benchmark_queries(spark, sf), text_corpus(spark, sf))
     return R.rerank(found, scores, top_n)
 
@@ -156,7 +157,7 @@ def _sources(spark, sf):
     corpus = text_corpus(spark, sf).select(
         "chunk_id", F.col("chunk_id").alias("document_id"), F.when(F.col("lang") != "en", F.col("source")).otherwise("").alias("filename"), "text"
     )
-    return S.source_list(reranked(spark, sf), corpus)
+    return S.source_list(materialize(reranked(spark, sf), "reranked"), corpus)
 
 
 @register(f"with {_SOURCES} select query_id, source_index, chunk_id, document_id, filename, label, snippet, score from sources")

@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 from corpusloom import rules
 from corpusloom.functions import text as T
-from corpusloom.session import materialize
+from corpusloom.session import broadcast_if_small, materialize
 
-SMALL_VOCABULARY = 100_000
+SMALL_VOCABULARY = 100_000  # distinct keywords
+SMALL_REFERENCES = 2_000_000  # reference shingles
 
 
-def shared_trigrams(items: DataFrame, corpus: DataFrame) -> DataFrame:
+def shared_trigrams(items: DataFrame, corpus: DataFrame, small: int = SMALL_REFERENCES) -> DataFrame:
     """(query_id, chunk_id, recall) for every pair that shares at least one word trigram.
 
-    ``items(query_id, reference)``, ``corpus(chunk_id, text)``.  The reference shingles are the small
-    side of the join, so the corpus shingles normally stream past a broadcast table; all rows of a pair
-    come from one chunk row and collapse in the map-side aggregate.
+    ``items(query_id, reference)``, ``corpus(chunk_id, text)``.  While the reference shingles are at most
+    ``small`` (checked) they are broadcast and the corpus shingles stream past them; beyond that both
+    sides are shuffled by shingle and AQE splits an over-frequent one.  All rows of a pair come from one
+    chunk row and collapse in the map-side aggregate.
     """
     wanted = items.select("query_id", T.word_trigrams("reference").alias("grams"))
     wanted = wanted.select("query_id", F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("gram"))
     held = corpus.select("chunk_id", F.explode_outer(T.word_trigrams("text")).alias("gram"))
     return (
-        held.join(wanted, "gram")
+        held.join(broadcast_if_small(wanted, small), "gram")
         .groupBy("query_id", "chunk_id", "n_grams")
         .agg(F.count(F.lit(1)).alias("shared"))
         .select("query_id", "chunk_id", T.rounded(F.col("shared") / F.col("n_grams")).alias("recall"))
@@ -61,7 +63,7 @@ def keyword_matches(keywords: DataFrame, corpus: DataFrame, small: int = SMALL_V
     normalized = corpus.select("chunk_id", T.normalize_text("text").alias("body"))
     tokens = F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+|[^a-z0-9]"), F.lit(0)))
     settled = F.rlike("keyword", F.lit("^[a-z0-9]+$"))
-    if distinct.limit(small + 1).count() <= small:
+    if distinct.limit(small + 1).count() <= small:  # cheap: keywords only
         near = normalized.select("chunk_id", "body", F.explode_outer(tokens).alias("token")).join(F.broadcast(distinct), "token")
         return near.filter(settled | T.keyword_present("keyword", "body")).select("keyword", "chunk_id")
     near = normalized.select("chunk_id", F.explode_outer(tokens).alias("token")).join(distinct, "token")

@@ -25,7 +25,7 @@ from pyspark.sql import types as ST
 from corpusloom import rules
 from corpusloom.functions.text import rounded, search_terms, word_trigrams
 from corpusloom.operators.ranking import top_k, weighted_rrf
-from corpusloom.session import materialize
+from corpusloom.session import broadcast_if_small, materialize
 
 # Task code travels with the job, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -310,8 +310,9 @@ def lsh_candidates(
     """Approximate vector search: equal random-hyperplane signatures in any table, then exact scores.
 
     An equi-join on (table, bucket) finds the candidates.  A pair that agrees in several tables is kept
-    only for the first of them, which needs no de-duplicating shuffle.  Query signatures are the small
-    side; when they are too many to broadcast, AQE splits the partitions of over-full buckets.
+    only for the first of them, which needs no de-duplicating shuffle.  Query signatures are broadcast
+    after a check of their number; beyond it both sides are shuffled by bucket and AQE splits the
+    partitions of over-full buckets.
     """
     sign = _signature_udf(dim, bits, tables, seed)
 
@@ -321,7 +322,8 @@ def lsh_candidates(
         )
         return rows.select("*", F.posexplode_outer(f"{prefix}sig").alias("table", "bucket"))
 
-    pairs = bucketed(queries, "query_id", "q").join(bucketed(corpus, "chunk_id", "c"), ["table", "bucket"])
+    asked = broadcast_if_small(bucketed(queries, "query_id", "q"), QUERY_BLOCK * tables)
+    pairs = bucketed(corpus, "chunk_id", "c").join(asked, ["table", "bucket"])
     agree = F.zip_with("qsig", "csig", lambda x, y: x == y)
     first = pairs.filter(F.array_position(agree, True) == F.col("table") + 1)
     return top_k(first.select("query_id", "chunk_id", rounded(cosine(F.col("qvec"), F.col("cvec"))).alias("score")), k)
@@ -337,10 +339,14 @@ def hybrid_search(
     alpha: float | None = None,
     filters: Sequence[str] = (),
 ) -> DataFrame:
-    """Both branches with the same filters, fused by weighted reciprocal rank."""
+    """Both branches with the same filters, fused by weighted reciprocal rank.
+
+    The result (at most k rows per query) is written to the shared folder: later steps read it several
+    times, and its true size lets them broadcast it instead of shuffling the corpus.
+    """
     dense = vector_search(queries, corpus, k, filters)
     sparse = bm25_search(queries, corpus, k, filters=filters)
-    return weighted_rrf(dense, sparse, alpha, k)
+    return materialize(weighted_rrf(dense, sparse, alpha, k), "hybrid-hits")
 
 
 def filter_fallback(

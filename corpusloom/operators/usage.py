@@ -221,4 +221,7 @@ def document_with_chunks(documents: DataFrame, chunks: DataFrame, key: str = "do
     """
     counts = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     counted = documents.join(counts, key, "left").withColumn("chunk_count", F.coalesce("_n", F.lit(0)).cast("long")).drop("_n")
-    return counted.join(chunks, key, "left").orderBy(key, index)
+    # The large join is an inner one, because only there can AQE split a document with very many chunks.
+    filled = counted.filter("chunk_count > 0").join(chunks, key)
+    empty = counted.filter("chunk_count = 0")
+    return filled.unionByName(empty, allowMissingColumns=True).orderBy(key, index)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom import rules
 from corpusloom.operators import search as S
 from corpusloom.operators.ranking import rerank
+from corpusloom.session import materialize
 
 
 def prepare_contexts(
@@ -32,7 +33,7 @@ def prepare_contexts(
 
     found = S.filter_fallback(queries, search, filters) if filters else search(queries)
     pair_scores = scores if scores is not None else S.trigram_scores(found, queries, corpus)
-    best = rerank(found.select("query_id", "chunk_id", "rank", "score"), pair_scores, top_n)
+    best = materialize(rerank(found.select("query_id", "chunk_id", "rank", "score"), pair_scores, top_n), "reranked")
     contexts = S.context_block(S.source_list(best, corpus))
     gate = S.no_context_gate(queries, best)
     return gate.join(contexts, "query_id", "left").select("query_id", "n_sources", "answer", F.coalesce("context", F.lit("")).alias("context"))
