@@ -60,8 +60,11 @@ def metadata_filter(spark, sf):
 
 @register(
     f"""with {_SLOTS}, {BM25},
-    s_all as (select a.query_id, a.chunk_id, a.score, s.source is not null as fallback from bm25_all a join slots s on s.query_id = a.query_id
-      and (s.source is not null or s.lang is null or s.lang = a.lang)),
+    filtered as (select a.query_id, a.chunk_id, a.score from bm25_all a join slots s on s.query_id = a.query_id
+      and s.source is null and (s.lang is null or s.lang = a.lang)),
+    unanswered as (select query_id from slots where (lang is not null or source is not null) and query_id not in (select query_id from filtered)),
+    s_all as (select *, false as fallback from filtered
+      union all select query_id, chunk_id, score, true from bm25_all where query_id in (select query_id from unanswered)),
     {best('s_all', 10)} select query_id, chunk_id, score, rank::int as rank, fallback from ranked"""
 )
 def filter_fallback(spark, sf):
