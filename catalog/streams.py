@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import register
 from catalog.data import CHUNKED, lined_blocks
+from corpusloom.functions.moments import as_utc, utc_clock
 from corpusloom.session import scratch_path
 from corpusloom.sources.tables import read_table
 from corpusloom.streaming import ingest, usage
@@ -40,9 +41,9 @@ def stream_ingest(spark, sf):
 def stream_activity(spark, sf):
     """Finished days only: a day is appended once the watermark has passed its end."""
     target, marks = scratch_path(spark, "activity"), scratch_path(spark, "activity-checkpoint")
-    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = _stream(spark, sf, "events").withColumn("ts", as_utc("ts"))
     usage.stream_activity(events, target, marks).awaitTermination()
-    return spark.read.parquet(target).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_events", "n_users")
+    return spark.read.parquet(target).select(utc_clock("window_start").alias("window_start"), "n_events", "n_users")
 
 
 @register("select user_id, max(ts) as ts, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type from events group by 1")
