@@ -38,7 +38,7 @@ SAFE_CUT = regex.compile(r"(?<=\S)(?=\s)")
 #: Code points of a text taken at once, bytes added to a long piece at once, entries of a cache.
 TEXT_BLOCK = 1 << 18
 PIECE_BLOCK = 4096
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 CACHED_LENGTH = 48
 #: Bytes of results in one Arrow batch.
 BATCH_BYTES = 8 << 20

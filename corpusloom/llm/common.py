@@ -29,11 +29,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def partitions_for(df: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
-    """Partitions for a re-dealt ``df``: they grow with the bytes the optimizer expects it to hold."""
+def partitions_for(df: DataFrame, column: str = "text", bytes_each: int = PARTITION_BYTES) -> int:
+    """Partitions for a re-dealt ``df``: they grow with the bytes that the optimizer expects.
+
+    Where it knows nothing (a table that comes from no file), the bytes of ``column`` are added up.
+    """
     expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if expected >= 1 << 60:
+        expected = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(least, -(-expected // bytes_each)), 1_000_000))
+    return max(least, -(-expected // bytes_each))
 
 
 def text_values(column: pa.Array) -> list[str]:

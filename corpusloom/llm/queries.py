@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, lines, mixing, quality, sequences
+from corpusloom.llm import bpe, jaccard, lines, mixing, quality, sequences
 from corpusloom.llm.common import documents, tokenizer_file
 from corpusloom.session import materialize, scratch_path
 
@@ -78,3 +78,26 @@ def op7_arrow_sequences(spark: SparkSession, sf: str) -> DataFrame:
 def op9_curriculum_mix(spark: SparkSession, sf: str) -> DataFrame:
     placed = mixing.training_positions(documents(spark, sf))
     return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS g
+  FROM words),
+grams AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
+FROM sets s LEFT JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, len(s.g)
+"""
+
+
+@register(JACCARD_SQL)
+def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.similarity_classes(documents(spark, sf))
