@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, jaccard, lines, mixing, quality, sequences
+from corpusloom.llm import bpe, jaccard, lines, mixing, quality, sequences, vectors
 from corpusloom.llm.common import documents, tokenizer_file
 from corpusloom.session import materialize, scratch_path
 
@@ -26,6 +26,25 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS s FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id
+          WHERE a.s > 0 AND b.s > 0 AND list_inner_product(a.e, b.e) >= 0.95 * a.s * b.s),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+tops AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, least(v.vec_id, coalesce(t.b, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(t.b, v.vec_id)) AS kept
+FROM v LEFT JOIN counts c ON v.vec_id = c.a LEFT JOIN tops t ON v.vec_id = t.a
+"""
+
+
+@register(VECTOR_SQL)
+def op1_cross_polytope(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.similar_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 @register()
 def op2_quality_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf))
@@ -86,7 +105,7 @@ WITH RECURSIVE words AS (
          'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS g
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS g
   FROM words),
 grams AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM sets),
 links AS (
