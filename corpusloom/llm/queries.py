@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, jaccard, lines, mixing, quality, sequences, vectors
+from corpusloom.llm import bpe, jaccard, lines, mixing, passages, quality, sequences, vectors
 from corpusloom.llm.common import documents, tokenizer_file
 from corpusloom.session import materialize, scratch_path
 
@@ -120,3 +120,10 @@ FROM sets s LEFT JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, len(s.g)
 @register(JACCARD_SQL)
 def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.similarity_classes(documents(spark, sf))
+
+
+@register()
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = passages.remove_repeats(documents(spark, sf))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
