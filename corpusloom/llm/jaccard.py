@@ -42,11 +42,12 @@ from corpusloom.session import materialize
 WORDS = 5
 #: Smallest similarity, in percent.
 PERCENT = 75
-HOT = 1000
-SLACK = 16
+HOT = 256
+SLACK = 32
 SMALL = 16
 #: Points of an R-tree leaf, and children of an inner node.
-PAGE = 16
+PAGE = 128
+CHILDREN = 16
 MAX_GROUPS = 2048
 SHARDS_EACH = 8
 CACHE_ENTRIES = 400_000
@@ -117,55 +118,93 @@ def may_link(n: int, p: np.ndarray, m: int, q: np.ndarray, percent: int) -> bool
     return int(np.minimum(folded(p, groups), folded(q, groups)).sum()) >= needed(n, m, percent)
 
 
+def allowed(sizes: np.ndarray, points: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix of the pairs that the bound allows, for the points of one leaf."""
+    ok = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+    groups = np.array([len(p) for p in points])
+    for g in np.unique(groups[groups > 0]).tolist():
+        one = np.flatnonzero(groups == g)
+        mine = np.stack([points[i] for i in one])
+        for h in (g, g // 2):
+            other = np.flatnonzero(groups == h)
+            if not h or not len(other):
+                continue
+            theirs = np.stack([points[i] for i in other]).astype(np.uint16)
+            rows = mine.reshape(len(one), -1, h).sum(axis=1, dtype=np.uint16)
+            step = max(1, (1 << 20) // (len(other) * h))
+            for start in range(0, len(one), step):
+                i = one[start : start + step]
+                share = np.minimum(rows[start : start + step, None, :], theirs[None]).sum(axis=2, dtype=np.int64)
+                fits = (100 + percent) * share >= percent * np.add.outer(sizes[i], sizes[other])
+                ok[np.ix_(i, other)] &= fits
+                if h != g:
+                    ok[np.ix_(other, i)] &= fits.T
+    np.fill_diagonal(ok, False)
+    return ok
+
+
 class CountTree:
-    """R-tree over points of group counts, bulk-loaded by size and then by the first groups' counts."""
+    """R-tree over points of group counts, bulk-loaded by number of groups, size and the first groups' counts.
+
+    Points of up to one page are a single leaf, whose allowed pairs are found at once.
+    """
 
     def __init__(self, sizes: np.ndarray, points: list[np.ndarray], percent: int = PERCENT):
         self.sizes, self.points, self.percent = sizes, points, percent
-        order = np.lexsort((*[[int(folded(p, 8)[g]) if len(p) else 0 for p in points] for g in (1, 0)], sizes))
-        self.levels = [[self.node(order[i : i + PAGE]) for i in range(0, len(order), PAGE)]]
-        while len(self.levels[-1]) > PAGE:
-            below = self.levels[-1]
-            self.levels.append([self.merge(below[i : i + PAGE]) for i in range(0, len(below), PAGE)])
-
-    def node(self, members: np.ndarray) -> tuple:
+        self.matrix = allowed(sizes, points, percent) if len(points) <= PAGE else None
+        if self.matrix is not None:
+            return
+        groups = np.array([len(p) for p in points])
+        first = np.array([[int(x) for x in folded(p, 8)[:2]] if len(p) else [0, 0] for p in points])
+        order = np.lexsort((first[:, 1], first[:, 0], sizes, groups))
+        cuts = np.flatnonzero(np.diff(groups[order])) + 1
+        pages = [part[i : i + PAGE] for part in np.split(order, cuts) for i in range(0, len(part), PAGE)]
+        self.top = [self.leaf(p) for p in pages]
+        while len(self.top) > CHILDREN:
+            self.top = [self.over(self.top[i : i + CHILDREN]) for i in range(0, len(self.top), CHILDREN)]
+
+    def leaf(self, members: np.ndarray) -> tuple:
         points = [self.points[i] for i in members]
-        groups = min(map(len, points))
-        matrix = np.stack([folded(p, groups) for p in points]) if groups else None
-        top = matrix.max(axis=0) if groups else None
-        return int(self.sizes[members].min()), int(self.sizes[members].max()), top, members, matrix
+        matrix = np.stack(points).astype(np.uint16) if len(points[0]) else None
+        largest = None if matrix is None else matrix.max(axis=0)
+        return int(self.sizes[members].min()), int(self.sizes[members].max()), largest, members, matrix
 
     @staticmethod
-    def merge(children: list[tuple]) -> tuple:
-        tops = [c[2] for c in children]
-        top = None
+    def over(children: list[tuple]) -> tuple:
+        tops, top = [c[2] for c in children], None
         if all(t is not None for t in tops):
             groups = min(map(len, tops))
             top = np.stack([folded(t, groups) for t in tops]).max(axis=0)
         return min(c[0] for c in children), max(c[1] for c in children), top, children, None
 
+    def near(self, i: int) -> np.ndarray:
+        """Places of all other points that may reach the similarity with point i."""
+        if self.matrix is not None:
+            return np.flatnonzero(self.matrix[i])
+        found = self.search(int(self.sizes[i]), self.points[i])
+        return found[found != i]
+
     def search(self, n: int, point: np.ndarray) -> np.ndarray:
-        """Places of all points that may reach the similarity with this one."""
-        found, todo = [], list(self.levels[-1])
+        found, todo, percent = [], list(self.top), self.percent
         while todo:
             low, high, top, inside, matrix = todo.pop()
-            if 100 * high < self.percent * n or 100 * n < self.percent * low:
+            if 100 * high < percent * n or 100 * n < percent * low:
                 continue
             bounded = top is not None and len(point)
             if bounded:
                 groups = min(len(top), len(point))
-                if int(np.minimum(folded(top, groups), folded(point, groups)).sum()) < needed(n, max(low, -(-self.percent * n // 100)), self.percent):
+                if int(np.minimum(folded(top, groups), folded(point, groups)).sum(dtype=np.int64)) < needed(n, max(low, -(-percent * n // 100)), percent):
                     continue
             if isinstance(inside, list):
                 todo.extend(inside)
                 continue
             sizes = self.sizes[inside]
-            fits = (100 * np.minimum(sizes, n) >= self.percent * np.maximum(sizes, n))
-            if bounded:
-                groups = min(matrix.shape[1], len(point))
-                rows = matrix if matrix.shape[1] == groups else matrix.reshape(len(matrix), -1, groups).sum(axis=1)
-                share = np.minimum(rows, folded(point, groups)).sum(axis=1)
-                fits &= (100 + self.percent) * share >= self.percent * (sizes + n)
+            fits = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
+            if bounded and fits.any():
+                inside, sizes, rows = inside[fits], sizes[fits], matrix[fits]
+                groups = min(rows.shape[1], len(point))
+                rows = rows if rows.shape[1] == groups else rows.reshape(len(rows), -1, groups).sum(axis=1)
+                fits = (100 + percent) * np.minimum(rows, folded(point, groups)).sum(axis=1, dtype=np.int64) >= percent * (sizes + n)
             found.append(inside[fits])
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
@@ -173,12 +212,14 @@ class CountTree:
 def tie(sizes: np.ndarray, points: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs that tie every point to the middle of its neighbourhood, breadth first over what the bound allows."""
     tree, fresh, pairs = CountTree(sizes, points, percent), np.ones(len(points), bool), []
+    if tree.matrix is not None and not tree.matrix.any():
+        return []
     for start in range(len(points)):
         todo = [start] if fresh[start] else []
         while todo:
             i = todo.pop()
             fresh[i] = False
-            near = tree.search(int(sizes[i]), points[i])
+            near = tree.near(i)
             near = near[fresh[near]]
             if not len(near):
                 continue
@@ -325,15 +366,15 @@ def candidate_pairs(tokens: DataFrame, points: DataFrame, percent: int, labels:
                         if component[a] != component[b]:
                             offer(a, b)
             elif not second:
-                sizes = np.array([size[x] for x in group], np.int64)
-                for i, j in tie(sizes, [point[x] for x in group], percent):
+                group = [x for x, role in zip(group, roles) if role != PASSIVE]
+                for i, j in tie(np.array([size[x] for x in group], np.int64), [point[x] for x in group], percent):
                     offer(group[i], group[j])
             elif len({component[x] for x in group}) > 1:
                 sizes = np.array([size[x] for x in group], np.int64)
                 asking, tree = np.flatnonzero(roles != PASSIVE), CountTree(sizes, [point[x] for x in group], percent)
                 for i in asking.tolist():
                     a, c = group[i], component[group[i]]
-                    for j in tree.search(size[a], point[a]).tolist():
+                    for j in tree.near(i).tolist():
                         if component[group[j]] != c and (roles[i] == OPEN or roles[j] != PASSIVE):
                             pair = (a, group[j]) if a < group[j] else (group[j], a)
                             if pair not in tried:

@@ -68,8 +68,13 @@ def test_tree_finds_all_that_the_bound_allows():
     points = [np.frombuffer(jaccard.group_counts(s), np.uint8) for s in sets]
     sizes = np.array([len(s) for s in sets])
     tree = jaccard.CountTree(sizes, points)
+    some = np.arange(240, 360)
+    leaf = jaccard.CountTree(sizes[some], [points[i] for i in some])
+    assert tree.matrix is None and leaf.matrix is not None
+    for i in some:
+        assert set(some[leaf.near(i - 240)]) == set(tree.near(i).tolist()) & set(some)
     for i in range(0, 600, 7):
-        found = set(tree.search(int(sizes[i]), points[i]).tolist())
+        found = {i, *tree.near(i).tolist()}
         linked = {j for j in range(600) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
         assert linked <= found and len(found) < 300
 
