@@ -33,15 +33,15 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS) -> DataFrame:
-    """doc_id, text (of the kept lines), n_lines (before dropping) and n_dropped of each row of ``docs``."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS) -> DataFrame:
+    """The rows of ``docs`` with all columns, text replaced by the kept lines, and _n_lines and _n_dropped added."""
+    version = F.xxhash64("text")
 
     def hashes(line: Column) -> Column:
         key = line_key(line)
         return F.when(F.char_length(key) >= min_points, F.struct(F.xxhash64(key).alias("h1"), F.hash(key).alias("h2")))
 
-    keyed = materialize(rows.select("doc_id", "version", F.transform(lines_of(F.col("text")), hashes).alias("keys")), "line-keys")
+    keyed = materialize(docs.select("doc_id", version.alias("version"), F.transform(lines_of(F.col("text")), hashes).alias("keys")), "line-keys")
     held = keyed.select(F.explode(F.array_distinct("keys")).alias("key")).where("key is not null").select("key.h1", "key.h2")
     repeated = held.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
     placed = keyed.select("doc_id", "version", F.posexplode("keys").alias("pos", "key")).where("key is not null")
@@ -49,14 +49,18 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: i
         placed.select("doc_id", "version", "pos", "key.h1", "key.h2")
         .join(repeated, ["h1", "h2"], "left_semi")
         .groupBy("doc_id", "version")
-        .agg(F.collect_set("pos").alias("dropped"))
-    )
-    same = rows["doc_id"].eqNullSafe(dropped["doc_id"]) & rows["version"].eqNullSafe(dropped["version"])
-    joined = rows.join(dropped, same, "left").select(rows["doc_id"], lines_of(F.col("text")).alias("lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
-    return joined.select(
-        "doc_id",
-        F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n").alias("text"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size("dropped").cast("long").alias("n_dropped"),
+        .agg(F.collect_set("pos").alias("_dropped"))
     )
+    d, x = docs.withColumn("_version", version).alias("d"), dropped.alias("x")
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d._version") == F.col("x.version"))
+    joined = d.join(x, same, "left").select("d.*", lines_of(F.col("d.text")).alias("_lines"), F.coalesce("x._dropped", F.array().cast("array<int>")).alias("_dropped"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))
+    text = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
+    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return joined.select(*columns, F.size("_lines").cast("long").alias("_n_lines"), F.size("_dropped").cast("long").alias("_n_dropped"))
+
+
+def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS) -> DataFrame:
+    """doc_id, text (of the kept lines), n_lines (before dropping) and n_dropped of each row of ``docs``."""
+    found = without_repeated_lines(docs.select("doc_id", "text"), min_docs, min_points)
+    return found.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))

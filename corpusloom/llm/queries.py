@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, jaccard, lines, mixing, passages, quality, sequences, vectors
+from corpusloom.llm import bpe, jaccard, licences, lines, mixing, pages, passages, quality, sequences, vectors
 from corpusloom.llm.common import documents, tokenizer_file
 from corpusloom.session import materialize, scratch_path
 
@@ -127,3 +127,47 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = passages.remove_repeats(documents(spark, sf))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _licence_sql() -> str:
+    listed = lambda pairs: ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    rules = [("".join(f"{s}," for s in sequence), licence) for sequence, licence in licences.RULES]
+    return f"""
+WITH known(id, sentence) AS (VALUES {listed(licences.SENTENCES.items())}),
+rules(chain, licence) AS (VALUES {listed(rules)}),
+cut AS (
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{licences.END}', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+lined AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS pos FROM cut),
+plain AS (
+  SELECT doc_id, pos, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS s
+  FROM lined WHERE regexp_matches(s, '{licences.marker_pattern()}')),
+ends AS (SELECT doc_id, pos, regexp_extract(s, '{licences.known_pattern()}', 1) AS s FROM plain),
+ids AS (SELECT doc_id, string_agg(k.id, ',' ORDER BY pos) AS chain FROM ends JOIN known k ON ends.s = k.sentence GROUP BY doc_id),
+taken AS (
+  SELECT doc_id, list_transform(regexp_extract_all(',' || replace(chain, ',', ',,') || ',', ',{licences.rule_pattern().replace(",", ",,").replace(",,|", ",|").replace(",,)", ",)")}'), lambda x: replace(x[2:], ',,', ',')) AS t
+  FROM ids),
+first AS (
+  SELECT doc_id, licence, min(pos) AS pos FROM (SELECT doc_id, unnest(t) AS chain, generate_subscripts(t, 1) AS pos FROM taken) JOIN rules USING (chain)
+  GROUP BY doc_id, licence),
+named AS (SELECT doc_id, string_agg(licence, ',' ORDER BY pos) AS licences FROM first GROUP BY doc_id)
+SELECT d.doc_id, coalesce(i.chain, '') AS sentences, coalesce(n.licences, '') AS licences
+FROM documents d LEFT JOIN ids i USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""
+
+
+@register(_licence_sql())
+def op5_licence_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    found = licences.scan_licences(documents(spark, sf))
+    return found.select("doc_id", F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"))
+
+
+@register()
+def op6_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract_text(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@register()
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
