@@ -45,9 +45,63 @@ def op1_cross_polytope(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.similar_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
-@register()
+def _quality_sql() -> str:
+    ascii_lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    kinds = ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[#*$%&|<>]", r"[!\x22\x27()+,\-./:;=?@\[\\\]^_`{}~]", r"[\x00-\x08\x0E-\x1F\x7F]", r"[\x{80}-\x{7FF}]", r"[\x{800}-\x{FFFF}]", r"[\x{10000}-\x{10FFFF}]")
+    classes = ", ".join(f"length(t) - length(regexp_replace(t, '{k}', '', 'g'))" for k in kinds)
+    common = ", ".join(f"('{lang}', '{w}', {i})" for lang, words in quality.COMMON_WORDS.items() for i, w in enumerate(words))
+    langs = ", ".join(f"'{x}'" for x in quality.COMMON_WORDS)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({langs}) THEN lang ELSE 'und' END AS lang,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         regexp_extract_all({ascii_lower}, '[^\x20\x09-\x0D!-/:-@\[-`{{-~]+') AS h,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, g FROM windows GROUP BY doc_id, g HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows JOIN twice USING (doc_id, g), (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
+classes AS (SELECT doc_id, lang, unnest(c) AS n, generate_subscripts(c, 1) AS bin FROM (SELECT doc_id, lang, [{classes}] AS c FROM d)),
+common(lang, word, bin) AS (VALUES {common}),
+found AS (SELECT doc_id, lang, unnest(h) AS word FROM d WHERE lang <> 'und'),
+counted AS (SELECT f.doc_id, f.lang, coalesce(c.bin, -1) AS bin, count(*) AS n FROM found f LEFT JOIN common c USING (lang, word) GROUP BY ALL),
+both_kinds AS (SELECT 'class' AS kind, doc_id, lang, bin, n FROM classes UNION ALL SELECT 'word', doc_id, lang, bin, n FROM counted),
+sums AS (SELECT kind, lang, bin, sum(n) AS n FROM both_kinds GROUP BY ALL),
+wholes AS (SELECT kind, lang, sum(n) AS n FROM sums GROUP BY ALL),
+sizes AS (SELECT kind, doc_id, lang, sum(n) AS n FROM both_kinds GROUP BY ALL),
+parts AS (
+  SELECT z.kind, z.doc_id, coalesce(b.n, 0) / z.n AS p, s.n / t.n AS q
+  FROM sizes z JOIN sums s ON z.kind = s.kind AND z.lang = s.lang JOIN wholes t ON z.kind = t.kind AND z.lang = t.lang
+  LEFT JOIN both_kinds b ON b.kind = z.kind AND b.doc_id = z.doc_id AND b.bin = s.bin WHERE z.n > 0 AND t.n > 0),
+distances AS (
+  SELECT kind, doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS x
+  FROM parts GROUP BY ALL),
+judged AS (
+  SELECT d.doc_id, c.x AS class_x, w.x AS word_x
+  FROM d JOIN sizes s ON s.kind = 'class' AND s.doc_id = d.doc_id AND s.n >= {quality.MIN_CODE_POINTS}
+  JOIN wholes t ON t.kind = 'class' AND t.lang = d.lang AND t.n >= {quality.MIN_REFERENCE}
+  JOIN distances c ON c.kind = 'class' AND c.doc_id = d.doc_id
+  LEFT JOIN sizes v ON v.kind = 'word' AND v.doc_id = d.doc_id AND v.n >= {quality.MIN_WORDS}
+  LEFT JOIN distances w ON w.kind = 'word' AND w.doc_id = v.doc_id),
+base AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM d LEFT JOIN covered USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(class_x <= {quality.MAX_CLASS_DISTANCE}, true)
+         AND coalesce(word_x <= {quality.MAX_WORD_DISTANCE}, true) AS kept,
+       round(class_x, 6) AS class_distance, round(word_x, 6) AS word_distance
+FROM base LEFT JOIN judged USING (doc_id)
+"""
+
+
+@register(_quality_sql())
 def op2_quality_divergence(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.quality_rules(documents(spark, sf))
+    judged = quality.quality_rules(documents(spark, sf))
+    return judged.withColumn("class_distance", F.round("class_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
 
 
 @register()
@@ -93,10 +147,61 @@ def op7_arrow_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-@register()
+def _time_sql(schedule: tuple) -> str:
+    """Inverse of a schedule's integral, as ``mixing.demand_time`` has it."""
+    done, out = 0.0, "CASE "
+    whole = sum((t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]))
+    for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
+        area, slope = (t1 - t0) * (w0 + w1) / 2, (w1 - w0) / (t1 - t0)
+        left = f"(share * {whole!r}::DOUBLE - {done!r}::DOUBLE)"
+        out += f"WHEN share * {whole!r}::DOUBLE <= {done + area!r}::DOUBLE THEN {t0!r} + 2 * {left} / ({w0!r} + sqrt(greatest({w0 * w0!r} + 2 * {slope!r}::DOUBLE * {left}, 0))) "
+        done += area
+    return f"least(greatest({out} ELSE 1 END, 0), 1)"
+
+
+def _mixing_sql() -> str:
+    times = " ".join(f"WHEN {i} THEN {_time_sql(x)}" for i, x in enumerate(mixing.SCHEDULES))
+    weights = " ".join(f"WHEN {i} THEN {w!r}::DOUBLE" for i, w in enumerate(mixing.WEIGHTS))
+    return rf"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '{mixing.ORDER}') AS key FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS place FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE place % {len(mixing.WEIGHTS)} {weights} END AS weight FROM sources),
+-- sharing again and again: round by round, sources over their limit are set to it and leave
+rounds AS (
+  SELECT 0 AS r, source, weight, source_size, false AS full_, weight / sum(weight) OVER () * sum(source_size) OVER () AS share FROM weighed
+  UNION ALL
+  SELECT r + 1, source, weight, source_size, full_ OR share >= {mixing.MAX_EPOCHS} * source_size,
+         CASE WHEN full_ OR share >= {mixing.MAX_EPOCHS} * source_size THEN {mixing.MAX_EPOCHS} * source_size
+              ELSE weight / sum(CASE WHEN full_ OR share >= {mixing.MAX_EPOCHS} * source_size THEN 0 ELSE weight END) OVER ()
+                   * (sum(source_size) OVER () - sum(CASE WHEN full_ OR share >= {mixing.MAX_EPOCHS} * source_size THEN {mixing.MAX_EPOCHS} * source_size ELSE 0 END) OVER ()) END
+  FROM rounds WHERE r < 40),
+targets AS (SELECT w.*, x.share AS target FROM weighed w JOIN rounds x ON x.r = 40 AND w.source IS NOT DISTINCT FROM x.source),
+placed AS (
+  SELECT s.*, t.source_size, t.target, t.place,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS middle
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+shared AS (
+  SELECT *, middle / target AS share, len(list_filter(range({mixing.MAX_EPOCHS}), lambda r: middle + r * source_size <= target)) AS passes FROM placed)
+SELECT doc_id, size, source_size, round(target, 3) AS target, CAST(size * passes AS BIGINT) AS taken,
+       CASE WHEN passes > 0 THEN round(CASE place % {len(mixing.SCHEDULES)} {times} END, 6) END AS first_position
+FROM shared
+"""
+
+
+@register(_mixing_sql())
 def op9_curriculum_mix(spark: SparkSession, sf: str) -> DataFrame:
     placed = mixing.training_positions(documents(spark, sf))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "source_size",
+        F.round("target", 3).alias("target"),
+        (F.col("size") * F.size("positions")).alias("taken"),
+        F.round(F.get("positions", F.lit(0)), 6).alias("first_position"),
+    )
 
 
 JACCARD_SQL = r"""
