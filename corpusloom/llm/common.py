@@ -29,6 +29,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions_for(df: DataFrame, column: str = "text", bytes_each: int = PARTITION_BYTES) -> int:
     """Partitions for a re-dealt ``df``: they grow with the bytes that the optimizer expects.
 

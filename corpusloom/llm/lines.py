@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACES, ascii_lower
+from corpusloom.llm.common import SPACES, ascii_lower, free_name
 from corpusloom.session import materialize
 
 MIN_DOCS = 10
@@ -33,15 +33,16 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS) -> DataFrame:
-    """The rows of ``docs`` with all columns, text replaced by the kept lines, and _n_lines and _n_dropped added."""
-    version = F.xxhash64("text")
+def _deduplicated(docs: DataFrame, min_docs: int, min_points: int) -> tuple[DataFrame, str, str]:
+    """The rows of ``docs`` with the kept lines as text, and the names of two more columns: lines before, lines dropped."""
+    version, split, gone, n_lines, n_dropped = (free_name(docs, x) for x in ("_version", "_lines", "_dropped", "_n_lines", "_n_dropped"))
 
     def hashes(line: Column) -> Column:
         key = line_key(line)
         return F.when(F.char_length(key) >= min_points, F.struct(F.xxhash64(key).alias("h1"), F.hash(key).alias("h2")))
 
-    keyed = materialize(docs.select("doc_id", version.alias("version"), F.transform(lines_of(F.col("text")), hashes).alias("keys")), "line-keys")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("version"), F.transform(lines_of(F.col("text")), hashes).alias("keys"))
+    keyed = materialize(keyed, "line-keys")
     held = keyed.select(F.explode(F.array_distinct("keys")).alias("key")).where("key is not null").select("key.h1", "key.h2")
     repeated = held.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
     placed = keyed.select("doc_id", "version", F.posexplode("keys").alias("pos", "key")).where("key is not null")
@@ -49,18 +50,24 @@ def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_points
         placed.select("doc_id", "version", "pos", "key.h1", "key.h2")
         .join(repeated, ["h1", "h2"], "left_semi")
         .groupBy("doc_id", "version")
-        .agg(F.collect_set("pos").alias("_dropped"))
+        .agg(F.collect_set("pos").alias("dropped"))
     )
-    d, x = docs.withColumn("_version", version).alias("d"), dropped.alias("x")
-    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d._version") == F.col("x.version"))
-    joined = d.join(x, same, "left").select("d.*", lines_of(F.col("d.text")).alias("_lines"), F.coalesce("x._dropped", F.array().cast("array<int>")).alias("_dropped"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))
-    text = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.size("_lines").cast("long").alias("_n_lines"), F.size("_dropped").cast("long").alias("_n_dropped"))
+    d, x = docs.withColumn(version, F.xxhash64("text")).alias("d"), dropped.alias("x")
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col(f"d.{version}") == F.col("x.version"))
+    others = [F.col(f"d.`{c}`") for c in docs.columns if c != "text"]
+    joined = d.join(x, same, "left").select(*others, lines_of(F.col("d.text")).alias(split), F.coalesce("x.dropped", F.array().cast("array<int>")).alias(gone))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    text = F.array_join(F.transform(kept, lambda i: F.get(F.col(split), i)), "\n")
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, F.size(split).cast("long").alias(n_lines), F.size(gone).cast("long").alias(n_dropped)), n_lines, n_dropped
+
+
+def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS) -> DataFrame:
+    """The rows of ``docs`` with all columns, text replaced by the kept lines."""
+    return _deduplicated(docs, min_docs, min_points)[0].select(*docs.columns)
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS) -> DataFrame:
     """doc_id, text (of the kept lines), n_lines (before dropping) and n_dropped of each row of ``docs``."""
-    found = without_repeated_lines(docs.select("doc_id", "text"), min_docs, min_points)
-    return found.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+    found, n_lines, n_dropped = _deduplicated(docs.select("doc_id", "text"), min_docs, min_points)
+    return found.select("doc_id", "text", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"))
