@@ -326,7 +326,7 @@ def validate_partition(spark, sf):
     groups = (
         F.when(F.col("lang") == "en", F.col("pairs"))
         .when(F.col("lang") == "fr", F.col("late"))
-        .when(F.col("lang") == "de", F.slice("pairs", 2, 1_000_000))
+        .when(F.col("lang") == "de", F.filter("pairs", lambda _, i: i > 0))
         .otherwise(F.concat("pairs", F.slice("pairs", 1, 1)))
     )
     return B.validate_partition(docs.withColumn("groups", groups)).select("doc_id", "n_blocks", "problem", "valid")
@@ -356,7 +356,7 @@ def assemble_groups(spark, sf):
     langs = table(spark, sf, "documents", "doc_id", "lang").filter(F.col("lang") != "es")
     proposals = segments.join(langs, "doc_id").select(
         "doc_id", "segment_index",
-        F.when(F.col("lang").isin("en", "de"), _pairs(n)).otherwise(F.slice(_pairs(n), 2, 1_000_000)).alias("groups"),
+        F.when(F.col("lang").isin("en", "de"), _pairs(n)).otherwise(F.filter(_pairs(n), lambda _, i: i > 0)).alias("groups"),
     )
     out = B.assemble_groups(segments, proposals)
     return out.select(

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.markup import BLOCK, text_blocks
 from corpusloom.functions.text import count_tokens
-from corpusloom.sources.tables import read_table, spread_small
+from corpusloom.sources.tables import read_table
 
 
 TEXT_HEAVY = ("documents", "pages", "conversations")
 
 
+def spread_small(rows: DataFrame) -> DataFrame:
+    """Deal out a test table that is one file, so that a local run uses all cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     rows = read_table(spark, sf, name, columns or None)
     heavy = name in TEXT_HEAVY and (not columns or {"text", "html"} & set(columns))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions.text import Cols, _c, py_strip
 
@@ -12,10 +17,10 @@ BLOCK = (
 )
 
 # --- fixed values: element classes ---------------------------------------------------------------
-_DROPPED = ("script", "style", "nav", "footer", "head", "noscript", "template", "aside", "header")
+_DROPPED = ("script", "style", "nav", "footer", "head")
 _BREAKING = (
     "p|div|article|section|main|body|html|ul|ol|li|dl|dt|dd|blockquote|pre|figure|figcaption|form|"
-    "fieldset|hr|address|table|thead|tbody|tfoot|tr|td|th|caption"
+    "fieldset|hr|address|table|thead|tbody|tfoot|tr|td|th|caption|header|aside|noscript|template"
 )
 _ENTITIES = (
     ("&nbsp;", " "),
@@ -28,9 +33,30 @@ _ENTITIES = (
     ("&gt;", ">"),
     ("&amp;", "&"),
 )
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+_OTHER_REFERENCE = r"&(?!(?:nbsp|middot|copy|quot|#39|apos|lt|gt|amp);)(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
 _CUT, _MARK = "\u0001", "\u0002"
 
 
+def _rest(values: Column) -> Column:
+    """All but the first element."""
+    return F.filter(values, lambda _, i: i > 0)
+
+
+@F.pandas_udf(StringType())
+def _expand(markup: pd.Series) -> pd.Series:
+    """Named and numeric character references as characters, but for those of markup itself."""
+    keep = {"<": "&lt;", ">": "&gt;", "&": "&amp;"}
+    one = lambda m: "".join(keep.get(c, c) for c in html.unescape(m[0]))
+    return markup.map(lambda x: x if x is None else _REFERENCE.sub(one, x))
+
+
+def _expanded(markup: Column) -> Column:
+    """Only pages with references beyond the common ones leave the JVM."""
+    other = F.rlike(markup, F.lit(_OTHER_REFERENCE))
+    return F.when(other, _expand(F.when(other, markup))).otherwise(markup)
+
+
 def _decode(text: Column) -> Column:
     for name, char in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
@@ -56,11 +82,11 @@ def _block(kind: Column, level: Column, value: Column, md: Column, rows: Column)
 
 
 def _table_block(markup: Column) -> Column:
-    row_parts = F.slice(F.split(markup, r"(?i)<tr\b[^>]*>"), 2, 1_000_000)
+    row_parts = _rest(F.split(markup, r"(?i)<tr\b[^>]*>"))
     rows = F.transform(
         row_parts,
         lambda r: F.transform(
-            F.slice(F.split(r, r"(?i)<t[dh]\b[^>]*>"), 2, 1_000_000),
+            _rest(F.split(r, r"(?i)<t[dh]\b[^>]*>")),
             lambda c: F.nullif(F.replace(_plain(c), F.lit("\n"), F.lit(" ")), F.lit("")),
         ),
     )
@@ -70,7 +96,7 @@ def _table_block(markup: Column) -> Column:
     rule = lambda row: F.concat(F.lit("| "), F.array_join(F.transform(row, lambda c: F.lit("---")), " | "), F.lit(" |"))
     first = F.slice(rows, 1, 1)
     md = F.array_join(
-        F.concat(F.transform(first, as_line), F.transform(first, rule), F.transform(F.slice(rows, 2, 1_000_000), as_line)),
+        F.concat(F.transform(first, as_line), F.transform(first, rule), F.transform(_rest(rows), as_line)),
         "\n",
     )
     return _block(F.lit("table"), F.lit(None).cast("int"), md, md, rows)
@@ -93,12 +119,12 @@ def _flow_blocks(markup: Column) -> Column:
     return F.filter(F.transform(F.split(marked, _CUT), piece), lambda b: b["value"] != "")
 
 
-def html_blocks(html: Cols) -> Column:
+def html_blocks(markup: Cols) -> Column:
     """Ordered heading, text and table blocks of a page, without scripts, styles, navigation and footer.
 
     Whole-page regular expressions keep the step inside the JVM.  Nested tables are read as one grid.
     """
-    body = _c(html)
+    body = _expanded(_c(markup))
     for tag in ("script", "style"):
         body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     body = F.regexp_replace(body, r"(?s)<!--.*?-->", "")

@@ -6,8 +6,10 @@ import unicodedata
 from collections.abc import Callable, Sequence
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 Cols = Column | str
 
@@ -70,40 +72,44 @@ def _accent_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-@cache
-def _compose_pairs() -> list[tuple[str, str]]:
-    """(letter + mark, composed letter) pairs from the Unicode data base, unaccented letters first."""
-    pairs = []
-    for code in range(0xC0, 0x1F00):
-        parts = unicodedata.decomposition(chr(code)).split()
-        if len(parts) == 2 and not parts[0].startswith("<"):
-            pairs.append(("".join(chr(int(p, 16)) for p in parts), chr(code)))
-    return sorted(pairs, key=lambda p: (ord(p[0][0]) >= 0x80, ord(p[1])))
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+
+@F.pandas_udf(StringType())
+def _bare(text: pd.Series) -> pd.Series:
+    def one(x: str | None) -> str | None:
+        if x is None:
+            return None
+        parts = unicodedata.normalize("NFD", unicodedata.normalize("NFC", x).replace("đ", "d").replace("Đ", "D"))
+        return "".join(c for c in parts if not unicodedata.combining(c)).lower()
+
+    return text.map(one)
 
 
 def compose_accents(text: Cols) -> Column:
-    """Canonical composition of letter + combining mark; text without combining marks is untouched."""
+    """Canonical composition; text without combining marks is untouched and stays in the JVM."""
     raw = _c(text)
-    # One constant: "letter mark composed" triples of characters, separated by spaces.
-    triples = F.split(F.lit(" ".join(a + b for a, b in _compose_pairs())), " ")
-    composed = F.aggregate(triples, raw, lambda acc, t: F.replace(acc, F.substring(t, 1, 2), F.substring(t, 3, 1)))
-    return F.when(F.rlike(raw, F.lit(r"\p{Mn}")), composed).otherwise(raw)
+    marked = F.rlike(raw, F.lit(r"\p{M}"))
+    return F.when(marked, _composed(F.when(marked, raw))).otherwise(raw)
 
 
-def strip_accents(text: Cols) -> Column:
-    """Replace accented letters by their base letter and drop loose combining marks."""
-    source, target = _accent_table()
-    return F.regexp_replace(F.translate(_c(text), source, target), r"\p{Mn}+", "")
+#: Characters whose accents a table can take off: Latin letters, punctuation and currency signs.
+_LATIN = r"\A[\x00-\u024F\u1E00-\u1EFF\u2000-\u206F\u20A0-\u20CF]*\z"
 
 
 def normalize_text(text: Cols) -> Column:
     """Accent-free, lower case, single spaces, trimmed; null becomes "".
 
-    Pure ASCII rows (byte length equals character length) skip the accent pass.
+    Marks of a combining class are dropped after canonical decomposition.  Pure ASCII rows skip that, Latin
+    rows take a table in the JVM, and only rows with other letters or loose marks go through Arrow.
     """
     raw = _c(text)
-    bare = F.when(F.octet_length(raw) == F.char_length(raw), raw).otherwise(strip_accents(raw))
-    return F.coalesce(F.trim(F.regexp_replace(F.lower(bare), r"(?U)\s+", " ")), F.lit(""))
+    source, target = _accent_table()
+    plain, latin = F.octet_length(raw) == F.char_length(raw), F.rlike(raw, F.lit(_LATIN))
+    bare = F.when(plain, F.lower(raw)).when(latin, F.lower(F.translate(raw, source, target))).otherwise(_bare(F.when(~latin, raw)))
+    return F.coalesce(F.trim(F.regexp_replace(bare, r"(?U)[\s\x1C-\x1F]+", " ")), F.lit(""))
 
 
 def words(text: Cols) -> Column:

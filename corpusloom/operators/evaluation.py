@@ -359,10 +359,12 @@ def pending_pairs(pairs: DataFrame, cache: DataFrame, key: Sequence[str] = ("que
 def merge_judgments(
     cache: DataFrame, judged_now: DataFrame, requested: DataFrame, key: Sequence[str] = ("query_id", "chunk_id")
 ) -> tuple[DataFrame, DataFrame]:
-    """(new cache, labels of the requested pairs).  Failed judgments (null) are not cached."""
-    grown = cache.select(*key, "relevant").unionByName(
-        judged_now.filter(F.col("relevant").isNotNull()).select(*key, "relevant")
-    )
+    """(new cache, labels of the requested pairs).
+
+    Failed judgments (null) are not cached.  A pair that the cache holds keeps its judgment.
+    """
+    fresh = judged_now.filter(F.col("relevant").isNotNull()).join(cache.select(*key).distinct(), list(key), "left_anti")
+    grown = cache.select(*key, "relevant").unionByName(fresh.select(*key, "relevant"))
     return grown, grown.join(requested.select(*key), list(key), "left_semi")
 
 

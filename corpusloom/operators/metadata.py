@@ -87,8 +87,9 @@ def gazetteer_match(
 
     A gazetteer of at most ``small`` names (checked) becomes one array value and every text is tested
     where it is, without a join.  A larger one is matched by an equi-join: a name can only occur where
-    its leading characters do, so texts are keyed by their distinct character n-grams, n being the
-    length of the shortest name (at most 8).
+    its leading characters do (the first 8, or all of a shorter name), so distinct texts are keyed by their
+    distinct character n-grams of the lengths that names have.  Both ways give each row one answer: the
+    second joins on the text itself, so repeated and null keys don't matter.
     """
     names = gazetteer.select(
         F.char_length("name").alias("n"), F.col("name"), F.lower("name").alias("low")
@@ -98,18 +99,17 @@ def gazetteer_match(
         rows = texts.withColumn("_names", listed.scalar())
         hits = let(F.lower(F.col(column)), lambda low: F.filter("_names", lambda g: F.contains(low, g["low"])))
         return rows.select(*texts.columns, F.get(hits, F.lit(0))["name"].alias(out))
-    width = min(8, names.agg(F.min("n")).first()[0])
-    low = F.lower(F.col(column))
-    grams = F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
-    starts = texts.select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
-    near = starts.join(names.withColumn("_gram", F.substring("low", 1, width)), "_gram").drop("_gram")
+    names = names.withColumn("_gram", F.substring("low", 1, 8))
+    widths = [r[0] for r in names.select(F.char_length("_gram")).distinct().collect()]  # at most 8
+    said = texts.select(F.lower(F.col(column)).alias("_low")).distinct()
+    grams = F.flatten(F.array(*[F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in widths]))
+    near = said.select("_low", F.explode(F.array_distinct(grams)).alias("_gram")).join(names, "_gram")
     found = (
-        near.join(texts.select(key, low.alias("_low")), key)
-        .filter(F.contains("_low", F.col("low")))
-        .groupBy(key)
+        near.filter(F.contains("_low", F.col("low")))
+        .groupBy("_low")
         .agg(F.min(F.struct((-F.col("n")).alias("n"), "name"))["name"].alias(out))
     )
-    return texts.join(found, key, "left")
+    return texts.withColumn("_low", F.lower(F.col(column))).join(found, "_low", "left").select(*texts.columns, out)
 
 
 def title_metadata(files: DataFrame, gazetteer: DataFrame, column: str = "filename") -> DataFrame:

@@ -37,7 +37,7 @@ def seeded_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """
     if n <= 0:
         return rows
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws("/", F.lit(seed), F.col(key)).cast("binary")), F.col(key)).limit(n)
 
 
 def flag_report(flagged: DataFrame, heavy: Sequence[str] = rules.HEAVY_FLAGS) -> DataFrame:

@@ -269,6 +269,9 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 def _cosine_scorer(matrix: np.ndarray):
     def score(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lengths = pc.list_value_length(batch.column("vec"))
+        if batch.num_rows and pc.any(pc.not_equal(lengths, matrix.shape[1])).as_py():
+            raise ValueError(f"vectors of other lengths than the queries' {matrix.shape[1]}")
         flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         scores = _unit_rows(flat.reshape(batch.num_rows, -1)) @ matrix.T
         return scores, np.ones(scores.shape, dtype=bool)

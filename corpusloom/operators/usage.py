@@ -116,8 +116,8 @@ def period_report(
     count = lambda c: F.sum(c.cast("long"))
     window = messages.filter(_in_range("created_at", first, now))
     by_user = window.groupBy("user_id").agg(
-        flag(current & (F.col("sender_type") == user_sender)).alias("u1"),
-        flag(~current & (F.col("sender_type") == user_sender)).alias("u0"),
+        flag(current & (F.col("sender_type") == user_sender) & F.col("user_id").isNotNull()).alias("u1"),
+        flag(~current & (F.col("sender_type") == user_sender) & F.col("user_id").isNotNull()).alias("u0"),
         count(current & (F.col("sender_type") == answerer)).alias("a1"),
         count(~current & (F.col("sender_type") == answerer)).alias("a0"),
     )

@@ -18,13 +18,13 @@ PROPOSED_CHUNK_TYPES = ("text", "list", "mixed")
 
 # --- fixed values: document header ---------------------------------------------------------------
 DOC_TYPE_RULES = (
-    ("ke_hoach", r"KẾ\s+HOẠCH"),
-    ("quyet_dinh", r"QUYẾT\s+ĐỊNH"),
-    ("thong_tu", r"THÔNG\s+TƯ"),
+    ("ke_hoach", r"(?U)KẾ\s+HOẠCH"),
+    ("quyet_dinh", r"(?U)QUYẾT\s+ĐỊNH"),
+    ("thong_tu", r"(?U)THÔNG\s+TƯ"),
 )
 DOC_TYPE_OTHER = "khac"
-DATE_PATTERN = r"(?iu)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
-NUMBER_PATTERN = r"(?iu)Số\s*:\s*([0-9][0-9A-Za-zĐ/.\-]*)"
+DATE_PATTERN = r"(?iuU)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+NUMBER_PATTERN = r"(?iuU)Số\s*:\s*([0-9][0-9A-Za-zĐ/.\-]*)"
 NUMBER_LABEL = "Số "
 ISSUER_PREFIXES = (
     "ỦY BAN NHÂN DÂN",
@@ -40,29 +40,29 @@ YEAR_PATTERN = r"(20\d{2})\s*[-–]?\s*(20\d{2})"
 LOCALITY_PATTERN = r"(?iuU)(?:phường|xã|đặc\s+khu)\s+(.+?)(?=\s*,|\s+năm\b|\s*\d|\.pdf|$)"
 
 # --- fixed values: localities known to the title and query parsers --------------------------------
-LOCALITIES = tuple(
-    name.strip()
-    for name in """
-    An Khánh, An Long, An Nhơn, An Nhơn Tây, An Phú, An Phú Đông, An Đông, Bà Rịa, Bà Điểm, Bàn Cờ,
-    Bàu Bàng, Bàu Lâm, Bình Chánh, Bình Châu, Bình Cơ, Bình Dương, Bình Giã, Bình Hưng,
-    Bình Hưng Hòa, Bình Khánh, Bình Lợi, Bình Lợi Trung, Bình Phú, Bình Qưới, Bình Thạnh, Bình Thới,
-    Bình Tiên, Bình Trưng, Bình Trị Đông, Bình Tân, Bình Tây, Bình Đông, Bảy Hiền, Bắc Tân Uyên,
-    Bến Cát, Bến Thành, Chánh Hiệp, Chánh Hưng, Chánh Phú Hòa, Châu Pha, Châu Đức, Chợ Lớn,
-    Chợ Quán, Cát Lái, Côn Đảo, Cần Giờ, Cầu Kiệu, Cầu Ông Lãnh, Củ Chi, Diên Hồng, Dĩ An,
-    Dầu Tiếng, Gia Định, Gò Vấp, Hiệp Bình, Hiệp Phước, Hòa Bình, Hòa Hiệp, Hòa Hưng, Hòa Hội,
-    Hòa Lợi, Hóc Môn, Hưng Long, Hạnh Thông, Hồ Tràm, Hội Tây, Khánh Hội, Linh Xuân, Long Hòa,
-    Long Hương, Long Hải, Long Nguyên, Long Phước, Long Sơn, Long Trường, Long Điền, Lái Thiêu,
-    Minh Phụng, Minh Thạnh, Ngãi Giao, Nhiêu Lộc, Nhuận Đức, Nhà Bè, Phú An, Phú Giáo,
-    Phú Hòa Đông, Phú Lâm, Phú Lợi, Phú Mỹ, Phú Nhuận, Phú Thuận, Phú Thạnh, Phú Thọ, Phú Định,
-    Phước Hòa, Phước Hải, Phước Long, Phước Thành, Phước Thắng, Sài Gòn, Tam Bình, Tam Long,
-    Tam Thắng, Thanh An, Thuận An, Thuận Giao, Thái Mỹ, Thông Tây Hội, Thường Tân, Thạch An,
-    Thạnh Mỹ Tây, Thọ Hòa, Thới An, Thới Hòa, Thủ Dầu Một, Thủ Đức, Trung Mỹ Tây, Trừ Văn Thố,
-    Tân An Hội, Tân Bình, Tân Hiệp, Tân Hòa, Tân Hưng, Tân Hải, Tân Khánh, Tân Mỹ, Tân Nhựt,
-    Tân Phú, Tân Phước, Tân Sơn, Tân Sơn Hòa, Tân Sơn Nhì, Tân Sơn Nhất, Tân Thuận, Tân Thành,
-    Tân Thới Hiệp, Tân Tạo, Tân Vĩnh Lộc, Tân Đông Hiệp, Tân Định, Tây Nam, Tây Thạnh,
-    Tăng Nhơn Phú, Vĩnh Hội, Vĩnh Lộc, Vĩnh Tân, Vũng Tàu, Vườn Lài, Xuyên Mộc, Xuân Hòa,
-    Xóm Chiếu, Đông Hòa, Đông Hưng Thuận, Đông Thạnh, Đất Đỏ, Đức Nhuận
-    """.split(",")
+LOCALITIES = (
+    "An Khánh", "An Long", "An Nhơn", "An Nhơn Tây", "An Phú", "An Phú Đông", "An Đông", "Bà Rịa",
+    "Bà Điểm", "Bàn Cờ", "Bàu Bàng", "Bàu Lâm", "Bình Chánh", "Bình Châu", "Bình Cơ", "Bình Dương",
+    "Bình Giã", "Bình Hưng", "Bình Hưng Hòa", "Bình Khánh", "Bình Lợi", "Bình Lợi Trung",
+    "Bình Phú", "Bình Qưới", "Bình Thạnh", "Bình Thới", "Bình Tiên", "Bình Trưng", "Bình Trị Đông",
+    "Bình Tân", "Bình Tây", "Bình Đông", "Bảy Hiền", "Bắc Tân Uyên", "Bến Cát", "Bến Thành",
+    "Chánh Hiệp", "Chánh Hưng", "Chánh Phú Hòa", "Châu Pha", "Châu Đức", "Chợ Lớn", "Chợ Quán",
+    "Cát Lái", "Côn Đảo", "Cần Giờ", "Cầu Kiệu", "Cầu Ông Lãnh", "Củ Chi", "Diên Hồng", "Dĩ An",
+    "Dầu Tiếng", "Gia Định", "Gò Vấp", "Hiệp Bình", "Hiệp Phước", "Hòa Bình", "Hòa Hiệp",
+    "Hòa Hưng", "Hòa Hội", "Hòa Lợi", "Hóc Môn", "Hưng Long", "Hạnh Thông", "Hồ Tràm", "Hội Tây",
+    "Khánh Hội", "Linh Xuân", "Long Hòa", "Long Hương", "Long Hải", "Long Nguyên", "Long Phước",
+    "Long Sơn", "Long Trường", "Long Điền", "Lái Thiêu", "Minh Phụng", "Minh Thạnh", "Ngãi Giao",
+    "Nhiêu Lộc", "Nhuận Đức", "Nhà Bè", "Phú An", "Phú Giáo", "Phú Hòa Đông", "Phú Lâm", "Phú Lợi",
+    "Phú Mỹ", "Phú Nhuận", "Phú Thuận", "Phú Thạnh", "Phú Thọ", "Phú Định", "Phước Hòa",
+    "Phước Hải", "Phước Long", "Phước Thành", "Phước Thắng", "Sài Gòn", "Tam Bình", "Tam Long",
+    "Tam Thắng", "Thanh An", "Thuận An", "Thuận Giao", "Thái Mỹ", "Thông Tây Hội", "Thường Tân",
+    "Thạch An", "Thạnh Mỹ Tây", "Thọ Hòa", "Thới An", "Thới Hòa", "Thủ Dầu Một", "Thủ Đức",
+    "Trung Mỹ Tây", "Trừ Văn Thố", "Tân An Hội", "Tân Bình", "Tân Hiệp", "Tân Hòa", "Tân Hưng",
+    "Tân Hải", "Tân Khánh", "Tân Mỹ", "Tân Nhựt", "Tân Phú", "Tân Phước", "Tân Sơn", "Tân Sơn Hòa",
+    "Tân Sơn Nhì", "Tân Sơn Nhất", "Tân Thuận", "Tân Thành", "Tân Thới Hiệp", "Tân Tạo",
+    "Tân Vĩnh Lộc", "Tân Đông Hiệp", "Tân Định", "Tây Nam", "Tây Thạnh", "Tăng Nhơn Phú",
+    "Vĩnh Hội", "Vĩnh Lộc", "Vĩnh Tân", "Vũng Tàu", "Vườn Lài", "Xuyên Mộc", "Xuân Hòa",
+    "Xóm Chiếu", "Đông Hòa", "Đông Hưng Thuận", "Đông Thạnh", "Đất Đỏ", "Đức Nhuận",
 )
 
 # --- fixed values: uploads -----------------------------------------------------------------------

@@ -9,15 +9,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.blocks import GRID, ITEM_IN
 
-def spread_small(table: DataFrame) -> DataFrame:
-    """Deal out the rows of a table that is too small to occupy all cores.
-
-    Only when the scan has fewer splits than there are cores is one round-robin shuffle of these few
-    rows added; any larger table keeps the parallelism of its files and is returned as it is.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
 
 PAGES_SCHEMA = f"pages array<struct<page:int,md:string,items:array<{ITEM_IN}>>>"
 EVAL_SCHEMA = (
