@@ -45,10 +45,13 @@ PERCENT = 75
 HOT = 256
 SLACK = 32
 SMALL = 16
+#: Open documents are tied through one in so many of their hot tokens.
+TIE_EVERY = 4
 #: Points of an R-tree leaf, and children of an inner node.
 PAGE = 128
 CHILDREN = 16
-MAX_GROUPS = 2048
+FINE_GROUPS = 256
+MAX_GROUPS = 4096
 SHARDS_EACH = 8
 CACHE_ENTRIES = 400_000
 
@@ -94,12 +97,14 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def group_counts(hashes: np.ndarray) -> bytes:
-    """Counts by group, one byte each; a power of two of groups, half as many as shingles or fewer.
+    """Counts by group, one byte each; a power of two of groups.
 
-    Empty if a count doesn't fit: such a point bounds nothing.
+    Small sets get more groups than shingles, as many of them share most of a passage and only a fine point
+    tells them apart; large ones half as many or more.  Empty if a count doesn't fit: such a point bounds
+    nothing.
     """
-    groups = 8
-    while groups * 4 <= len(hashes) and groups < MAX_GROUPS:
+    n, groups = len(hashes), 8
+    while groups < min(2 * n, FINE_GROUPS) or groups < n / 2 and groups < MAX_GROUPS:
         groups *= 2
     counts = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
@@ -327,7 +332,9 @@ def candidate_pairs(tokens: DataFrame, points: DataFrame, percent: int, labels:
     Without ``labels``: all pairs of small groups, and ties of large ones.  With ``labels`` (node, component):
     all pairs of large groups whose components differ.
     """
-    rows = tokens if labels is None else tokens.where(F.col("count") > SMALL)
+    # an open document has more than SLACK hot tokens: a part of them will tie it
+    tying = (F.col("count") <= HOT) | (F.col("role") == ACTIVE) | (F.pmod(F.hash("token"), F.lit(TIE_EVERY)) == 0)
+    rows = tokens.where(tying & (F.col("role") != PASSIVE)) if labels is None else tokens.where(F.col("count") > SMALL)
     nodes = rows.select("part", "node").distinct().join(points, "node")
     nodes = nodes.withColumn("component", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     empty = lambda kind: F.lit(None).cast(kind)
@@ -366,7 +373,6 @@ def candidate_pairs(tokens: DataFrame, points: DataFrame, percent: int, labels:
                         if component[a] != component[b]:
                             offer(a, b)
             elif not second:
-                group = [x for x, role in zip(group, roles) if role != PASSIVE]
                 for i, j in tie(np.array([size[x] for x in group], np.int64), [point[x] for x in group], percent):
                     offer(group[i], group[j])
             elif len({component[x] for x in group}) > 1:
