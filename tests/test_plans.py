@@ -61,7 +61,7 @@ def test_search_does_not_shuffle_the_corpus(spark):
 
 def test_every_query_is_documented_with_sql_or_reason(queries):
     without = set(queries) - set(catalog.ORACLES)
-    assert without == {"lsh_candidates", "seeded_sample"}
+    assert without == {"lsh_candidates"}
 
 
 def test_entry(spark):
