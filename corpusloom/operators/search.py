@@ -31,6 +31,7 @@ from corpusloom.session import broadcast_if_small, materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERY_BLOCK = 4096
+KEYWORD_BLOCK = 32_768  # keyword queries answered in one pass over the corpus's terms
 _CELLS = 4_000_000  # scores held at once by a task
 
 
@@ -48,12 +49,21 @@ class _Best:
 
     def add(self, scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray) -> None:
         row, query = np.nonzero(allowed & (scores >= self.floor))
-        if len(row):
-            self.rows.append(pd.DataFrame({"q": query, "id": ids[row], "s": scores[row, query]}))
-            self.held += len(row)
+        self.take(query, ids[row], scores[row, query])
+
+    def take(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        if len(query):
+            self.rows.append(pd.DataFrame({"q": query, "id": ids, "s": scores}))
+            self.held += len(query)
         if self.held > 200_000:
             self.compact()
 
+    def result(self, query_ids: np.ndarray, kind: pa.DataType | None) -> Iterator[pa.RecordBatch]:
+        rows = self.compact()
+        if rows is not None and len(rows):
+            columns = [pa.array(query_ids[rows["q"].to_numpy()]), pa.array(rows["id"].to_numpy(), type=kind), pa.array(rows["s"].to_numpy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
+
     def compact(self) -> pd.DataFrame | None:
         if not self.rows:
             return None
@@ -70,13 +80,20 @@ class _Best:
 def _slot_mask(batch: pa.RecordBatch, slots: dict[str, tuple[np.ndarray, list]], n_queries: int) -> np.ndarray:
     """True where every filter slot of the query is empty or equals the row's value."""
     mask = np.ones((batch.num_rows, n_queries), dtype=bool)
-    for column, (wanted, values) in slots.items():
-        found = pc.index_in(batch.column(column), value_set=pa.array(values, batch.column(column).type))
-        code = found.fill_null(-1).to_numpy(zero_copy_only=False)
+    for wanted, code in _slot_codes(batch, slots):
         mask &= (wanted[None, :] < 0) | (wanted[None, :] == code[:, None])
     return mask
 
 
+def _slot_codes(batch: pa.RecordBatch, slots: dict[str, tuple[np.ndarray, list]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each filter the wanted code of each query (-1: any) and the code of each row (-1: no query's)."""
+    out = []
+    for column, (wanted, values) in slots.items():
+        found = pc.index_in(batch.column(column), value_set=pa.array(values, batch.column(column).type))
+        out.append((wanted, found.fill_null(-1).to_numpy(zero_copy_only=False)))
+    return out
+
+
 def _query_slots(block: pd.DataFrame, filters: Sequence[str]) -> dict[str, tuple[np.ndarray, list]]:
     slots = {}
     for name in filters:
@@ -97,13 +114,6 @@ def _search_in_tasks(
     """Run ``score_rows`` (scores, matched) over slices of the corpus and keep k rows per query and task."""
     slots = _query_slots(block, filters)
     query_ids = block["query_id"].to_numpy()
-    schema = ST.StructType(
-        [
-            ST.StructField("query_id", id_type),
-            corpus.schema["chunk_id"],
-            ST.StructField("score", ST.DoubleType()),
-        ]
-    )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, kind = _Best(len(query_ids), k), None
@@ -115,18 +125,13 @@ def _search_in_tasks(
                 scores, matched = score_rows(part)
                 allowed = matched & _slot_mask(part, slots, len(query_ids))
                 best.add(np.round(scores, 6), allowed, part.column("chunk_id").to_numpy(zero_copy_only=False))
-        rows = best.compact()
-        if rows is not None and len(rows):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(query_ids[rows["q"].to_numpy()]),
-                    pa.array(rows["id"].to_numpy(), type=kind),
-                    pa.array(rows["s"].to_numpy()),
-                ],
-                names=["query_id", "chunk_id", "score"],
-            )
+        yield from best.result(query_ids, kind)
 
-    return corpus.mapInArrow(task, schema)
+    return corpus.mapInArrow(task, _hit_schema(corpus, id_type))
+
+
+def _hit_schema(corpus: DataFrame, id_type: ST.DataType) -> ST.StructType:
+    return ST.StructType([ST.StructField("query_id", id_type), corpus.schema["chunk_id"], ST.StructField("score", ST.DoubleType())])
 
 
 def query_blocks(queries: DataFrame, columns: Sequence[str], size: int = QUERY_BLOCK) -> Iterator[pd.DataFrame]:
@@ -154,21 +159,9 @@ def _no_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def term_statistics(vocabulary: DataFrame, corpus_terms: DataFrame) -> DataFrame:
-    """Per vocabulary term the number of chunks holding it and their total length.
-
-    The empty term stands for "every chunk", so the same map-side aggregate yields the corpus size and
-    length.  The shuffle carries one row per term and task.
-    """
-    rows = corpus_terms.select(
-        F.size("terms").alias("dl"),
-        F.explode_outer(F.array_distinct(F.concat(F.array(F.lit("")), F.col("terms")))).alias("term"),
-    )
-    wanted = vocabulary.select("term").distinct()
-    return (
-        rows.join(wanted, "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_length"))
-    )
+    """Per vocabulary term the number of chunks holding it; the shuffle carries one row per term and task."""
+    rows = corpus_terms.select(F.explode(F.array_distinct("terms")).alias("term"))
+    return rows.join(vocabulary.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def bm25_idf(df: Column, n: Column) -> Column:
@@ -182,61 +175,91 @@ def bm25_search(
     k1: float = rules.BM25_K1,
     b: float = rules.BM25_B,
     filters: Sequence[str] = (),
-    block_size: int = QUERY_BLOCK,
+    block_size: int = KEYWORD_BLOCK,
 ) -> DataFrame:
     """Okapi BM25 over ``text``: ``queries(query_id, text, *filters)`` x ``corpus(chunk_id, text, *filters)``.
 
-    Distinct query terms count once.  Tokenizing stays in the JVM; the per-task part multiplies term
-    weights into a chunk x query block with numpy.
+    Distinct query terms count once.  The corpus is read and tokenized once, in the JVM, and its terms are
+    written to the shared folder; one aggregate gives the frequencies of all queries' terms.  Each pass
+    over the terms answers up to ``block_size`` queries and touches only (chunk, query) pairs that share a
+    term.
     """
-    with_terms = corpus.select("chunk_id", *filters, search_terms("text").alias("terms"))
+    with_terms = materialize(corpus.select("chunk_id", *filters, search_terms("text").alias("terms")), "terms")
     asked = queries.select("query_id", *filters, F.array_distinct(search_terms("text")).alias("terms"))
+    n, total = with_terms.agg(F.count(F.lit(1)), F.sum(F.size("terms"))).first()
+    stats = materialize(term_statistics(asked.select(F.explode("terms").alias("term")), with_terms), "term-counts")
     id_type = queries.schema["query_id"].dataType
     found = []
     for block in query_blocks(asked, ["query_id", *filters, "terms"], block_size):
         vocabulary = sorted({t for terms in block["terms"] for t in terms})
-        if not vocabulary:
+        if not vocabulary or not n:
             continue
-        spark = queries.sparkSession
-        lookup = spark.createDataFrame(pd.DataFrame({"term": ["", *vocabulary]}))
-        stats = term_statistics(lookup, with_terms).toPandas().set_index("term")
-        if "" not in stats.index:
-            continue
-        n, total = float(stats.loc["", "df"]), float(stats.loc["", "total_length"])
-        df = stats["df"].reindex(vocabulary).fillna(0).to_numpy(dtype=float)
+        lookup = queries.sparkSession.createDataFrame(pd.DataFrame({"term": vocabulary}))
+        df = stats.join(lookup, "term", "left_semi").toPandas().set_index("term")["df"].reindex(vocabulary).fillna(0).to_numpy(dtype=float)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         position = {t: i for i, t in enumerate(vocabulary)}
         pairs = sorted((position[t], q) for q, terms in enumerate(block["terms"]) for t in set(terms))
         term_of = np.array([p[0] for p in pairs])
         query_of = np.array([p[1] for p in pairs])
         offset = np.searchsorted(term_of, np.arange(len(vocabulary) + 1))
-        scorer = _bm25_scorer(vocabulary, idf, offset, query_of, len(block), k1, b, total / n if total else 1.0)
-        found.append(_search_in_tasks(with_terms, block, filters, k, id_type, scorer))
+        weigh = _bm25_weights(vocabulary, idf, k1, b, total / n if total else 1.0)
+        found.append(_keyword_search_in_tasks(with_terms, block, filters, k, id_type, weigh, offset, query_of))
     hits = reduce(DataFrame.unionByName, found) if found else _no_hits(queries, corpus)
     return top_k(hits, k)
 
 
-def _bm25_scorer(vocabulary, idf, offset, query_of, n_queries, k1, b, mean_length):
-    def score(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        n = batch.num_rows
+def _bm25_weights(vocabulary, idf, k1, b, mean_length):
+    """(row, term, weight) of the vocabulary's terms in a batch, sorted by row."""
+
+    def weigh(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lists = batch.column("terms")
         lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         flat = lists.flatten()
         term = pc.index_in(flat, value_set=pa.array(vocabulary, flat.type)).fill_null(-1).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(n), lengths)
+        row = np.repeat(np.arange(batch.num_rows), lengths)
         known = term >= 0
         cell, tf = np.unique(row[known].astype(np.int64) * len(vocabulary) + term[known], return_counts=True)
         row, term = np.divmod(cell, len(vocabulary))
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / mean_length))
-        fan = offset[term + 1] - offset[term]
-        source = np.repeat(np.arange(len(cell)), fan)
-        within = np.arange(len(source)) - np.repeat(np.cumsum(fan) - fan, fan)
-        query = query_of[offset[term[source]] + within]
-        flat_scores = np.bincount(row[source] * n_queries + query, weight[source], n * n_queries)
-        scores = flat_scores.reshape(n, n_queries)
-        return scores, scores > 0
+        return row, term, idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / mean_length))
 
-    return score
+    return weigh
+
+
+def _keyword_search_in_tasks(corpus, block, filters, k, id_type, weigh, offset, query_of) -> DataFrame:
+    """Score the pairs of chunk and query that share a term, at most ``_CELLS`` (or one chunk's) at once."""
+    slots, query_ids, n_queries = _query_slots(block, filters), block["query_id"].to_numpy(), len(block)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind = _Best(n_queries, k), None
+        for batch in batches:
+            kind = batch.schema.field("chunk_id").type
+            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            codes = _slot_codes(batch, slots)
+            row, term, weight = weigh(batch)
+            fan = offset[term + 1] - offset[term]
+            reach = np.concatenate(([0], np.cumsum(fan)))
+            rows = np.concatenate((np.flatnonzero(np.diff(row, prepend=-1)), [len(row)]))
+            start = 0
+            while start < len(rows) - 1:
+                stop = max(start + 1, int(np.searchsorted(reach[rows], reach[rows[start]] + _CELLS, "right")) - 1)
+                cells = slice(rows[start], rows[stop])
+                source = np.repeat(np.arange(rows[start], rows[stop]), fan[cells])
+                within = np.arange(len(source)) - np.repeat(reach[cells] - reach[rows[start]], fan[cells])
+                key = row[source] * n_queries + query_of[offset[term[source]] + within]
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                if len(first):
+                    scores = np.round(np.add.reduceat(weight[source][order], first), 6)
+                    at, query = np.divmod(key[first], n_queries)
+                    fits = scores >= best.floor[query]
+                    for wanted, code in codes:
+                        fits &= (wanted[query] < 0) | (wanted[query] == code[at])
+                    best.take(query[fits], ids[at[fits]], scores[fits])
+                start = stop
+        yield from best.result(query_ids, kind)
+
+    return corpus.mapInArrow(task, _hit_schema(corpus, id_type))
 
 
 # --- vector search -------------------------------------------------------------------------------

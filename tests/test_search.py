@@ -254,3 +254,18 @@ def test_query_slots_and_titles(spark):
     files = spark.createDataFrame([("KH tuyển sinh 2026 - 2027 phường gò vấp.pdf",), ("phường Lạ Hoắc.pdf",)], "filename string")
     assert {(r["school_year"], r["ward"]) for r in M.title_metadata(files, M.localities(spark)).collect()} == {("2026-2027", "Gò Vấp"), (None, "Lạ Hoắc")}
     assert M.localities(spark).count() == len(set(r[0] for r in M.localities(spark).collect()))
+
+
+def test_bm25_reads_the_corpus_once_for_three_blocks(spark, small):
+    queries, corpus = small[:2]
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        reads.add(1)
+        return text
+
+    watched = corpus.withColumn("text", counted("text"))
+    third = max(1, -(-queries.count() // 3))
+    S.bm25_search(queries, watched, 5, block_size=third).collect()
+    assert reads.value == corpus.count()
