@@ -40,6 +40,7 @@ SEQUENCE = 2048
 ROWS = 256
 #: Words encoded at once, and entries of the cache.
 CACHE_ENTRIES = 400_000
+WORDS_AT_ONCE = 2048
 DOCS_AT_ONCE = 256
 MANIFEST = "file int, path string, n_docs long, n_tokens long"
 
@@ -54,7 +55,6 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.special = any(self.library.get_added_tokens_decoder())
         self.width = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[bytes, bytes] = {}
 
@@ -64,12 +64,31 @@ class WordIds:
         split = [(raw if b"<|" in raw else raw.lower()).split() for raw in (t.encode() for t in texts)]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        if new := list(set().union(*split) - self.cache.keys()):
-            found = self.library.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            self.cache.update(zip(new, (np.array(x.ids, self.width).tobytes() for x in found)))
+        new = set().union(*split) - self.cache.keys()
+        # a comma or full stop after an ASCII letter is a piece of its own: such words are put together
+        ended = {w for w in new if w[-1:] in (b",", b".") and w[-2:-1].isalpha()}
+        self.add(((new - ended) | {w[:-1] for w in ended} | {w[-1:] for w in ended}) - self.cache.keys())
+        self.cache.update((w, self.cache[w[:-1]] + self.cache[w[-1:]]) for w in ended)
         return [b"".join(map(self.cache.__getitem__, words)) for words in split]
 
 
+    def add(self, words: set[bytes]) -> None:
+        """Encode new words, many as one text; its tokens' offsets tell whose they are."""
+        odd = [w for w in words if b"<|" in w]
+        for word, found in zip(odd, self.library.encode_batch([w.decode() for w in odd], add_special_tokens=False)):
+            self.cache[word] = np.array(found.ids, self.width).tobytes()
+        listed = [w for w in words if b"<|" not in w]
+        for start in range(0, len(listed), WORDS_AT_ONCE):
+            some = listed[start : start + WORDS_AT_ONCE]
+            texts = [w.decode() for w in some]
+            found = self.library.encode(" ".join(texts), add_special_tokens=False)
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            owner = np.searchsorted(begins, np.fromiter((o[0] for o in found.offsets), np.int64), "right") - 1
+            cuts = np.searchsorted(owner, np.arange(len(some) + 1)) * self.width.itemsize
+            packed = np.array(found.ids, self.width).tobytes()
+            self.cache.update((w, packed[a:b]) for w, a, b in zip(some, cuts.tolist(), cuts[1:].tolist()))
+
+
 @lru_cache(maxsize=4)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)

@@ -20,8 +20,8 @@ def run(spark, docs, length=16):
 
 @pytest.mark.parametrize("length", [1, 16, 4096])
 def test_round_trip_against_the_library(spark, length):
-    texts = ["Hello World's  end", None, "", "Ünḯcode İ Σ ΑΣ. ΑΣ", "<|startoftext|>a <|STARTOFTEXT|>", "x" * 5000, "a b  c\td\x1ce", "Hello World's  end"] * 5
-    rows = [(i * 7 % 41, t, "s", i) for i, t in enumerate(texts)] + [(None, "null id", "s", 0), (3, "tie", "s", 0)]
+    texts = ["Hello World's  end", None, "", "Ünḯcode İ Σ ΑΣ. ΑΣ", "<|startoftext|>a <|STARTOFTEXT|>", "x" * 5000, "a b  c\td\x1ce", "Hello World's  end", "One, two. three,, (four). é, 5. Don't. a., b.c, <|endoftext|>, I.", "one, TWO. x."] * 5
+    rows = [(i * 7 % 53, t, "s", i) for i, t in enumerate(texts)] + [(None, "null id", "s", 0), (3, "tie", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, file string, ids int")
     folder, manifest = run(spark, docs, length)
     got = sequences.read_documents(spark, folder, manifest).orderBy("start").collect()
@@ -55,3 +55,14 @@ def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     folder = scratch_path(spark, "sequences")
     assert sequences.write_sequences(docs, folder, PATH, 1).collect() == []
+
+
+def test_words_as_the_library_gives_them():
+    import random
+
+    library, rng = Tokenizer.from_file(PATH), random.Random(9)
+    pool = ["a", "B", "é", "́", "İ", "ß", "ǅ", " ", "　", "日", "🙂", "'s", "9", "-", ".", ",", "\x1c", "\x85", "<|", "|>", "Å", "ﬁ", "한", "ᄒ", "ᅡ"]
+    texts = [" ".join("".join(rng.choice(pool) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(40))) for _ in range(400)]
+    got = sequences.WordIds(PATH).encode(texts)
+    for text, packed in zip(texts, got):
+        assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
