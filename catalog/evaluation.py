@@ -284,6 +284,18 @@ def rerank_curve(spark, sf):
     return E.rerank_curve(reranked, hybrid, _labels(spark, sf))
 
 
+@register(
+    f"""with {_FULL_RERANK}, combos as (select unnest(['rerank']) as variant),
+    both_lists as (select 'rerank' as variant, query_id, chunk_id, rank from full_rerank),
+    {_grid_sql('both_lists', ['variant'], range(1, 16))}, curve as (select k, {_MEANS} from measured group by 1)
+    select arg_max(k, (f1, -k))::int as n from curve"""
+)
+def pick_n(spark, sf):
+    """Number of reranked chunks with the best mean f1."""
+    hybrid, reranked = _hybrid_and_rerank(spark, sf)
+    return E.pick_n(E.rerank_curve(reranked, hybrid, _labels(spark, sf)))
+
+
 _DEPTHS = f"""{_FULL_RERANK}, depths as (select unnest({list(rules.TOPK_GRID)})::int as top_k), combos as (select top_k, unnest(['rerank', 'baseline']) as variant from depths),
 both_lists as (
   select d.top_k, 'rerank' as variant, f.query_id, f.chunk_id, row_number() over (partition by d.top_k, f.query_id order by r.rank) as rank
@@ -298,6 +310,17 @@ def depth_simulation(spark, sf):
     return E.depth_simulation(hybrid, reranked, _labels(spark, sf))
 
 
+@register(
+    f"""with {_DEPTHS}, simulated as (select top_k, variant, k as top_n, {_MEANS} from measured group by 1, 2, 3)
+    select arg_max(top_k, (f1, recall, -top_k))::int as top_k from simulated where variant = 'rerank' and top_n = {rules.TOPN_FOCUS}"""
+)
+def pick_depth(spark, sf):
+    """Depth of the candidate list with the best mean f1 and recall at the focus length."""
+    hybrid, reranked = _hybrid_and_rerank(spark, sf)
+    return E.pick_depth(E.depth_simulation(hybrid, reranked, _labels(spark, sf)))
+
+
+
 @register(f"with {_FULL_RERANK} select distinct query_id, true as match from fused")
 def simulation_check(spark, sf):
     """A real rerank of the first 30 candidates against the restricted full one; they must agree."""
