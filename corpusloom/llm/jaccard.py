@@ -14,9 +14,10 @@ one document only go at once.  Tokens of more than ``HOT`` documents count as la
 document brings ``SLACK`` further tokens, and where these replace its hot ones, its hot ones need no
 comparison; the remaining documents are compared with all others of the token, which keeps results whole.
 
-Links are found in two steps.  In groups of up to ``SMALL`` documents all pairs are bounded; in larger ones
-each document is tied to the middle of its neighbourhood, and only then, pairs that still lie in different
-components are enumerated.  Groups are not expanded into all pairs.
+Links are found in steps.  In groups of up to ``SMALL`` documents all pairs are bounded; in larger ones each
+document is tied to the middle of its neighbourhood, then to a few documents of each other component, and
+only then, pairs that still lie in different components are enumerated.  Groups are not expanded into all
+pairs.
 
 Equal sets are one node from the start (its key is a 64-bit hash of the set; shingles are 64-bit hashes).
 Defined cases: texts with fewer than five words have their whole word sequence as one shingle; null texts
@@ -27,6 +28,7 @@ not looked at.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,12 +49,14 @@ SLACK = 32
 SMALL = 16
 #: Open documents are tied through one in so many of their hot tokens.
 TIE_EVERY = 4
+FEW = 3
 #: Points of an R-tree leaf, and children of an inner node.
 PAGE = 128
 CHILDREN = 16
 FINE_GROUPS = 256
 MAX_GROUPS = 4096
 SHARDS_EACH = 8
+PARTS_EACH = 4
 CACHE_ENTRIES = 400_000
 
 TOKEN = np.dtype([("token", "<u4"), ("node", "<u8")])
@@ -296,7 +300,7 @@ def shared_tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
             rows, each = rows[each > 1], each[each > 1]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(rows), shard % partitions, np.int32)),
+                    pa.array(np.full(len(rows), shard % (partitions * PARTS_EACH), np.int32)),
                     pa.array(rows["token"].astype(np.int64) + (np.int64(shard) << np.int64(32))),
                     pa.array(rows["node"].view(np.int64)),
                     pa.array(each.astype(np.int64)),
@@ -326,11 +330,12 @@ def with_roles(tokens: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return cold.unionByName(hot.select(*tokens.columns, "role"))
 
 
-def candidate_pairs(tokens: DataFrame, points: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame:
+def candidate_pairs(tokens: DataFrame, points: DataFrame, percent: int, labels: DataFrame | None = None, few: int = 0) -> DataFrame:
     """Pairs (a, b) of nodes that the bound allows.
 
     Without ``labels``: all pairs of small groups, and ties of large ones.  With ``labels`` (node, component):
-    all pairs of large groups whose components differ.
+    all pairs of large groups whose components differ; with ``few``, of each document only so many with each
+    component that is larger in the group.
     """
     # an open document has more than SLACK hot tokens: a part of them will tie it
     tying = (F.col("count") <= HOT) | (F.col("role") == ACTIVE) | (F.pmod(F.hash("token"), F.lit(TIE_EVERY)) == 0)
@@ -378,10 +383,16 @@ def candidate_pairs(tokens: DataFrame, points: DataFrame, percent: int, labels:
             elif len({component[x] for x in group}) > 1:
                 sizes = np.array([size[x] for x in group], np.int64)
                 asking, tree = np.flatnonzero(roles != PASSIVE), CountTree(sizes, [point[x] for x in group], percent)
+                count = Counter(component[x] for x in group)
                 for i in asking.tolist():
-                    a, c = group[i], component[group[i]]
+                    a, c, taken = group[i], component[group[i]], Counter()
                     for j in tree.near(i).tolist():
-                        if component[group[j]] != c and (roles[i] == OPEN or roles[j] != PASSIVE):
+                        d = component[group[j]]
+                        if d != c and (roles[i] == OPEN or roles[j] != PASSIVE):
+                            if few:
+                                if (count[d], d) < (count[c], c) or taken[d] == few:
+                                    continue
+                                taken[d] += 1
                             pair = (a, group[j]) if a < group[j] else (group[j], a)
                             if pair not in tried:
                                 tried.add(pair)
@@ -421,10 +432,14 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     first = materialize(candidate_pairs(tokens, points, percent), "pairs")
     links = materialize(verified(first, docs, summary, words, percent), "verified")
     labels = materialize(components(links), "labels")
-    second = materialize(candidate_pairs(tokens, points, percent, labels).join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.take(1):
-        links = links.union(materialize(verified(second, docs, summary, words, percent), "verified"))
-        labels = materialize(components(links), "labels")
+    tried = first
+    # what ties missed: first a few pairs with each larger component, then all that still differ
+    for few in (FEW, 0):
+        more = materialize(candidate_pairs(tokens, points, percent, labels, few).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.take(1):
+            tried = tried.union(more)
+            links = links.union(materialize(verified(more, docs, summary, words, percent), "verified"))
+            labels = materialize(components(links), "labels")
     known = summary.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = known.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = known.join(ids, "component", "left")
