@@ -2,7 +2,9 @@
 
 Two histograms are taken of each document: code points by class, and words by a short list of common
 words of the language (all other words are one more bin).  The references are the sums of these
-histograms over all documents of the language.  A document is judged by the Jensen-Shannon distance
+histograms over all documents of the language (``language_references``, as the SQL of the query has them), or
+medians over the distinct texts that pass the base rules (``robust_references``, which the pipeline takes: no
+group of copies and no long document moves them).  A document is judged by the Jensen-Shannon distance
 (root of the divergence to base 2, between 0 and 1) of each histogram from its reference.
 
 Defined cases: a null or empty text has zero counts and fails the base rules.  A null or unlisted
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ MIN_CODE_POINTS = 200
 MIN_WORDS = 100
 #: Code points below which the documents of a language make no reference.
 MIN_REFERENCE = 20_000
+#: Texts that a task remembers to pass over their copies.
+SEEN_TEXTS = 500_000
 
 
 def byte_classes() -> np.ndarray:
@@ -151,6 +156,50 @@ def language_references(docs: DataFrame) -> DataFrame:
     return part.groupBy("lang_key", "kind", "bin").agg(F.sum("count").alias("count"))
 
 
+def robust_references(docs: DataFrame, **changed: float) -> DataFrame:
+    """References that copies, long texts and a minority of junk do not move; columns as ``language_references``.
+
+    Of each distinct text of a language that passes the base rules, the shares of the bins count once.  Each bin
+    is their median, times the code points of these texts.  Copies leave a task once, so that a group of them is
+    at most one row for each task.
+    """
+    bounds = limits(**changed)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            rows = []
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                raw, key = (text or "").encode(), language_key(lang)
+                name = (key, xxhash.xxh3_64_intdigest(raw) - (1 << 63))
+                if name in seen or not raw:
+                    continue
+                if len(seen) < SEEN_TEXTS:
+                    seen.add(name)
+                words, classes = raw.split(), class_counts(raw)
+                points = int(classes.sum())
+                if points < bounds["min_code_points"] or len(words) < 50 or 100 * repeat_words(words) > 50 * len(words):
+                    continue
+                common = word_counts(raw, key)
+                enough = len(common) and common.sum() >= bounds["min_words"]
+                bins = [*(classes / points).tolist(), *((common / common.sum()).tolist() if enough else [])]
+                rows.append((*name, points, bins))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float32()))
+            columns = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["lang_key", "hash", "points", "shares"])
+
+    each = docs.select("text", "lang").mapInArrow(shares, "lang_key string, hash long, points long, shares array<float>")
+    bins = each.dropDuplicates(["lang_key", "hash"]).select("lang_key", "points", F.posexplode("shares").alias("bin", "share"))
+    middle = bins.groupBy("lang_key", "bin").agg(F.percentile_approx("share", 0.5).alias("share"), F.sum("points").alias("points"))
+    is_class = F.col("bin") < CLASSES
+    return middle.select(
+        "lang_key",
+        F.when(is_class, "class").otherwise("word").alias("kind"),
+        F.when(is_class, F.col("bin")).otherwise(F.col("bin") - CLASSES).alias("bin"),
+        F.round(F.col("share") * F.col("points")).cast("long").alias("count"),
+    )
+
+
 def reference_arrays(references: DataFrame) -> dict[tuple[str, str], np.ndarray]:
     """The references as arrays: at most 35 numbers for each listed language."""
     out: dict[tuple[str, str], np.ndarray] = {}

@@ -70,3 +70,22 @@ def test_given_references_and_empty_table(spark):
     one = quality.quality_rules(docs.where("doc_id = 1000"), references).first()
     assert not one.kept and one.class_distance > quality.MAX_CLASS_DISTANCE
     assert quality.quality_rules(docs.limit(0)).collect() == []
+
+
+def test_a_hot_group_of_junk_rejects_no_clean_document(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ETAOINSHR") for _ in range(rng.randrange(3, 9)))
+    junk = lambda n: " ".join(word() for _ in range(n))
+    clean = [r for r in corpus() if r[0] is not None and r[0] < 120]
+    one, many = junk(3000), [junk(3000) for _ in range(8)]
+    rows = clean + [(2000 + i, one, "en") for i in range(len(clean) // 2)] + [(3000 + i, x, "en") for i, x in enumerate(many)]
+    rows += [(4000, "x y z " * 20_000, "de"), (4001, None, "de"), (4002, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    summed = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert len([i for i in summed if i < 120]) < 100  # what the sums do
+    kept = sorted(r.doc_id for r in quality.keep_good(docs, quality.robust_references(docs)).collect())
+    assert kept == sorted(r[0] for r in clean)
+    import corpus_pipeline
+
+    assert sorted(r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, "").collect()) == kept
+    assert quality.robust_references(docs.limit(0)).collect() == []
