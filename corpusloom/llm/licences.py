@@ -1,9 +1,9 @@
 """Licence scan by sentence rules.
 
-Text is cut into sentences (after . ! ? : or ; before white space; line ends inside a sentence are white
-space).  Sentences with a marker word are normalised: A-Z lower-cased, everything but letters and digits to
-single blanks.  A sentence that ends with a known one gets its identifier (what stands before it may be an
-unfinished line).  The identifiers of a document, in order, are matched against the rules: at each place the
+Text is cut into sentences (after . ! ? : or ; before white space, but not after a lone "v."; line ends inside
+a sentence are white space).  Sentences with a marker word are normalised: A-Z lower-cased, everything but
+letters and digits to single blanks.  Known sentences are found anywhere in them, between word borders: marks
+may be missing, as after the URL line of a notice, or differ.  The identifiers of a document, in order, are matched against the rules: at each place the
 first rule in order whose sequence stands there takes it; identifiers that no rule takes stay unmatched.
 
 Defined cases: null and empty texts have no identifiers and empty results.  Each row gives one row, also
@@ -69,7 +69,11 @@ RULES = (
 )
 #: Every known sentence holds one of these (a test sees to it).
 MARKERS = ("licen", "permission", "redistribut", "software", "warranty", "mpl")
+#: End of a sentence for the SQL, which has no look-behind and so also cuts after "v.".
 END = r"([.!?:;])[ \t-\r]+"
+CUT = r"((?<![^A-Za-z0-9][vV](?=\.))[.!?:;])[ \t-\r]+"
+#: A version that is only the least one does not name that version alone.
+NOT_BEFORE = {"gpl-name": "(?! (?:or|and) (?:at your option )?(?:any )?later)"}
 
 
 def marker_pattern() -> str:
@@ -78,10 +82,16 @@ def marker_pattern() -> str:
 
 
 def known_pattern() -> str:
-    """A known sentence at the end of a normalised one; longer ones first."""
+    """A known sentence at the end of a normalised one, for the SQL; longer ones first."""
     return "(?:^| )(" + "|".join(sorted(SENTENCES.values(), key=len, reverse=True)) + ")$"
 
 
+def anywhere_pattern() -> str:
+    """A known sentence between word borders; longer ones first."""
+    longest = sorted(SENTENCES.items(), key=lambda x: len(x[1]), reverse=True)
+    return "(?:^| )(" + "|".join(s + NOT_BEFORE.get(i, "") for i, s in longest) + ")(?= |$)"
+
+
 def rule_pattern() -> str:
     """Any rule's sequence in a text of identifiers that each end with a comma."""
     return "(?:" + "|".join("".join(f"{s}," for s in sequence) for sequence, _ in RULES) + ")"
@@ -93,11 +103,11 @@ def lookup(pairs: dict[str, str], key: Column) -> Column:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    sentences = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), END, "$1\u0001"), "\u0001", -1)
+    sentences = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), CUT, "$1\u0001"), "\u0001", -1)
     marked = F.filter(sentences, lambda s: s.rlike(marker_pattern()))
     plain = F.transform(marked, lambda s: F.btrim(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", " ")))
-    known = F.transform(plain, lambda s: F.regexp_extract(s, known_pattern(), 1))
-    return F.transform(F.filter(known, lambda s: s != ""), lambda s: lookup({v: k for k, v in SENTENCES.items()}, s))
+    known = F.flatten(F.transform(plain, lambda s: F.regexp_extract_all(s, F.lit(anywhere_pattern()), F.lit(1))))
+    return F.transform(known, lambda s: lookup({v: k for k, v in SENTENCES.items()}, s))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
