@@ -55,3 +55,17 @@ def test_nulls_ties_and_extra_columns(spark):
     docs = spark.createDataFrame(rows, "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in extract_text(docs).collect()) == [(0, ""), (1, "a"), (1, "a"), (2, "")]
     assert extract_text(docs.limit(0)).collect() == []
+
+
+STRAY = {
+    '<a href="x"">one</a> lost words here <a href="y"">two</a>': "one lost words here two",
+    "<p title=don't>Hello lost, it's <b>": "Hello lost, it's",
+    '<p "hidden">a</p><i hidden>b</i><b title="hidden">c</b><p title=">">d': "a\n\nc\n\nd",
+    '<p class = \'a"b\' id=>x<br/>y <a title="open>z': "x\ny z",
+    "<img alt=it's>a<img alt='b'c>d": "ad",
+}
+
+
+@pytest.mark.parametrize("source", STRAY)
+def test_stray_quotes_lose_no_text(source):
+    assert page_text(source) == STRAY[source]
