@@ -1,7 +1,8 @@
 """Text of web pages as a reader sees it.
 
 A small tree builder makes elements of the tags, with the end tags that HTML implies, and leaves out what is
-not shown: scripts, styles, templates, hidden elements.  Rendering keeps the layout: blocks on lines of
+not shown: scripts, styles, templates, hidden elements.  Formulas are shown without their annotations, and of
+drawings the text elements.  Rendering keeps the layout: blocks on lines of
 their own, blank lines around paragraphs, headings, lists and tables, bullets and numbers with indentation,
 preformatted text as it stands, and table cells padded to columns.
 
@@ -22,7 +23,10 @@ from pyspark.sql import DataFrame
 # Names of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-NOT_SHOWN = frozenset("head script style template noscript iframe object embed noembed noframes title datalist audio video canvas svg math".split())
+NOT_SHOWN = frozenset("head script style template noscript iframe object embed noembed noframes title datalist audio video canvas".split())
+#: Not shown inside a formula, and inside a drawing.
+NOT_IN_MATH = frozenset("annotation annotation-xml mphantom".split())
+NOT_IN_SVG = frozenset("title desc metadata defs symbol marker pattern clippath mask style script".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote hr figure".split())
 BLOCKS = SPACED | frozenset(
     "html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main menu nav optgroup option search section summary tr caption".split()
@@ -104,8 +108,10 @@ def parse(source: str) -> Element:
             if name not in VOID and path[-1].name == "head" and name not in ("title", "style", "script", "noscript", "template"):
                 path.pop()
             element = Element(name, attributes)
+            if name in NOT_IN_MATH and any(e.name == "math" for e in path):
+                element.shown = False
             path[-1].children.append(element)
-            if name in RAW:
+            if name in RAW and not (rest.endswith("/") and any(e.name in ("svg", "math") for e in path)):
                 end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
                 stop = end.start() if end else len(source)
                 if name in ("textarea", "xmp"):
@@ -117,6 +123,22 @@ def parse(source: str) -> Element:
     return root
 
 
+def drawn(svg: Element) -> list[Element | str]:
+    """The parts of a drawing that hold text, in order, with blanks between them."""
+    out, todo = [], svg.children[::-1]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or node.name in NOT_IN_SVG or not node.shown:
+            continue
+        if node.attributes.get("display") == "none" or node.attributes.get("visibility") in ("hidden", "collapse"):
+            continue
+        if node.name in ("text", "foreignobject"):
+            out += [" ", node]
+        else:
+            todo.extend(reversed(node.children))
+    return [*out, " "] if out else out
+
+
 class Page:
     """Lines of a rendered part of a page."""
 
@@ -191,8 +213,10 @@ class Page:
                     self.space()
                 elif name in BLOCKS:
                     self.end_line()
-                elif name in ("td", "th"):
+                elif name in ("td", "th", "mtd"):
                     self.gap = True
+                elif name == "math" and node.attributes.get("display") == "block":
+                    self.end_line()
                 if name in ("ul", "menu", "dir"):
                     numbers.append(None)
                 elif name == "ol":
@@ -209,7 +233,10 @@ class Page:
                 elif name in ("pre", "textarea", "xmp"):
                     self.pre += 1
                 todo.append((False, node))
-                todo.extend((True, c) for c in reversed(node.children))
+                children = drawn(node) if name == "svg" else node.children
+                if name == "mfrac":
+                    children = [x for c in children for x in (c, " ")]
+                todo.extend((True, c) for c in reversed(children))
             else:
                 if name in ("pre", "textarea", "xmp"):
                     self.end_line()
@@ -217,7 +244,7 @@ class Page:
                 nested = name in ("ul", "ol", "menu", "dir") and len(numbers) > 1
                 if name in SPACED and not nested:
                     self.space()
-                elif name in BLOCKS:
+                elif name in BLOCKS or name == "math" and node.attributes.get("display") == "block":
                     self.end_line()
                 if name in ("ul", "ol", "menu", "dir"):
                     numbers.pop()

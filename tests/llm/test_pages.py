@@ -69,3 +69,17 @@ STRAY = {
 @pytest.mark.parametrize("source", STRAY)
 def test_stray_quotes_lose_no_text(source):
     assert page_text(source) == STRAY[source]
+
+
+DRAWN = {
+    "<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation encoding=tex>x=\\frac</annotation></semantics></math> be": "Let x=1 2 be",
+    "a<math display=block><mi>k</mi><mphantom>no</mphantom></math>b<annotation>c</annotation>": "a\nk\nbc",
+    "in<svg><title>T</title><desc>D</desc><defs><text>no</text></defs><style>s{}</style><script>f()</script>stray<g><text x=1>Up<tspan>per</tspan></text><text>low</text><text display=none>no</text></g></svg>out": "in Upper low out",
+    "a<svg><title/><path d='M0'/><foreignObject><p>box</p></foreignObject></svg>b": "a\n\nbox\n\nb",
+    "a<svg hidden><text>no</text></svg>b<svg><path/></svg>c": "abc",
+}
+
+
+@pytest.mark.parametrize("source", DRAWN)
+def test_formulas_and_labels_are_shown(source):
+    assert page_text(source) == DRAWN[source]
