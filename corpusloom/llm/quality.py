@@ -2,8 +2,8 @@
 
 Two histograms are taken of each document: code points by class, and words by a short list of common
 words of the language (all other words are one more bin).  The references are the sums of these
-histograms over all documents of the language (``language_references``, as the SQL of the query has them), or
-medians over the distinct texts that pass the base rules (``robust_references``, which the pipeline takes: no
+histograms over all documents of the language (``language_references``, the default, as the SQL of the query has
+them), or medians over the distinct texts that pass the base rules (``robust_references``, to be passed: no
 group of copies and no long document moves them).  A document is judged by the Jensen-Shannon distance
 (root of the divergence to base 2, between 0 and 1) of each histogram from its reference.
 
