@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, jaccard, lines, mixing, quality
-from corpusloom.llm.common import tokenizer_file
-from corpusloom.session import materialize
+from corpusloom.llm.common import free_name, tokenizer_file
+from corpusloom.session import broadcast_if_small, materialize
+
+#: Keys of equal rows that are broadcast; more are joined by shuffle.
+EQUAL_ROWS = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +30,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
-    classes = materialize(jaccard.similarity_classes(docs), "classes")
-    return docs.join(classes.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    """One document, that of the smallest id, of each group of near-duplicates; null ids come last.
+
+    Rows are told apart by id and hash of the text.  Of rows equal in both, one stays.  Rows without words are like
+    no other and all stay.
+    """
+    name = free_name(docs, "_row")
+    keyed = docs.withColumn(name, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash")))
+    classes = materialize(jaccard.similarity_classes(keyed.select(F.col(name).alias("doc_id"), "text")), "classes")
+    stay = classes.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    equal = ((F.max("n_shingles") > 0) & (F.count("*") > 1)).alias("equal")
+    rows = materialize(stay.groupBy(F.col("doc_id").alias(name)).agg(equal), "rows")
+    kept = keyed.join(rows.where("not equal").select(name), name, "left_semi")
+    if rows.where("equal").take(1):
+        some = keyed.join(broadcast_if_small(rows.where("equal").select(name), EQUAL_ROWS), name, "left_semi")
+        kept = kept.unionByName(some.dropDuplicates([name]))
+    return kept.select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

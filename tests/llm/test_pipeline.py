@@ -63,3 +63,13 @@ def test_stages_keep_the_columns_of_documents_and_take_odd_rows(spark):
             assert [f.dataType for f in docs.schema] == [f.dataType for f in odd.schema]
             docs.collect()
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_component(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(100))
+    a, b, c, d, e = map(text, "abcde")
+    rows = [(None, a), (None, a), (None, b), (1, c), (1, c), (None, c + " more"), (2, d), (3, d + " more"), (3, e), (3, d), (4, None), (4, None), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(None, a), (None, b), (1, c), (2, d), (3, e), (4, None), (4, None), (None, ""), (None, None)])
