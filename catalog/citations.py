@@ -122,6 +122,23 @@ def cited_sets(spark, sf):
     return rows.select("answer_id", "c.index", F.array_join(F.array_sort("c.quotes"), "|").alias("quotes"))
 
 
+# All answers: a broken reply has no verdicts, so its sentences stay as they are.
+_WHOLE = _REBUILT.replace("case when turn = 5 then 'drop'", "case when turn = 3 then null when turn = 5 then 'drop'")
+
+
+@register(f"with {_WHOLE} select answer_id, broken, new_answer, dropped::int as dropped_count from rebuilt")
+def apply_verdicts_all(spark, sf):
+    applied = V.apply_verdicts(V.parse_verdicts(_replies(spark, sf)))
+    return applied.select("answer_id", F.col("verdict_error").alias("broken"), "new_answer", "dropped_count")
+
+
+@register(f"with {_WHOLE}, {_SPANS} select answer_id, idx as index, coalesce(array_to_string(list_sort(quotes), '|'), '') as quotes from spans")
+def cited_sets_all(spark, sf):
+    cited = V.cited_sets(V.apply_verdicts(V.parse_verdicts(_replies(spark, sf))))
+    rows = cited.select("answer_id", F.explode_outer("cited_spans").alias("c")).filter("c is not null")
+    return rows.select("answer_id", "c.index", F.array_join(F.array_sort("c.quotes"), "|").alias("quotes"))
+
+
 _FINAL = f"""{_REBUILT}, {_SPANS},
 final as (select answer_id, turn, broken or new_answer = '' as failed, case when broken or new_answer = '' then answer else new_answer end as final_answer,
   case when broken or new_answer = '' then [1, 2, 3] else cited end as cited, case when broken or new_answer = '' then 0 else dropped end as dropped from rebuilt)"""

@@ -132,6 +132,13 @@ def pool(spark, sf):
     return R.pool(R.alpha_sweep(*branches(spark, sf, 50)), known)
 
 
+@register(f"with {SWEEP} select distinct query_id, chunk_id from swept where rank <= 30 and chunk_id in (select doc_id from documents)")
+def pool_documents(spark, sf):
+    """The pool over all weights and all documents."""
+    corpus = table(spark, sf, "documents", "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    return R.pool(R.alpha_sweep(*branches(spark, sf, 50)), corpus)
+
+
 # --- reranking and context -----------------------------------------------------------------------
 
 RERANKED = f"""{hybrid_ctes(30)}, {fuse('0.6', 30)}, {TRIGRAM_RECALL},
