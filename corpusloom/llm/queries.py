@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, jaccard, licences, lines, mixing, pages, passages, quality, sequences, vectors
+from corpusloom.llm import bpe, jaccard, licences, lines, mixing, pages, passages, quality, secrets, sequences, vectors
 from corpusloom.llm.common import documents, tokenizer_file
 from corpusloom.session import materialize, scratch_path
 
@@ -271,6 +271,58 @@ def op6_page_text(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract_text(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+def _secrets_sql() -> str:
+    """Offsets from the lengths of the pieces between matches; each window's entropy from its own counts."""
+    quoted = lambda x: x.replace("'", "''")
+    patterns = (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.CANDIDATE)
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS place, '{kind}' AS kind, regexp_extract_all(t, '{quoted(p)}') AS m, string_split_regex(t, '{quoted(p)}') AS b FROM d"
+        for i, (kind, p) in enumerate(zip(secrets.KINDS, patterns))
+    )
+    classes = " ".join(f"WHEN regexp_matches(m, '{p}') THEN {bits}" for _, p, bits in secrets.CLASSES[:-1])
+    allowed = "|".join(f"(?:{quoted(p)})" for p in secrets.ALLOWED)
+    w = secrets.WIDTH
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+placed AS (
+  SELECT doc_id, place, kind, unnest(m) AS m, generate_subscripts(m, 1) AS i, m AS ms, b FROM found),
+spans AS (
+  SELECT doc_id, place, kind, m,
+         CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM placed),
+windows AS (
+  SELECT doc_id, s, m, i, unnest(string_split(substr(m, i, {w}), '')) AS ch
+  FROM (SELECT doc_id, s, m, unnest(range(1, length(m) - {w} + 2)) AS i FROM spans
+        WHERE place = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]'))),
+counts AS (SELECT doc_id, s, m, i, ch, count(*) AS n FROM windows GROUP BY ALL),
+bits AS (SELECT doc_id, s, m, i, -sum(n / {w} * log2(n / {w})) AS h FROM counts GROUP BY ALL),
+random AS (
+  SELECT doc_id, s FROM bits
+  WHERE NOT regexp_matches(m, '^[0-9a-f]{{{secrets.MIN_HEX},}}$|^AKIA[A-Z0-9]{{{secrets.MIN_ACCESS - 4},}}$') AND NOT regexp_matches(m, '{allowed}')
+  GROUP BY doc_id, s, m HAVING max(h) >= CASE {classes} ELSE {secrets.CLASSES[-1][2]} END),
+kept AS (
+  SELECT *, kind || ':' || s || ':' || (s + length(m)) AS span FROM spans p
+  WHERE (place = 0 AND length(regexp_extract(m, '{quoted(secrets.ASSIGN)}', 1)) >= {secrets.MIN_VALUE})
+     OR (place = 1 AND length(m) >= {secrets.MIN_ACCESS}) OR (place = 2 AND length(m) >= {secrets.MIN_HEX})
+     OR (place = 3 AND EXISTS (SELECT 1 FROM random r WHERE r.doc_id = p.doc_id AND r.s = p.s)))
+SELECT d.doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, place) FILTER (place < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY s, place), '') AS spans
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id
+"""
+
+
+@register(_secrets_sql())
+def op12_secret_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan_secrets(documents(spark, sf))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
+    )
+
+
 @register()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
