@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, jaccard, licences, lines, mixing, pages, passages, quality, secrets, sequences, vectors
+from corpusloom.llm import bpe, dialogues, jaccard, licences, lines, mixing, pages, passages, quality, secrets, sequences, vectors
 from corpusloom.llm.common import documents, tokenizer_file
 from corpusloom.session import materialize, scratch_path
 
@@ -271,6 +271,88 @@ def op6_page_text(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract_text(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+#: Damage, faults, and a table of the cheapest (cost, audit, repaired text) by row and state: states 1 to 4 are nothing yet,
+#: after system, after user, after assistant.  Strings of equal cost in one state are never prefixes of each other.
+DIALOGUE_SQL = r"""
+WITH RECURSIVE
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+          coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hashed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ord(c)::BIGINT)),
+    lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))) % 20 AS harm
+  FROM keyed),
+hurt AS (
+  SELECT conv_id, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE harm WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE harm <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM hurt),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+  FROM ordered),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM placed),
+steps AS (SELECT conv_id, pos, role, text, substr(role, 1, 1) AS r, coalesce(fault, '') = 'truncated' AS cut, coalesce(fault, '') IN ('blank', 'duplicate') AS gone FROM faulty),
+best AS (
+  SELECT conv_id, 0 AS pos, [{'c': 0, 'a': '', 't': ''}, {'c': 99999999, 'a': '', 't': ''}, {'c': 3, 'a': 'I', 't': 'user:' || chr(10)}, {'c': 6, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}] AS s
+  FROM (SELECT DISTINCT conv_id FROM hurt)
+  UNION ALL
+  SELECT conv_id, pos, [s1, s2, s3, list_sort([s4, {'c': s3.c + 3, 'a': s3.a || 'I', 't': s3.t || 'assistant:' || chr(10)}])[1]]
+  FROM (
+    SELECT conv_id, pos, s1, s2, s4, list_sort([s3,
+      {'c': s1.c + 3, 'a': s1.a || 'I', 't': s1.t || 'user:' || chr(10)}, {'c': s2.c + 3, 'a': s2.a || 'I', 't': s2.t || 'user:' || chr(10)},
+      {'c': s4.c + 3, 'a': s4.a || 'I', 't': s4.t || 'user:' || chr(10)}])[1] AS s3
+    FROM (
+      SELECT b.conv_id, x.pos,
+        {'c': s[1].c + 4, 'a': s[1].a || 'D', 't': s[1].t} AS s1,
+        list_sort([{'c': s[2].c + 4, 'a': s[2].a || 'D', 't': s[2].t},
+          {'c': CASE WHEN gone OR r <> 's' THEN 99999999 ELSE s[1].c + p END, 'a': s[1].a || 'K', 't': s[1].t || line}])[1] AS s2,
+        list_sort([{'c': s[3].c + 4, 'a': s[3].a || 'D', 't': s[3].t},
+          {'c': CASE WHEN gone THEN 99999999 ELSE s[1].c + p + u END, 'a': s[1].a || lu, 't': s[1].t || tu},
+          {'c': CASE WHEN gone THEN 99999999 ELSE s[2].c + p + u END, 'a': s[2].a || lu, 't': s[2].t || tu},
+          {'c': CASE WHEN gone THEN 99999999 ELSE s[4].c + p + u END, 'a': s[4].a || lu, 't': s[4].t || tu}])[1] AS s3,
+        list_sort([{'c': s[4].c + 4, 'a': s[4].a || 'D', 't': s[4].t},
+          {'c': CASE WHEN gone THEN 99999999 ELSE s[3].c + p + CASE r WHEN 'a' THEN 0 ELSE 3 END END,
+           'a': s[3].a || CASE r WHEN 'a' THEN 'K' ELSE 'R' END, 't': s[3].t || CASE r WHEN 'a' THEN line ELSE 'assistant:' || text || chr(10) END}])[1] AS s4
+      FROM best b JOIN (
+        SELECT *, CASE WHEN cut THEN 3 ELSE 0 END AS p, role || ':' || text || chr(10) AS line, CASE r WHEN 'u' THEN 0 ELSE 3 END AS u,
+               CASE r WHEN 'u' THEN 'K' ELSE 'R' END AS lu, CASE r WHEN 'u' THEN role || ':' || text || chr(10) ELSE 'user:' || text || chr(10) END AS tu
+        FROM steps) x ON x.conv_id IS NOT DISTINCT FROM b.conv_id AND x.pos = b.pos + 1))),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM faulty GROUP BY conv_id),
+ends AS (SELECT c.*, list_sort([b.s[1], b.s[4]])[1] AS e FROM counts c JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.pos = c.n)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(e.c, 0) AS BIGINT) AS cost, coalesce(e.a, '') AS audit,
+       sha256(coalesce(left(e.t, greatest(length(e.t) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ends x ON o.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with a twentieth each of turns dropped, emptied, without end marks, repeated and of a wrong role."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = F.pmod(F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn")).cast("binary")), F.lit(20))
+    text = F.when(harm == 1, F.lit("")).when(harm == 2, F.translate(blank("text"), ".!?", "")).otherwise(blank("text"))
+    copies = F.when(harm == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    kept = turns.where(harm != 0)
+    return kept.select("conv_id", "turn", F.when(harm == 4, F.lit("user")).otherwise(blank("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+@register(DIALOGUE_SQL)
+def op11_dialogue_repair(spark: SparkSession, sf: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    reports = dialogues.conversation_reports(damaged(turns))
+    ids = turns.select("conv_id").distinct()
+    found = ids.alias("i").join(reports.alias("r"), F.col("i.conv_id").eqNullSafe(F.col("r.conv_id")), "left")
+    numbers = [F.coalesce(f"r.{c}", F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("r.repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return found.select("i.conv_id", *numbers, F.coalesce("r.audit", F.lit("")).alias("audit"), digest)
+
+
 def _secrets_sql() -> str:
     """Offsets from the lengths of the pieces between matches; each window's entropy from its own counts."""
     quoted = lambda x: x.replace("'", "''")
