@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, dialogues, jaccard, licences, lines, mixing, pages, passages, quality, secrets, sequences, vectors
+from corpusloom.llm import bpe, dialogues, jaccard, licences, lines, mixing, pages, passages, quality, secrets, sequences, vectors, whitening
 from corpusloom.llm.common import documents, tokenizer_file
 from corpusloom.session import materialize, scratch_path
 
@@ -405,6 +405,11 @@ def op12_secret_entropy(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register()
+def op13_qdwh_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")))
+
+
 @register()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
