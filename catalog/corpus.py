@@ -218,28 +218,42 @@ def merge_blocks(spark, sf):
 
 
 @register(
-    """select o_orderkey as doc_id, 0 as table_index, 'table' as chunk_type, true as has_table, 1 as page_number,
-      '| status | priority |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderstatus || ' | ' || o_orderpriority || ' |' as content,
-      'Thuộc: ' || o_orderpriority || '. Dữ liệu dạng bảng.' as context, 2 as n_rows, o_orderstatus as first_cell
-    from orders"""
+    """with t as (
+      select o_orderkey as doc_id, 0 as table_index, o_orderpriority as path, '| status | priority |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderstatus || ' | ' || o_orderpriority || ' |' as content,
+        o_orderstatus as first_cell from orders
+      union all
+      select o_orderkey, 1, o_orderpriority || ' > ' || o_orderstatus, '| customer | status |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_custkey || ' | ' || o_orderstatus || ' |',
+        o_custkey::varchar from orders)
+    select doc_id, table_index, 'table' as chunk_type, true as has_table, (table_index + 1)::int as page_number, content,
+      'Thuộc: ' || path || '. Dữ liệu dạng bảng.' as context, 2 as n_rows, first_cell from t"""
 )
 def table_chunks(spark, sf):
-    """Each order as a parsed document: a heading, then a two-row table."""
-    cell = lambda *xs: F.array(*xs)
-    rows = F.array(cell(F.lit("status"), F.lit("priority")), cell(F.col("o_orderstatus"), F.col("o_orderpriority")))
-    md = F.concat(
-        F.lit("| status | priority |\n| --- | --- |\n| "), "o_orderstatus", F.lit(" | "), "o_orderpriority", F.lit(" |")
-    )
+    """Each order as a parsed document: a heading, a table, text, a lower heading, a table, and one without content."""
+
+    def grid(*heads_and_cells):
+        half = len(heads_and_cells) // 2
+        return F.array(*(F.array(*heads_and_cells[i : i + half]) for i in (0, half)))
 
-    def block(kind, value, grid):
+    def md(first, second, a, b):
+        return F.concat(F.lit(f"| {first} | {second} |\n| --- | --- |\n| "), a, F.lit(" | "), b, F.lit(" |"))
+
+    def block(kind, value, rows=None, level=None, page=1):
         return F.struct(
-            F.lit(1).alias("page_number"), F.lit(kind).alias("type"), F.lit(None).cast("int").alias("level"),
-            value.alias("value"), value.alias("md"), grid.alias("rows"),
+            F.lit(page).alias("page_number"), F.lit(kind).alias("type"), F.lit(level).cast("int").alias("level"),
+            value.alias("value"), value.alias("md"), (F.lit(None).cast(B.GRID) if rows is None else rows).alias("rows"),
         ).cast(markup.BLOCK)
 
-    docs = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").select(
+    status, priority, customer = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_custkey").cast("string")
+    docs = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey").select(
         F.col("o_orderkey").alias("doc_id"),
-        F.array(block("heading", F.col("o_orderpriority"), F.lit(None).cast(B.GRID)), block("table", md, rows)).alias("blocks"),
+        F.array(
+            block("heading", priority),
+            block("table", md("status", "priority", status, priority), grid(F.lit("status"), F.lit("priority"), status, priority)),
+            block("text", F.concat(F.lit("Customer "), customer)),
+            block("heading", status, level=2, page=2),
+            block("table", F.lit(" "), page=2),
+            block("table", md("customer", "status", customer, status), grid(F.lit("customer"), F.lit("status"), customer, status), page=2),
+        ).alias("blocks"),
     )
     return B.table_chunks(docs).select(
         "doc_id", "table_index", "chunk_type", "has_table", "page_number", "content", "context",
@@ -396,6 +410,16 @@ def build_chunks(spark, sf):
     )
 
 
+@register(
+    CHUNKED
+    + r""" select doc_id, chunk_index::int as chunk_index, content, context, 1 as page_number, lang from chunk_rows"""
+)
+def chunk_block_rows(spark, sf):
+    """The same documents as one row per block, walked in a sorted stream."""
+    rows = T.unnest(lined_documents(spark, sf), ["doc_id", "lang", "source"], F.col("blocks"), "pos", "b").select("doc_id", "lang", "source", "pos", "b.*")
+    return B.chunk_block_rows(rows, filename="source", carry=("lang",)).select("doc_id", "chunk_index", "content", "context", "page_number", "lang")
+
+
 @register(
     CHUNKED
     + """, counted as (select doc_id, count(*) as n from chunk_rows where lang <> 'es' group by doc_id)

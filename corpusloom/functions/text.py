@@ -37,9 +37,13 @@ def unnest(df: DataFrame, keep: Sequence[Cols], array: Cols, pos: str, value: st
     return rows.filter(F.col(pos).isNotNull())
 
 
+#: The characters of Unicode's White_Space property.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(text: Cols) -> Column:
     """Trim all leading and trailing whitespace, not only spaces."""
-    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(text), F.lit(WHITE_SPACE))
 
 
 def is_blank(text: Cols) -> Column:

@@ -141,3 +141,75 @@ def test_eval_set_formats(spark, tmp_path):
     for name in ("s.json", "s.jsonl"):
         got = A.read_eval_set(spark, str(tmp_path / name)).orderBy("id").collect()
         assert [(r["id"], r["question"], r["expected_keywords"]) for r in got] == [("a", "q1", ["x"]), ("b", "q2", None)]
+
+
+def long_document(n):
+    kinds = [h(f"h{i}", i % 5, i // 9) if i % 7 == 0 else tb(f"|{i}|", [[str(i)]]) if i % 31 == 3 else tb(" ", None) if i % 31 == 5 else p(" ".join(["w"] * (i * 37 % 90)) + f" {i}") for i in range(n)]
+    return [p(" ") if i % 13 == 2 else b for i, b in enumerate(kinds)]
+
+
+def test_block_rows_give_the_same_chunks(spark):
+    many = docs(spark, long_document(900), [], long_document(5), [p(" "), p("")]).withColumn("file", F.lit("f")).withColumn("lang", F.col("doc_id") + 1)
+    rows = many.select("doc_id", "file", "lang", F.posexplode("blocks").alias("pos", "b")).select("doc_id", "file", "lang", "pos", "b.*").repartition(7)
+    a = B.build_chunks(many, filename="file", carry=("lang",), chunk_size=60, region_max=200)
+    b = B.chunk_block_rows(rows, filename="file", carry=("lang",), chunk_size=60, region_max=200)
+    assert a.columns == b.columns and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 100
+    assert B.chunk_block_rows(rows.limit(0)).collect() == []
+
+
+def test_walk_against_lists_kept_by_hand(spark):
+    blocks = long_document(400)
+    walked = B.segment_blocks(docs(spark, blocks), region_max=150).orderBy("segment_index").collect()
+    runs, run, count = [], [], 0
+    for b, path in zip(blocks, stack_paths(blocks)):
+        if b[1] == "table" or (b[1] == "heading" and count >= 150):
+            runs, run, count = runs + [run] * bool(run), [], 0
+        if b[1] != "table":
+            run.append((b[3], path))
+            count += len(b[4].split())
+    runs += [run] * bool(run)
+    assert [[(x["value"], x["path"]) for x in s["blocks"]] for s in walked] == runs
+    assert [s["heading_path"] for s in walked] == [r[0][1] for r in runs]
+
+
+def test_ten_times_the_blocks_take_about_ten_times_the_time(spark):
+    import time
+
+    def spent(n):
+        one = docs(spark, long_document(n)).repartition(1)
+        start = time.time()
+        B.build_chunks(one).write.format("noop").mode("overwrite").save()
+        return time.time() - start
+
+    spent(2_000)
+    assert spent(40_000) < 30 * max(spent(4_000), 0.5)
+
+
+def test_partition_problems_in_order(spark):
+    import random
+
+    rng, rows = random.Random(7), []
+
+    def plain(groups, n):
+        seen = set()
+        for g in groups:
+            if not g:
+                return "group without blocks"
+            if any(i < 0 or i >= n for i in g):
+                return "block out of range"
+            if any(b - a != 1 for a, b in zip(g, g[1:])):
+                return "blocks not consecutive"
+            if seen & set(g):
+                return "block in several groups"
+            seen |= set(g)
+        return ("blocks not covered" if len(seen) != n else None) if groups else "no groups"
+
+    for i in range(300):
+        n = rng.randrange(1, 8)
+        cuts = sorted(rng.sample(range(1, n), rng.randrange(0, n))) if n > 1 else []
+        groups = [list(range(a, b)) for a, b in zip([0, *cuts], [*cuts, n])]
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            groups[rng.randrange(len(groups))] = [rng.randrange(-1, n + 1) for _ in range(rng.randrange(0, 3))]
+        rows.append((i, groups, n))
+    df = spark.createDataFrame([(i, [(g, None, None, None) for g in gs], n) for i, gs, n in rows], f"id int, groups array<{B.GROUP}>, n_blocks int")
+    assert {r["id"]: r["problem"] for r in B.validate_partition(df).collect()} == {i: plain(gs, n) for i, gs, n in rows}
