@@ -172,11 +172,11 @@ def gazetteer_match(spark, sf):
     select d.doc_id, (select arg_min(name, (-length(name), name)) from g where contains(lower(d.text), name)) as match from documents d"""
 )
 def gazetteer_match_large(spark, sf):
-    """The path for gazetteers beyond the checked bound: second words of passages, found anywhere in documents."""
+    """Second words of passages as names, found anywhere in documents."""
     second = F.lower(F.regexp_extract("text", r"^\S+\s+(\S+)", 1))
     names = table(spark, sf, "benchmark").select(second.alias("name")).distinct().filter(F.char_length("name") >= 3)
     docs = table(spark, sf, "documents", "doc_id", "text")
-    return C.gazetteer_match(docs, names, key="doc_id", small=0).select("doc_id", "match")
+    return C.gazetteer_match(docs, names, key="doc_id").select("doc_id", "match")
 
 
 @register(f"with {_FILES} select doc_id, {_YEARS} as school_year, upper(r_name[1]) || lower(r_name[2:]) as ward from f")

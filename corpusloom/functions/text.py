@@ -1,16 +1,22 @@
-"""Text functions.  Every function returns a ``Column`` built from JVM expressions only."""
+"""Text functions on columns; rows with letters that the JVM has no function for go through Arrow."""
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 from collections.abc import Callable, Sequence
 from functools import cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Task code travels with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Cols = Column | str
 
 
@@ -62,6 +68,10 @@ def count_tokens(text: Cols) -> Column:
 
 @cache
 def _accent_table() -> tuple[str, str]:
+    return _letters_with_marks()
+
+
+def _letters_with_marks() -> tuple[str, str]:
     """Characters whose canonical decomposition is one base letter plus marks, and those letters.
 
     Derived from the Unicode data base; đ/Đ has no decomposition and is added by hand.
@@ -81,15 +91,33 @@ def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
+def _without_marks(text: str) -> str:
+    parts = unicodedata.normalize("NFD", unicodedata.normalize("NFC", text).replace("đ", "d").replace("Đ", "D"))
+    return "".join(c for c in parts if not unicodedata.combining(c)).lower()
+
+
 @F.pandas_udf(StringType())
 def _bare(text: pd.Series) -> pd.Series:
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        parts = unicodedata.normalize("NFD", unicodedata.normalize("NFC", x).replace("đ", "d").replace("Đ", "D"))
-        return "".join(c for c in parts if not unicodedata.combining(c)).lower()
-
-    return text.map(one)
+    return text.map(lambda x: x if x is None else _without_marks(x))
+
+
+_ODD = re.compile("[^\x00-\u024F\u1E00-\u1EFF\u2000-\u206F\u20A0-\u20CF]")
+_BASE_LETTERS: dict[int, str] = {}
+
+
+def normalized(text: str | None) -> str:
+    """``normalize_text`` for task code that holds the text already."""
+    if not text:
+        return ""
+    if text.isascii():
+        bare = text.lower()
+    elif _ODD.search(text):
+        bare = _without_marks(text)
+    else:
+        if not _BASE_LETTERS:
+            _BASE_LETTERS.update(str.maketrans(*_letters_with_marks()))
+        bare = text.translate(_BASE_LETTERS).lower()
+    return " ".join(bare.split())
 
 
 def compose_accents(text: Cols) -> Column:

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom import rules
 from corpusloom.functions import metadata as M
-from corpusloom.functions.text import let, null_if_blank, py_strip
-
-SMALL_GAZETTEER = 2000
+from corpusloom.functions.text import null_if_blank, py_strip
+from corpusloom.operators.automaton import NAME_BYTES, blocks_of, longest_name
 
 
 def localities(spark) -> DataFrame:
@@ -81,35 +80,21 @@ def canonicalize(df: DataFrame, gazetteer: DataFrame, column: str, out: str, kee
 
 def gazetteer_match(
     texts: DataFrame, gazetteer: DataFrame, column: str = "text", out: str = "match", key: str = "query_id",
-    small: int = SMALL_GAZETTEER,
+    small: int = NAME_BYTES,
 ) -> DataFrame:
     """Longest gazetteer name contained in the text, ignoring case; equal lengths give the smallest name.
 
-    A gazetteer of at most ``small`` names (checked) becomes one array value and every text is tested
-    where it is, without a join.  A larger one is matched by an equi-join: a name can only occur where
-    its leading characters do (the first 8, or all of a shorter name), so distinct texts are keyed by their
-    distinct character n-grams of the lengths that names have.  Both ways give each row one answer: the
-    second joins on the text itself, so repeated and null keys don't matter.
+    Every text is read once by an automaton of all names, where it lies and without a join; names beyond ``small``
+    bytes are read by further automata in the same plan.  Each row gets one answer, whatever its key.
     """
-    names = gazetteer.select(
-        F.char_length("name").alias("n"), F.col("name"), F.lower("name").alias("low")
-    ).filter(F.col("low") != "")
-    if names.limit(small + 1).count() <= small:
-        listed = names.agg(F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("n"), "name", "low"))))
-        rows = texts.withColumn("_names", listed.scalar())
-        hits = let(F.lower(F.col(column)), lambda low: F.filter("_names", lambda g: F.contains(low, g["low"])))
-        return rows.select(*texts.columns, F.get(hits, F.lit(0))["name"].alias(out))
-    names = names.withColumn("_gram", F.substring("low", 1, 8))
-    widths = [r[0] for r in names.select(F.char_length("_gram")).distinct().collect()]  # at most 8
-    said = texts.select(F.lower(F.col(column)).alias("_low")).distinct()
-    grams = F.flatten(F.array(*[F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in widths]))
-    near = said.select("_low", F.explode(F.array_distinct(grams)).alias("_gram")).join(names, "_gram")
-    found = (
-        near.filter(F.contains("_low", F.col("low")))
-        .groupBy("_low")
-        .agg(F.min(F.struct((-F.col("n")).alias("n"), "name"))["name"].alias(out))
-    )
-    return texts.withColumn("_low", F.lower(F.col(column))).join(found, "_low", "left").select(*texts.columns, out)
+    names = gazetteer.select(F.char_length("name").alias("n"), F.col("name"), F.lower("name").alias("low")).filter(F.col("low") != "").distinct()
+    low, found = F.lower(F.col(column)), []
+    for block in blocks_of(names, lambda r: len(r.low.encode()), small):
+        found.append(longest_name([tuple(r) for r in block])(low))
+    if not found:
+        return texts.withColumn(out, F.lit(None).cast("string"))
+    best = found[0] if len(found) == 1 else F.array_min(F.filter(F.array(*found), lambda f: f["n"].isNotNull()))
+    return texts.withColumn(out, best["name"])
 
 
 def title_metadata(files: DataFrame, gazetteer: DataFrame, column: str = "filename") -> DataFrame:

@@ -153,3 +153,13 @@ def test_html_blocks(spark):
     table = rows[2]
     assert table["type"] == "table" and table["rows"] == [["A", "B"], ["1", None]]
     assert table["md"] == "| A | B |\n| --- | --- |\n| 1 |  |"
+
+
+def test_task_side_normalization_agrees(spark):
+    import random
+
+    rng = random.Random(3)
+    letters = "aBc ĐđŘřẠạ…’“”ßẞİıΣσς한글̣́\t\n\x1c\x85\xa0 ﬁ①ǅñÑçÇœÆ𝄞é"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 15))) for _ in range(400)] + [None, "", "plain ASCII  Text", "Ünïcödé text"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.normalize_text("t").alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: T.normalized(t) for i, t in enumerate(texts)}
