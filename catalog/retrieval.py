@@ -12,8 +12,9 @@ from catalog.data import (
 from corpusloom import rules
 from corpusloom.operators import ranking as R
 from corpusloom.operators import search as S
+from corpusloom.operators import vector_index as I
 from corpusloom.plans.ask import prepare_contexts as ask_contexts
-from corpusloom.session import materialize
+from corpusloom.session import materialize, scratch_path
 
 
 @register(f"with {BM25}, {best('bm25_all', 30)} select query_id, chunk_id, score, rank::int as rank from ranked")
@@ -32,6 +33,28 @@ def lsh_candidates(spark, sf):
     return S.lsh_candidates(vector_queries(spark, sf), vector_corpus(spark, sf), k=10)
 
 
+def _indexed(spark, sf):
+    return I.build_vector_index(vector_corpus(spark, sf), scratch_path(spark, "vector-index"))
+
+
+@register(f"with {DENSE}, {best('dense_all', 10)} select query_id, chunk_id, score, rank::int as rank from ranked")
+def ivf_search(spark, sf):
+    """Exact top 10 through the inverted file: probed lists for a floor, then every block whose bound reaches it."""
+    corpus = vector_corpus(spark, sf)
+    return I.search_vector_index(vector_queries(spark, sf), _indexed(spark, sf), corpus, 10, exact=True)
+
+
+@register("select count(*) as n_vectors, count(distinct vec_id) as n_ids, true as within_bound, true as codes_whole from embeddings where embedding is not null")
+def ivf_lists(spark, sf):
+    """The written lists hold every vector once, in bounded blocks with one code for each component."""
+    index = _indexed(spark, sf)
+    n = F.size("ids")
+    ids = index.blocks().select(n.alias("n"), F.explode("ids").alias("id"), (F.octet_length("codes") == n * index.dim).alias("whole"))
+    return ids.agg(
+        F.count("*").alias("n_vectors"), F.countDistinct("id").alias("n_ids"), (F.max("n") <= I.BLOCK_ROWS).alias("within_bound"), F.bool_and("whole").alias("codes_whole")
+    )
+
+
 # --- filters -------------------------------------------------------------------------------------
 
 _SLOTS = """slots as (select b.item_id as query_id, d.lang, case when length(b.text) > 200 then d.source end as source
