@@ -13,6 +13,7 @@ from corpusloom import rules
 from corpusloom.operators import ranking as R
 from corpusloom.operators import search as S
 from corpusloom.operators import vector_index as I
+from corpusloom.operators.keyword_index import build_keyword_index
 from corpusloom.plans.ask import prepare_contexts as ask_contexts
 from corpusloom.session import materialize, scratch_path
 
@@ -92,8 +93,9 @@ def metadata_filter(spark, sf):
 )
 def filter_fallback(spark, sf):
     """Long passages ask for a source that does not exist and fall back to an open search."""
-    corpus, slots = text_corpus(spark, sf), ("lang", "source")
-    return S.filter_fallback(_slotted(spark, sf, missing=True), lambda q: S.bm25_search(q, corpus, 10, filters=slots), slots)
+    slots = ("lang", "source")
+    index = build_keyword_index(text_corpus(spark, sf), scratch_path(spark, "postings"), slots)
+    return S.filter_fallback(_slotted(spark, sf, missing=True), lambda q: S.bm25_search(q, index, 10, filters=slots), slots)
 
 
 @register(
@@ -259,8 +261,9 @@ _REFINED_BM25 = BM25.replace("from benchmark)", "from final_queries)")
 )
 def refine_rounds(spark, sf):
     """Long passages are graded insufficient and searched again with their first sentence."""
-    queries, corpus = benchmark_queries(spark, sf), text_corpus(spark, sf)
+    queries = benchmark_queries(spark, sf)
+    index = build_keyword_index(text_corpus(spark, sf), scratch_path(spark, "postings"))
     grades = queries.select(
         "query_id", F.lit(1).alias("round"), (F.char_length("text") <= 150).alias("sufficient"), F.get(F.split("text", r"\."), F.lit(0)).alias("refined_query")
     )
-    return S.refine_rounds(queries, lambda q: S.bm25_search(q, corpus, 5), grades)
+    return S.refine_rounds(queries, lambda q: S.bm25_search(q, index, 5), grades)

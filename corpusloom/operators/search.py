@@ -1,10 +1,10 @@
 """Many queries against a whole corpus: keyword search, vector search, filters and fallbacks.
 
 Both searches have the same shape.  A block of queries (its size checked) travels to the tasks, every
-task scores its own part of the corpus and keeps k rows per query, and only those rows are shuffled.
-The corpus itself is never shuffled, no query x corpus pair leaves a task, and a term or source that
-occurs in a third of all chunks costs no more network than a rare one.  More queries than one block
-holds are answered block by block.
+task scores its own part of the corpus (texts through their postings, see ``keyword_index``) and keeps k
+rows per query, and only those rows and the queries' postings are shuffled.  The corpus itself is never
+shuffled and no query x corpus pair leaves a task.  More queries than one block holds are answered block
+by block.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,14 @@ from pyspark.sql import types as ST
 
 from corpusloom import rules
 from corpusloom.functions.text import rounded, search_terms, word_trigrams
+from corpusloom.operators.keyword_index import KeywordIndex, bm25_idf, build_keyword_index
 from corpusloom.operators.ranking import top_k, weighted_rrf
-from corpusloom.session import broadcast_if_small, materialize
+from corpusloom.operators.task_search import QUERY_BLOCK, _Best, _query_slots, _slot_mask, query_blocks
+from corpusloom.session import broadcast_if_small, materialize, scratch_path
 
 # Task code travels with the job, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-QUERY_BLOCK = 4096
 KEYWORD_BLOCK = 32_768  # keyword queries answered in one pass over the corpus's terms
 _CELLS = 4_000_000  # scores held at once by a task
 
@@ -38,71 +40,6 @@ _CELLS = 4_000_000  # scores held at once by a task
 # --- per-task scoring ----------------------------------------------------------------------------
 
 
-class _Best:
-    """The k best rows per query seen by one task."""
-
-    def __init__(self, n_queries: int, k: int):
-        self.k = k
-        self.floor = np.full(n_queries, -np.inf)
-        self.rows: list[pd.DataFrame] = []
-        self.held = 0
-
-    def add(self, scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray) -> None:
-        row, query = np.nonzero(allowed & (scores >= self.floor))
-        self.take(query, ids[row], scores[row, query])
-
-    def take(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        if len(query):
-            self.rows.append(pd.DataFrame({"q": query, "id": ids, "s": scores}))
-            self.held += len(query)
-        if self.held > 200_000:
-            self.compact()
-
-    def result(self, query_ids: np.ndarray, kind: pa.DataType | None) -> Iterator[pa.RecordBatch]:
-        rows = self.compact()
-        if rows is not None and len(rows):
-            columns = [pa.array(query_ids[rows["q"].to_numpy()]), pa.array(rows["id"].to_numpy(), type=kind), pa.array(rows["s"].to_numpy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
-
-    def compact(self) -> pd.DataFrame | None:
-        if not self.rows:
-            return None
-        best = pd.concat(self.rows, ignore_index=True)
-        best = best.sort_values(["q", "s", "id"], ascending=[True, False, True], kind="stable")
-        best = best[best.groupby("q").cumcount() < self.k]
-        full = best.groupby("q")["s"].agg(["size", "min"])
-        full = full[full["size"] >= self.k]
-        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
-        self.rows, self.held = [best], 0
-        return best
-
-
-def _slot_mask(batch: pa.RecordBatch, slots: dict[str, tuple[np.ndarray, list]], n_queries: int) -> np.ndarray:
-    """True where every filter slot of the query is empty or equals the row's value."""
-    mask = np.ones((batch.num_rows, n_queries), dtype=bool)
-    for wanted, code in _slot_codes(batch, slots):
-        mask &= (wanted[None, :] < 0) | (wanted[None, :] == code[:, None])
-    return mask
-
-
-def _slot_codes(batch: pa.RecordBatch, slots: dict[str, tuple[np.ndarray, list]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each filter the wanted code of each query (-1: any) and the code of each row (-1: no query's)."""
-    out = []
-    for column, (wanted, values) in slots.items():
-        found = pc.index_in(batch.column(column), value_set=pa.array(values, batch.column(column).type))
-        out.append((wanted, found.fill_null(-1).to_numpy(zero_copy_only=False)))
-    return out
-
-
-def _query_slots(block: pd.DataFrame, filters: Sequence[str]) -> dict[str, tuple[np.ndarray, list]]:
-    slots = {}
-    for name in filters:
-        codes, values = pd.factorize(block[name])
-        if len(values):
-            slots[name] = (codes, list(values))
-    return slots
-
-
 def _search_in_tasks(
     corpus: DataFrame,
     block: pd.DataFrame,
@@ -134,21 +71,6 @@ def _hit_schema(corpus: DataFrame, id_type: ST.DataType) -> ST.StructType:
     return ST.StructType([ST.StructField("query_id", id_type), corpus.schema["chunk_id"], ST.StructField("score", ST.DoubleType())])
 
 
-def query_blocks(queries: DataFrame, columns: Sequence[str], size: int = QUERY_BLOCK) -> Iterator[pd.DataFrame]:
-    """The queries as bounded local blocks.  The size is checked before anything is fetched."""
-    wanted = queries.select(*columns)
-    head = wanted.limit(size + 1).toPandas()
-    if len(head) <= size:
-        if len(head):
-            yield head
-        return
-    n = 2 * (queries.count() // size + 1)
-    for i in range(n):
-        part = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toPandas()
-        if len(part):
-            yield part
-
-
 def _no_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     fields = [queries.schema["query_id"], corpus.schema["chunk_id"]]
     schema = ST.StructType([*fields, ST.StructField("score", ST.DoubleType())])
@@ -158,19 +80,9 @@ def _no_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 # --- keyword search ------------------------------------------------------------------------------
 
 
-def term_statistics(vocabulary: DataFrame, corpus_terms: DataFrame) -> DataFrame:
-    """Per vocabulary term the number of chunks holding it; the shuffle carries one row per term and task."""
-    rows = corpus_terms.select(F.explode(F.array_distinct("terms")).alias("term"))
-    return rows.join(vocabulary.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def bm25_idf(df: Column, n: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
-
-
 def bm25_search(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | KeywordIndex,
     k: int = rules.CANDIDATES,
     k1: float = rules.BM25_K1,
     b: float = rules.BM25_B,
@@ -179,87 +91,24 @@ def bm25_search(
 ) -> DataFrame:
     """Okapi BM25 over ``text``: ``queries(query_id, text, *filters)`` x ``corpus(chunk_id, text, *filters)``.
 
-    Distinct query terms count once.  The corpus is read and tokenized once, in the JVM, and its terms are
-    written to the shared folder; one aggregate gives the frequencies of all queries' terms.  Each pass
-    over the terms answers up to ``block_size`` queries and touches only (chunk, query) pairs that share a
-    term.
+    Distinct query terms count once.  The corpus is read and tokenized once and its postings are written; after that
+    only the queries' postings are read.  A ``KeywordIndex`` stands for a corpus whose postings are there already.
+    Without one, and with queries of one block, only the postings of their terms are written.
     """
-    with_terms = materialize(corpus.select("chunk_id", *filters, search_terms("text").alias("terms")), "terms")
     asked = queries.select("query_id", *filters, F.array_distinct(search_terms("text")).alias("terms"))
-    n, total = with_terms.agg(F.count(F.lit(1)), F.sum(F.size("terms"))).first()
-    stats = materialize(term_statistics(asked.select(F.explode("terms").alias("term")), with_terms), "term-counts")
-    id_type = queries.schema["query_id"].dataType
-    found = []
-    for block in query_blocks(asked, ["query_id", *filters, "terms"], block_size):
-        vocabulary = sorted({t for terms in block["terms"] for t in terms})
-        if not vocabulary or not n:
-            continue
-        lookup = queries.sparkSession.createDataFrame(pd.DataFrame({"term": vocabulary}))
-        df = stats.join(lookup, "term", "left_semi").toPandas().set_index("term")["df"].reindex(vocabulary).fillna(0).to_numpy(dtype=float)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        position = {t: i for i, t in enumerate(vocabulary)}
-        pairs = sorted((position[t], q) for q, terms in enumerate(block["terms"]) for t in set(terms))
-        term_of = np.array([p[0] for p in pairs])
-        query_of = np.array([p[1] for p in pairs])
-        offset = np.searchsorted(term_of, np.arange(len(vocabulary) + 1))
-        weigh = _bm25_weights(vocabulary, idf, k1, b, total / n if total else 1.0)
-        found.append(_keyword_search_in_tasks(with_terms, block, filters, k, id_type, weigh, offset, query_of))
-    hits = reduce(DataFrame.unionByName, found) if found else _no_hits(queries, corpus)
-    return top_k(hits, k)
-
-
-def _bm25_weights(vocabulary, idf, k1, b, mean_length):
-    """(row, term, weight) of the vocabulary's terms in a batch, sorted by row."""
-
-    def weigh(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lists = batch.column("terms")
-        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat = lists.flatten()
-        term = pc.index_in(flat, value_set=pa.array(vocabulary, flat.type)).fill_null(-1).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(batch.num_rows), lengths)
-        known = term >= 0
-        cell, tf = np.unique(row[known].astype(np.int64) * len(vocabulary) + term[known], return_counts=True)
-        row, term = np.divmod(cell, len(vocabulary))
-        return row, term, idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / mean_length))
-
-    return weigh
-
-
-def _keyword_search_in_tasks(corpus, block, filters, k, id_type, weigh, offset, query_of) -> DataFrame:
-    """Score the pairs of chunk and query that share a term, at most ``_CELLS`` (or one chunk's) at once."""
-    slots, query_ids, n_queries = _query_slots(block, filters), block["query_id"].to_numpy(), len(block)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, kind = _Best(n_queries, k), None
-        for batch in batches:
-            kind = batch.schema.field("chunk_id").type
-            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            codes = _slot_codes(batch, slots)
-            row, term, weight = weigh(batch)
-            fan = offset[term + 1] - offset[term]
-            reach = np.concatenate(([0], np.cumsum(fan)))
-            rows = np.concatenate((np.flatnonzero(np.diff(row, prepend=-1)), [len(row)]))
-            start = 0
-            while start < len(rows) - 1:
-                stop = max(start + 1, int(np.searchsorted(reach[rows], reach[rows[start]] + _CELLS, "right")) - 1)
-                cells = slice(rows[start], rows[stop])
-                source = np.repeat(np.arange(rows[start], rows[stop]), fan[cells])
-                within = np.arange(len(source)) - np.repeat(reach[cells] - reach[rows[start]], fan[cells])
-                key = row[source] * n_queries + query_of[offset[term[source]] + within]
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                first = np.flatnonzero(np.diff(key, prepend=-1))
-                if len(first):
-                    scores = np.round(np.add.reduceat(weight[source][order], first), 6)
-                    at, query = np.divmod(key[first], n_queries)
-                    fits = scores >= best.floor[query]
-                    for wanted, code in codes:
-                        fits &= (wanted[query] < 0) | (wanted[query] == code[at])
-                    best.take(query[fits], ids[at[fits]], scores[fits])
-                start = stop
-        yield from best.result(query_ids, kind)
-
-    return corpus.mapInArrow(task, _hit_schema(corpus, id_type))
+    blocks = query_blocks(asked, ["query_id", *filters, "terms"], block_size)
+    first = next(blocks, None)
+    if first is None:
+        return top_k(_no_hits(queries, corpus.documents() if isinstance(corpus, KeywordIndex) else corpus), k)
+    second = next(blocks, None)
+    if isinstance(corpus, KeywordIndex):
+        index = corpus
+    else:
+        words = {t for terms in first["terms"] for t in terms} if second is None else None
+        index = build_keyword_index(corpus, scratch_path(queries.sparkSession, "postings"), filters, vocabulary=words)
+    every = chain([first], [] if second is None else [second], blocks)
+    found = [index.search(block, filters, k, k1, b, queries.schema["query_id"].dataType) for block in every]
+    return top_k(reduce(DataFrame.unionByName, found), k)
 
 
 # --- vector search -------------------------------------------------------------------------------

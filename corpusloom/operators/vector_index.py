@@ -30,7 +30,8 @@ from pyspark.sql import types as ST
 from corpusloom import rules
 from corpusloom.functions.text import rounded
 from corpusloom.operators.ranking import top_k
-from corpusloom.operators.search import QUERY_BLOCK, _Best, _unit_rows, cosine, query_blocks
+from corpusloom.operators.search import _unit_rows, cosine
+from corpusloom.operators.task_search import QUERY_BLOCK, _Best, query_blocks
 from corpusloom.session import broadcast_if_small, materialize
 
 # Task code travels with the job, so executors need not have this package installed.
