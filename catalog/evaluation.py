@@ -16,7 +16,8 @@ from corpusloom.operators import ranking as R
 from corpusloom.operators import relevance as L
 from corpusloom.operators import search as S
 from corpusloom.plans.sweep import retrieval_sweep as whole_sweep
-from corpusloom.session import materialize
+from corpusloom.session import materialize, scratch_path
+from corpusloom.sources import tables as A
 
 # --- text ----------------------------------------------------------------------------------------
 
@@ -247,6 +248,24 @@ def saturation_k(spark, sf):
     return E.saturation_k(_grid(spark, sf))
 
 
+@register(
+    f"""with {_SWEEP_GRID}, g as (select alpha, k, {_MEANS} from measured group by 1, 2)
+    select alpha, max(mrr) as mrr, max(n) as n, string_agg(k::varchar, ',' order by k) as ks, max(recall) as best_recall, arg_max(precision, -k) as first_precision from g group by alpha"""
+)
+def sweep_document(spark, sf):
+    """The grid as nested documents, written as JSON and read back."""
+    path = scratch_path(spark, "sweep")
+    A.write_results(A.sweep_document(_grid(spark, sf)), path)
+    each = "k int, precision double, recall double, f1 double, hit double, ndcg double"
+    rows = spark.read.schema(f"alpha double, per_k array<struct<{each.replace(' ', ':').replace(',:', ',')}>>, mrr double, n bigint").json(path)
+    return rows.select(
+        "alpha", "mrr", "n",
+        F.array_join(F.transform("per_k", lambda x: x["k"].cast("string")), ",").alias("ks"),
+        F.array_max(F.transform("per_k", lambda x: x["recall"])).alias("best_recall"),
+        F.element_at("per_k", 1)["precision"].alias("first_precision"),
+    )
+
+
 @register(f"with {_SWEEP_GRID} select alpha, k, {_MEANS} from measured group by 1, 2")
 def retrieval_sweep(spark, sf):
     """The sweep as one plan, with its stages written to the shared folder."""
@@ -332,6 +351,22 @@ def simulation_check(spark, sf):
     return E.simulation_check(real, simulated)
 
 
+@register(
+    f"""with {_FULL_RERANK},
+    inside as (select d.depth, r.query_id, r.chunk_id, row_number() over (partition by d.depth, r.query_id order by r.score desc, r.chunk_id) as pos
+      from full_rerank r join fused f using (query_id, chunk_id), (values (8), (30)) d(depth) where f.rank <= d.depth),
+    heads as (select query_id, depth, list(chunk_id order by pos) as ids from inside where pos <= 5 group by all)
+    select a.query_id, a.ids = b.ids as match from heads a join heads b using (query_id) where a.depth = 8 and b.depth = 30"""
+)
+def simulation_check_depths(spark, sf):
+    """A rerank of the first 8 candidates against one simulated for 30: they differ where a better one comes later."""
+    hybrid, reranked = _hybrid_and_rerank(spark, sf)
+    few, many = hybrid.filter("rank <= 8"), hybrid.filter("rank <= 30")
+    real = R.rerank(few, S.trigram_scores(few, benchmark_queries(spark, sf), text_corpus(spark, sf)), 5)
+    inside = reranked.join(many.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    return E.simulation_check(real, R.top_k(inside.select("query_id", "chunk_id", (-F.col("rank")).alias("score")), 5))
+
+
 # --- agreement and score tables ------------------------------------------------------------------
 
 _AGREE = """a as (select avg((quality = toxic)::int) as po, avg(quality) as pa, avg(toxic) as pb, count(*) as n from labels),
@@ -378,6 +413,21 @@ def parse_label_json(spark, sf):
     return table(spark, sf, "events").select("event_id", E.parse_label_json(reply, "k").alias("label"))
 
 
+@register(
+    f"""with {SWEEP}, {AUTO}, pooled as (select distinct query_id, chunk_id from swept where rank <= 30)
+    select p.query_id, p.chunk_id, (a.query_id is not null)::int as a, l.quality::int as b from pooled p join labels l on l.doc_id = p.chunk_id
+    left join auto a on a.query_id = p.query_id and a.chunk_id = p.chunk_id where p.query_id not in (select item_id from benchmark where length(text) < 100)"""
+)
+def pool_pairs(spark, sf):
+    """Automatic labels next to the documents' quality labels over the pool, without the short (negative) passages."""
+    known = table(spark, sf, "documents", "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    pooled = R.pool(R.alpha_sweep(*branches(spark, sf, 50)), known)
+    quality = table(spark, sf, "labels", "doc_id", "quality").select(F.col("doc_id").alias("chunk_id"), (F.col("quality") == 1).alias("relevant"))
+    judged = pooled.select("query_id", "chunk_id").join(quality, "chunk_id")
+    negative = benchmark_queries(spark, sf).where(F.char_length("text") < 100)
+    return E.pool_pairs(pooled.select("query_id", "chunk_id"), _labels(spark, sf), judged, negative)
+
+
 @register("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def pending_pairs(spark, sf):
     return E.pending_pairs(table(spark, sf, "documents", "doc_id"), table(spark, sf, "labels", "doc_id"), ["doc_id"])

@@ -27,42 +27,53 @@ from corpusloom import rules
 from corpusloom.functions.text import rounded, search_terms, word_trigrams
 from corpusloom.operators.keyword_index import KeywordIndex, bm25_idf, build_keyword_index
 from corpusloom.operators.ranking import top_k, weighted_rrf
-from corpusloom.operators.task_search import QUERY_BLOCK, _Best, _query_slots, _slot_mask, query_blocks
+from corpusloom.operators.task_search import QUERY_BLOCK, _Best, query_blocks
 from corpusloom.session import broadcast_if_small, materialize, scratch_path
 
 # Task code travels with the job, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEYWORD_BLOCK = 32_768  # keyword queries answered in one pass over the corpus's terms
+PASS_BYTES = 64 << 20  # query vectors that one pass over the corpus answers
 _CELLS = 4_000_000  # scores held at once by a task
 
 
 # --- per-task scoring ----------------------------------------------------------------------------
 
 
-def _search_in_tasks(
-    corpus: DataFrame,
-    block: pd.DataFrame,
-    filters: Sequence[str],
-    k: int,
-    id_type: ST.DataType,
-    score_rows: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]],
-) -> DataFrame:
-    """Run ``score_rows`` (scores, matched) over slices of the corpus and keep k rows per query and task."""
-    slots = _query_slots(block, filters)
-    query_ids = block["query_id"].to_numpy()
+class _Group:
+    """Queries with the same filter values: rows are tested once for all of them and only rows that fit are scored."""
+
+    def __init__(self, part: pd.DataFrame, filters: Sequence[str]) -> None:
+        self.ids = part["query_id"].to_numpy()
+        self.matrix = _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]]))
+        first = part.iloc[0]
+        self.wanted = [(f, first[f]) for f in filters if not pd.isna(first[f])]
+
+    def rows(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Places of the rows that have the filter values."""
+        fits = np.ones(batch.num_rows, bool)
+        for name, value in self.wanted:
+            column = batch.column(name)
+            fits &= pc.equal(column, pa.scalar(value, column.type)).fill_null(False).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(fits)
+
+
+def _vector_pass(corpus: DataFrame, groups: list[_Group], k: int, id_type: ST.DataType) -> DataFrame:
+    """One pass over the corpus for all groups: k rows per query and task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, kind = _Best(len(query_ids), k), None
-        step = max(1, _CELLS // max(1, len(query_ids)))
+        best, kind = [_Best(len(g.ids), k) for g in groups], None
         for batch in batches:
             kind = batch.schema.field("chunk_id").type
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                scores, matched = score_rows(part)
-                allowed = matched & _slot_mask(part, slots, len(query_ids))
-                best.add(np.round(scores, 6), allowed, part.column("chunk_id").to_numpy(zero_copy_only=False))
-        yield from best.result(query_ids, kind)
+            units, ids = _batch_units(batch, groups[0].matrix.shape[1]), batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            for group, found in zip(groups, best):
+                rows, step = group.rows(batch), max(1, _CELLS // len(group.ids))
+                for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+                    scores = np.round(units[part] @ group.matrix.T, 6)
+                    found.add(scores, np.ones(scores.shape, bool), ids[part])
+        for group, found in zip(groups, best):
+            yield from found.result(group.ids, kind)
 
     return corpus.mapInArrow(task, _hit_schema(corpus, id_type))
 
@@ -121,15 +132,27 @@ def vector_search(
     filters: Sequence[str] = (),
     vector: str = "embedding",
     block_size: int = QUERY_BLOCK,
+    pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
-    """Exact cosine top-k: ``queries(query_id, embedding)`` x ``corpus(chunk_id, embedding)``."""
+    """Exact cosine top-k: ``queries(query_id, embedding)`` x ``corpus(chunk_id, embedding)``.
+
+    Blocks of queries are fetched one by one and answered together, up to ``pass_bytes`` of query vectors in one pass over
+    the corpus.  Queries of equal filter values share one test of the rows.  A corpus vector of another length than
+    the queries' stops the search with an error.
+    """
     rows = corpus.filter(F.col(vector).isNotNull()).select("chunk_id", *filters, F.col(vector).alias("vec"))
     asked = queries.filter(F.col(vector).isNotNull()).select("query_id", *filters, F.col(vector).alias("vec"))
     id_type = queries.schema["query_id"].dataType
-    found = []
+    found, groups, held = [], [], 0
     for block in query_blocks(asked, ["query_id", *filters, "vec"], block_size):
-        matrix = _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in block["vec"]]))
-        found.append(_search_in_tasks(rows, block, filters, k, id_type, _cosine_scorer(matrix)))
+        parts = [part for _, part in block.groupby(list(filters), dropna=False, sort=False)] if filters else [block]
+        groups += [_Group(part, filters) for part in parts]
+        held += sum(g.matrix.nbytes for g in groups[-len(parts) :])
+        if held >= pass_bytes:
+            found.append(_vector_pass(rows, groups, k, id_type))
+            groups, held = [], 0
+    if groups:
+        found.append(_vector_pass(rows, groups, k, id_type))
     hits = reduce(DataFrame.unionByName, found) if found else _no_hits(queries, corpus)
     return top_k(hits, k)
 
@@ -139,16 +162,11 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norm > 0, norm, 1.0)
 
 
-def _cosine_scorer(matrix: np.ndarray):
-    def score(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        lengths = pc.list_value_length(batch.column("vec"))
-        if batch.num_rows and pc.any(pc.not_equal(lengths, matrix.shape[1])).as_py():
-            raise ValueError(f"vectors of other lengths than the queries' {matrix.shape[1]}")
-        flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        scores = _unit_rows(flat.reshape(batch.num_rows, -1)) @ matrix.T
-        return scores, np.ones(scores.shape, dtype=bool)
-
-    return score
+def _batch_units(batch: pa.RecordBatch, dim: int) -> np.ndarray:
+    lengths = pc.list_value_length(batch.column("vec"))
+    if batch.num_rows and pc.any(pc.not_equal(lengths, dim)).as_py():
+        raise ValueError(f"vectors of other lengths than the queries' {dim}")
+    return _unit_rows(batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim))
 
 
 def _signature_udf(dim: int, bits: int, tables: int, seed: int):

@@ -1,4 +1,4 @@
-"""What searches share inside a task: the best rows per query, filters, blocks of queries."""
+"""What searches share: the best rows per query in a task, and blocks of queries."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,32 +57,6 @@ class _Best:
         return best
 
 
-def _slot_mask(batch: pa.RecordBatch, slots: dict[str, tuple[np.ndarray, list]], n_queries: int) -> np.ndarray:
-    """True where every filter slot of the query is empty or equals the row's value."""
-    mask = np.ones((batch.num_rows, n_queries), dtype=bool)
-    for wanted, code in _slot_codes(batch, slots):
-        mask &= (wanted[None, :] < 0) | (wanted[None, :] == code[:, None])
-    return mask
-
-
-def _slot_codes(batch: pa.RecordBatch, slots: dict[str, tuple[np.ndarray, list]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each filter the wanted code of each query (-1: any) and the code of each row (-1: no query's)."""
-    out = []
-    for column, (wanted, values) in slots.items():
-        found = pc.index_in(batch.column(column), value_set=pa.array(values, batch.column(column).type))
-        out.append((wanted, found.fill_null(-1).to_numpy(zero_copy_only=False)))
-    return out
-
-
-def _query_slots(block: pd.DataFrame, filters: Sequence[str]) -> dict[str, tuple[np.ndarray, list]]:
-    slots = {}
-    for name in filters:
-        codes, values = pd.factorize(block[name])
-        if len(values):
-            slots[name] = (codes, list(values))
-    return slots
-
-
 def query_blocks(queries: DataFrame, columns: Sequence[str], size: int = QUERY_BLOCK) -> Iterator[pd.DataFrame]:
     """The queries as bounded local blocks.  The size is checked before anything is fetched."""
     wanted = queries.select(*columns)

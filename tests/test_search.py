@@ -269,3 +269,33 @@ def test_bm25_reads_the_corpus_once_for_three_blocks(spark, small):
     third = max(1, -(-queries.count() // 3))
     S.bm25_search(queries, watched, 5, block_size=third).collect()
     assert reads.value == corpus.count()
+
+
+def test_vector_search_reads_the_corpus_once_for_three_blocks(spark):
+    import random
+
+    rng = random.Random(11)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    corpus = spark.createDataFrame([(i, vector(), i % 4 if i % 9 else None) for i in range(300)], "chunk_id int, embedding array<double>, lang int")
+    queries = spark.createDataFrame([(i, vector(), i % 5 if i % 2 else None) for i in range(30)], "query_id int, embedding array<double>, lang int")
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(v):
+        reads.add(1)
+        return v
+
+    watched = corpus.withColumn("embedding", counted("embedding"))
+    one = lists(S.vector_search(queries, watched, 5))
+    once = reads.value
+    assert lists(S.vector_search(queries, watched, 5, block_size=10)) == one and reads.value == 2 * once
+    assert lists(S.vector_search(queries, corpus, 5, block_size=10, pass_bytes=1)) == one
+    rows, asked = corpus.collect(), queries.collect()
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 6)
+    want = {}
+    for q in asked:
+        fits = [r for r in rows if q.lang is None or r.lang == q.lang]
+        best = [r.chunk_id for r in sorted(fits, key=lambda r: (-cos(q.embedding, r.embedding), r.chunk_id))[:5]]
+        if best:
+            want[q.query_id] = best
+    assert lists(S.vector_search(queries, corpus, 5, filters=("lang",), block_size=10)) == want
