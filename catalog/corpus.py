@@ -10,6 +10,7 @@ from corpusloom.functions import markup, text as T
 from corpusloom.operators import blocks as B
 from corpusloom.session import scratch_path
 from corpusloom.sources import tables as A
+from corpusloom.sources.snapshots import Snapshot
 
 SEP = " > "
 
@@ -434,3 +435,38 @@ def ingest_summary(spark, sf):
     chunks = B.build_chunks(docs.filter(F.col("lang") != "es"), filename="source")
     state = docs.select("doc_id", F.lit(1).alias("page_count"), (F.col("lang") != "fr").alias("has_content"))
     return B.ingest_summary(state, chunks)
+
+
+@register(
+    """with incoming as (select d.doc_id + 1000000000 as doc_id, d.source, d.text from documents d join labels l using (doc_id) where l.quality = 0)
+    select doc_id, source as filename, length(text) as n from documents where source not in (select source from incoming)
+    union all select doc_id, source, length(text) from incoming"""
+)
+def stored_replace_by_name(spark, sf):
+    """The same replacement on stored tables: documents, then the incoming ones under their names, then a compaction."""
+    docs = table(spark, sf, "documents", "doc_id", "source", "text").withColumnRenamed("source", "filename")
+    poor = table(spark, sf, "labels", "doc_id", "quality").filter("quality = 0").select("doc_id")
+    incoming = docs.join(poor, "doc_id", "left_semi").withColumn("doc_id", F.col("doc_id") + 1000000000)
+    store = Snapshot(spark, scratch_path(spark, "stored-documents"), "doc_id")
+    for rows in (docs, incoming):
+        store.replace_by("filename", {"documents": rows}, "documents")
+    store.compact()
+    return store.table("documents").select("doc_id", "filename", F.char_length("text").cast("long").alias("n"))
+
+
+@register(
+    """with kept as (select doc_id, length(text) as n from documents where doc_id not in (select doc_id from labels where toxic = 1))
+    select doc_id, n, (select count(*) from embeddings where vec_id = doc_id) as vectors from kept"""
+)
+def stored_delete_cascade(spark, sf):
+    """Documents and their vectors stored together; toxic ones leave both tables in one change, read while it is open."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    vectors = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    toxic = table(spark, sf, "labels", "doc_id", "toxic").filter("toxic = 1")
+    store = Snapshot(spark, scratch_path(spark, "stored-corpus"), "doc_id")
+    store.replace({"documents": docs, "vectors": vectors})
+    store.compact()
+    store.delete(toxic)
+    n = store.table("vectors").groupBy("doc_id").agg(F.count(F.lit(1)).alias("vectors"))
+    left = store.table("documents").select("doc_id", F.char_length("text").cast("long").alias("n")).join(n, "doc_id", "left")
+    return left.select("doc_id", "n", F.coalesce("vectors", F.lit(0)).cast("long").alias("vectors"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from corpusloom.operators.blocks import build_chunks, ingest_summary
+from corpusloom.sources.snapshots import Snapshot
 from corpusloom.sources.tables import append_chunks
 
 
@@ -21,29 +22,39 @@ def stream_ingest(
     filename: str | None = None,
     order: Sequence[str] = (),
     name: str | None = None,
+    compact_after: int = 8,
 ) -> StreamingQuery:
     """New documents to chunk rows and status rows, as they arrive.
 
     ``documents`` is a stream with an explicit schema.  ``to_blocks`` adds ``blocks``, ``page_count``,
-    ``has_content`` and, for documents that could not be parsed, ``error``.  Each micro-batch overwrites
-    its own ``batch_id`` folder, so a repeated batch replaces itself; chunk ids depend only on document
-    and position.  Of the rows of a batch with one key, only the newest by ``order`` (any one, without it)
-    is taken; with ``name``, also of the rows with one file name.  A document, or a file name, delivered
-    again in a later batch wins over the older one when read with ``read_ingested``.
+    ``has_content`` and, for documents that could not be parsed, ``error``.  Of the rows of a batch with
+    one key, only the newest by ``order`` (without it: the largest by all other columns) is taken; with
+    ``name``, also of the rows with one file name.  The rows taken are written before anything is made
+    of them.  Chunks and status of a batch are one change of a snapshot: they replace what is stored
+    under its keys and its file names, a batch delivered twice is known, and ``compact_after`` open
+    changes are folded into the buckets they touch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = one_row_each(one_row_each(batch, key, order), name, order)
-        parsed = to_blocks(batch)
-        error = F.col("error") if "error" in parsed.columns else F.lit(None).cast("string")
-        good = parsed.filter(error.isNull())
-        chunks = append_chunks(build_chunks(good, key, filename), key)
-        chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch_id={batch_id}")
-        stored = batch.sparkSession.read.parquet(f"{target}/chunks/batch_id={batch_id}")
-        status = ingest_summary(parsed, stored.withColumnRenamed("document_id", key), key)
-        if name:
-            status = status.join(batch.select(key, F.col(name).alias("_name")), key)
-        status.write.mode("overwrite").parquet(f"{target}/status/batch_id={batch_id}")
+        store = Snapshot(batch.sparkSession, target, key)
+        change = store.begin("ingest", batch_id)
+        if change is not None:
+            taken = change.stage(one_row_each(one_row_each(batch, key, order), name, order))
+            parsed = to_blocks(taken)
+            error = F.col("error") if "error" in parsed.columns else F.lit(None).cast("string")
+            good = parsed.filter(error.isNull())
+            chunks = append_chunks(build_chunks(good, key, filename), key).withColumnRenamed("document_id", key)
+            stored = change.put("chunks", chunks)
+            status = ingest_summary(parsed, stored, key)
+            keys = [taken.select(key)]
+            if name:
+                status = status.join(taken.select(key, F.col(name).alias("_name")), key)
+                if "status" in change.state["base"]:
+                    names = taken.select(F.col(name).alias("_name")).filter(F.col("_name").isNotNull())
+                    keys.append(store.table("status").join(names, "_name", "left_semi").select(key))
+            change.put("status", status)
+            change.commit(keys)
+        store.compact(compact_after)
 
     return (
         documents.writeStream.foreachBatch(write)
@@ -54,24 +65,15 @@ def stream_ingest(
 
 
 def one_row_each(rows: DataFrame, key: str | None, order: Sequence[str]) -> DataFrame:
-    """The newest row of each key; rows without a key stay."""
+    """The newest row of each key, by ``order`` or else by all other columns; rows without a key stay."""
     if key is None:
         return rows
-    if not order:
-        return rows.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(rows.filter(F.col(key).isNull()))
     rest = [c for c in rows.columns if c != key]
-    newest = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_m"))
+    newest = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*(order or rest), *rest)).alias("_m"))
     return newest.select(key, "_m.*").select(*rows.columns).unionByName(rows.filter(F.col(key).isNull()))
 
 
 def read_ingested(spark: SparkSession, target: str, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(chunks, status) with the newest delivery of every document and, if recorded, of every file name."""
-    status = spark.read.parquet(f"{target}/status")
-    rest = [c for c in status.columns if c != key]
-    newest = status.groupBy(key).agg(F.max_by(F.struct(*rest), "batch_id").alias("s")).select(key, "s.*")
-    if "_name" in newest.columns:
-        last = newest.filter(F.col("_name").isNotNull()).groupBy("_name").agg(F.max("batch_id").alias("_last"))
-        newest = newest.join(last, "_name", "left").filter(F.coalesce(F.col("batch_id") == F.col("_last"), F.lit(True))).drop("_last", "_name")
-    chunks = spark.read.parquet(f"{target}/chunks").withColumnRenamed("document_id", key)
-    current = chunks.join(newest.select(key, "batch_id"), [key, "batch_id"], "left_semi")
-    return current.drop("batch_id"), newest.drop("batch_id")
+    store = Snapshot(spark, target, key)
+    return store.table("chunks"), store.table("status").drop("_name")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from corpusloom.sources.snapshots import Snapshot
+
 
 def activity(events: DataFrame, span: str = "1 day", late: str = "1 hour", exact: bool = True) -> DataFrame:
     """Tumbling event counts and active users; rows behind the watermark are dropped.
@@ -46,12 +48,14 @@ def latest(events: DataFrame, key: str, order: tuple[str, ...], value: tuple[str
 
 
 def stream_latest(
-    events: DataFrame, target: str, checkpoint: str, key: str, order: tuple[str, ...], value: tuple[str, ...]
+    events: DataFrame, target: str, checkpoint: str, key: str, order: tuple[str, ...], value: tuple[str, ...], compact_after: int = 8
 ) -> StreamingQuery:
-    """Write the changed keys of every micro-batch to its own folder; a repeated batch replaces itself."""
+    """Replace the changed keys of every micro-batch in a snapshot; a repeated batch is known there."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        store = Snapshot(batch.sparkSession, target, key)
+        store.replace({"latest": batch}, writer="latest", batch=batch_id)
+        store.compact(compact_after)
 
     return (
         latest(events, key, order, value)
@@ -64,7 +68,5 @@ def stream_latest(
 
 
 def read_latest(spark: SparkSession, target: str, key: str) -> DataFrame:
-    """The newest version of every key over all batches."""
-    rows = spark.read.parquet(target)
-    rest = [c for c in rows.columns if c not in (key, "batch_id")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch_id").alias("m")).select(key, "m.*")
+    """The newest version of every key."""
+    return Snapshot(spark, target, key).table("latest")
