@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from catalog import register
 from catalog.data import CHUNKED, lined_blocks
+from catalog.usage import sketch_sql
 from corpusloom.functions.moments import as_utc, utc_clock
+from corpusloom.operators import usage as batch_usage
 from corpusloom.session import scratch_path
 from corpusloom.sources.tables import read_table
 from corpusloom.streaming import ingest, usage
@@ -51,3 +55,14 @@ def stream_latest(spark, sf):
     target, marks = scratch_path(spark, "latest"), scratch_path(spark, "latest-checkpoint")
     usage.stream_latest(_stream(spark, sf, "events"), target, marks, "user_id", ("ts", "event_id"), ("event_type",)).awaitTermination()
     return usage.read_latest(spark, target, "user_id").select("user_id", "ts", "event_id", "event_type")
+
+
+@register(sketch_sql("2024-01-30 22:00:00"))
+def stream_sketches(spark, sf):
+    """Every event comes twice; hours closed by the watermark are reported by ranges up to 22:00 of the last day."""
+    target, marks = scratch_path(spark, "sketches"), scratch_path(spark, "sketches-checkpoint")
+    sender = F.when(F.col("event_type").isin("click", "view", "purchase"), "user").otherwise("assistant")
+    rows = _stream(spark, sf, "events").select("event_id", "user_id", sender.alias("sender_type"), as_utc("ts").alias("created_at"))
+    usage.stream_sketches(rows.unionByName(rows), target, marks).awaitTermination()
+    hourly = spark.read.parquet(target).withColumn("hour", utc_clock("hour"))
+    return batch_usage.sketch_report(hourly, datetime(2024, 1, 30, 22))

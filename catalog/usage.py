@@ -10,6 +10,7 @@ from catalog import register
 from catalog.data import table
 from corpusloom.functions.citations import delta_pct as delta_column
 from corpusloom.operators import usage as G
+from corpusloom.session import materialize
 
 # The events table ends on 2024-01-30; the report time is an argument, so results repeat.
 NOW = datetime(2024, 1, 31)
@@ -115,6 +116,77 @@ def period_report_30d(spark, sf):
     return _period(spark, sf, "30d")
 
 
+_DAY0 = "1998-08-03"
+
+
+def _statistics_sql(hours):
+    middle, first = f"(timestamp '{_DAY0}' - interval {hours} hour)", f"(timestamp '{_DAY0}' - interval {2 * hours} hour)"
+    label = "%H:%M" if hours == 24 else "%d/%m"
+    width = hours * 3600000000
+    return f"""with talks as (select o_orderkey as conv_id, o_custkey as user_id, o_orderdate::timestamp as created_at from orders),
+    m as (select l_orderkey as conv_id, case when l_linenumber % 2 = 1 then 'user' else 'assistant' end as sender_type, l_shipdate::timestamp - interval 90 day as created_at from lineitem),
+    people as (select c_custkey as user_id from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey where r_name = 'ASIA'),
+    u as (select t.user_id, m.created_at >= {middle} as cur from m join talks t using (conv_id) join people using (user_id)
+      where sender_type = 'user' and m.created_at >= {first} and m.created_at < '{_DAY0}'),
+    b as (select least({G.rules.BUCKETS - 1}, greatest(0, ((epoch_us(created_at) - epoch_us({middle})) * 6) // {width}))::int as bucket from talks where created_at >= {middle} and created_at < '{_DAY0}'),
+    metric as (
+      select 0 as position, 'active_users' as label, count(distinct user_id) filter (cur) as value, count(distinct user_id) filter (not cur) as previous from u
+      union all select 1, 'conversations', count(*) filter (created_at >= {middle}), count(*) filter (created_at < {middle}) from talks where created_at >= {first} and created_at < '{_DAY0}'
+      union all select 2, 'answered', count(*) filter (created_at >= {middle}), count(*) filter (created_at < {middle}) from m where sender_type = 'assistant' and created_at >= {first} and created_at < '{_DAY0}'
+      union all select 3, 'total_documents', count(*), null from documents)
+    select 'metric' as part, position, label, value, previous, case when previous <> 0 then round((value - previous) / previous * 100, 1) end as delta_pct from metric
+    union all select 'chart', i::int, strftime({middle} + to_microseconds(i * {width} // 6), '{label}'), (select count(*) from b where bucket = i), null, null from range(6) t(i)
+    union all select 'topic', 0, 'all conversations', (select count(*) from b), null, null"""
+
+
+def _statistics(spark, sf, name):
+    """Orders as conversations, their lines in turn as questions and answers, customers' regions as roles."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    talks = o.select(F.col("o_orderkey").alias("conv_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"))
+    sender = F.when(F.col("l_linenumber") % 2 == 1, "user").otherwise("assistant")
+    messages = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate").select(
+        F.col("l_orderkey").alias("conv_id"), sender.alias("sender_type"), (F.col("l_shipdate").cast("timestamp_ntz") - F.expr("interval 90 days")).alias("created_at")
+    )
+    c, n, r = table(spark, sf, "customer", "c_custkey", "c_nationkey"), table(spark, sf, "nation"), table(spark, sf, "region")
+    users = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("user_id"), F.col("n_regionkey").alias("role_id"))
+    roles = r.select(F.col("r_regionkey").alias("role_id"), F.col("r_name").alias("name"))
+    return G.statistics_report(messages, talks, users, roles, table(spark, sf, "documents", "doc_id"), datetime.fromisoformat(_DAY0), name, role="ASIA")
+
+
+@register(_statistics_sql(24))
+def statistics_report_24h(spark, sf):
+    return _statistics(spark, sf, "24h")
+
+
+@register(_statistics_sql(168))
+def statistics_report_7d(spark, sf):
+    return _statistics(spark, sf, "7d")
+
+
+@register(_statistics_sql(720))
+def statistics_report_30d(spark, sf):
+    return _statistics(spark, sf, "30d")
+
+
+def sketch_sql(until):
+    """All ranges before a full hour, counted exactly."""
+    return f"""with {_MESSAGES}, r as (select * from (values ('24h', 24), ('7d', 168), ('30d', 720)) t(range, h)),
+    v as (select range, created_at >= timestamp '{until}' - to_hours(h) as cur, user_id, sender_type from m join r
+      on created_at < '{until}' and created_at >= timestamp '{until}' - to_hours(2 * h)),
+    w as (
+      select range, 'active_users' as metric, count(distinct user_id) filter (cur and sender_type = 'user') as value, count(distinct user_id) filter (not cur and sender_type = 'user') as previous from v group by 1
+      union all select range, 'asked', count(*) filter (cur and sender_type = 'user'), count(*) filter (not cur and sender_type = 'user') from v group by 1
+      union all select range, 'answered', count(*) filter (cur and sender_type = 'assistant'), count(*) filter (not cur and sender_type = 'assistant') from v group by 1)
+    select range, metric, value, previous, case when previous <> 0 then round((value - previous) / previous * 100, 1) end as delta_pct from w"""
+
+
+@register(sketch_sql(NOW))
+def sketch_report(spark, sf):
+    """Users are estimates; with the few hundred users of small test tables sketches still hold every one."""
+    hourly = materialize(G.hourly_activity(_messages(spark, sf)), "hourly")
+    return G.sketch_report(hourly, NOW)
+
+
 @register(
     f"with {_MESSAGES} select conv_id, arg_max(message_id, (created_at, message_id)) as message_id, max(created_at) as created_at, arg_max(value, (created_at, message_id)) as value from m group by conv_id"
 )

@@ -148,6 +148,118 @@ def period_report(
     return out
 
 
+def statistics_report(
+    messages: DataFrame,
+    conversations: DataFrame,
+    users: DataFrame,
+    roles: DataFrame,
+    documents: DataFrame,
+    now: datetime,
+    range_name: str = "7d",
+    role: str = "user",
+    topic: str = "all conversations",
+    sender: str = "user",
+    answerer: str = "assistant",
+) -> DataFrame:
+    """The whole report of a period as rows (part, position, label, value, previous, delta_pct).
+
+    Part ``metric``: active users of ``role``, conversations, answers, and all documents.  Part ``chart``:
+    the conversations of the period in equal buckets, empty ones included.  Part ``topic``: all of them
+    under one label.  Tables as in ``active_users``, with ``conversations.created_at``.  Each metric of the
+    current period stands beside the period before; messages are scanned once for both and shrink to one
+    row per conversation before the join, conversations to one row per bucket.
+    """
+    span = timedelta(hours=rules.RANGE_HOURS[range_name])
+    middle, first, n = now - span, now - 2 * span, rules.BUCKETS
+    current = _in_range("created_at", middle, now)
+    asked, answered = F.col("sender_type") == sender, F.col("sender_type") == answerer
+    by_talk = messages.filter(_in_range("created_at", first, now) & (asked | answered)).groupBy("conv_id").agg(
+        F.max((current & asked).cast("int")).alias("u1"),
+        F.max((~current & asked).cast("int")).alias("u0"),
+        F.count_if(current & answered).alias("a1"),
+        F.count_if(~current & answered).alias("a0"),
+    )
+    owners = by_talk.filter("u1 + u0 > 0").select("conv_id", "u1", "u0").join(conversations.select("conv_id", "user_id"), "conv_id")
+    allowed = users.select("user_id", "role_id").join(roles.filter(F.col("name") == role).select("role_id"), "role_id", "left_semi")
+    people = owners.groupBy("user_id").agg(F.max("u1").alias("u1"), F.max("u0").alias("u0")).join(allowed, "user_id", "left_semi")
+    bucket = F.when(current, bucket_index(F.col("created_at"), middle, span, n)).otherwise(-1)
+    talks = conversations.filter(_in_range("created_at", first, now)).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+    def total(rows: DataFrame, position: int, label: str, value: Column, previous: Column) -> DataFrame:
+        zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        return rows.agg(zero(value).alias("value"), zero(previous).alias("previous")).select(
+            F.lit("metric").alias("part"), F.lit(position).alias("position"), F.lit(label).alias("label"), "value", "previous"
+        )
+
+    here, before = F.when(F.col("bucket") >= 0, F.col("n")), F.when(F.col("bucket") < 0, F.col("n"))
+    metrics = (
+        total(people, 0, "active_users", F.col("u1"), F.col("u0"))
+        .unionByName(total(talks, 1, "conversations", here, before))
+        .unionByName(total(by_talk, 2, "answered", F.col("a1"), F.col("a0")))
+    )
+    labels = [(i, (middle + span / n * i).strftime("%H:%M" if span <= timedelta(hours=24) else "%d/%m")) for i in range(n)]
+    frame = messages.sparkSession.createDataFrame(labels, "bucket int, label string")
+    chart = frame.join(talks, "bucket", "left").select(
+        F.lit("chart").alias("part"), F.col("bucket").alias("position"), "label", F.coalesce("n", F.lit(0)).cast("long").alias("value")
+    )
+    topics = talks.agg(F.coalesce(F.sum(here), F.lit(0)).cast("long").alias("value")).select(
+        F.lit("topic").alias("part"), F.lit(0).alias("position"), F.lit(topic).alias("label"), "value"
+    )
+    every = total_documents(documents).select(
+        F.lit("metric").alias("part"), F.lit(3).alias("position"), F.lit("total_documents").alias("label"), F.col("total_documents").alias("value")
+    )
+    out = metrics
+    for rest in (every, chart, topics):
+        out = out.unionByName(rest, allowMissingColumns=True)
+    return out.withColumn("delta_pct", F.when(F.col("previous").isNotNull(), delta_pct("value", "previous")))
+
+
+# --- reports from hourly sketches ----------------------------------------------------------------
+
+
+def hourly_activity(messages: DataFrame, lg_k: int = 12, sender: str = "user", answerer: str = "assistant", hour: Column | None = None) -> DataFrame:
+    """One row per hour: answers, user messages, and a sketch of the users who sent them.
+
+    ``messages(user_id, sender_type, created_at)``, users restricted to the reported role.  Sketches of
+    any hours can be united, so every later report reads this table instead of the messages.  A sketch
+    has at most 2**lg_k registers; the standard error of a count is about 1.04 / sqrt(2**lg_k).
+    """
+    asked = F.col("sender_type") == sender
+    return messages.groupBy((F.date_trunc("hour", "created_at") if hour is None else hour).alias("hour")).agg(
+        F.count_if(asked).alias("asked"),
+        F.count_if(F.col("sender_type") == answerer).alias("answered"),
+        F.hll_sketch_agg(F.when(asked, F.col("user_id")), F.lit(lg_k)).alias("users"),
+    )
+
+
+def sketch_report(hourly: DataFrame, now: datetime, ranges: Sequence[str] = tuple(rules.RANGE_HOURS)) -> DataFrame:
+    """Every range and its period before from one scan of the hourly table: (range, metric, value, previous, delta_pct).
+
+    ``now`` is a full hour.  Active users are estimates, the other counts exact.
+    """
+    if now.replace(minute=0, second=0, microsecond=0) != now:
+        raise ValueError("hourly sketches end at full hours")
+    periods = []
+    for name in ranges:
+        span = timedelta(hours=rules.RANGE_HOURS[name])
+        for period, end in (("value", now), ("previous", now - span)):
+            inside = _in_range("hour", end - span, end)
+            periods.append(F.when(inside, F.struct(F.lit(name).alias("range"), F.lit(period).alias("period"))))
+    dealt = hourly.filter(_in_range("hour", now - 2 * timedelta(hours=max(rules.RANGE_HOURS[r] for r in ranges)), now))
+    dealt = dealt.withColumn("_p", F.explode(F.array_compact(F.array(*periods)))).select("_p.*", "asked", "answered", "users")
+    sums = dealt.groupBy("range", "period").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("active_users"), F.sum("asked").alias("asked"), F.sum("answered").alias("answered")
+    )
+    measures = ("active_users", "asked", "answered")
+    long = sums.select("range", "period", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in measures])).alias("m"))
+    wide = long.groupBy("range", "m.metric").agg(
+        *[F.coalesce(F.max(F.when(F.col("period") == p, F.col("m.v"))), F.lit(0)).cast("long").alias(p) for p in ("value", "previous")]
+    )
+    frame = hourly.sparkSession.createDataFrame([(r, m) for r in ranges for m in measures], "range string, metric string")
+    filled = frame.join(wide, ["range", "metric"], "left").fillna(0, ["value", "previous"])
+    return filled.select("range", "metric", "value", "previous", delta_pct("value", "previous").alias("delta_pct"))
+
+
 def latest_per_group(messages: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The newest row of each group by the order columns; only one candidate per group and task is shuffled."""
     rest = [c for c in messages.columns if c not in keys]

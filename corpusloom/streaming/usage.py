@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from corpusloom.operators.usage import hourly_activity
 from corpusloom.sources.snapshots import Snapshot
 
 
@@ -41,6 +42,28 @@ def stream_activity(events: DataFrame, target: str, checkpoint: str, **options:
     )
 
 
+def sketches(events: DataFrame, late: str = "1 hour", event: str = "event_id", lg_k: int = 12) -> DataFrame:
+    """The hourly table of ``hourly_activity`` from a stream; an event delivered again within ``late`` counts once.
+
+    ``events(event_id, user_id, sender_type, created_at)``.  Each hour is one row of state with one sketch.
+    """
+    once = events.withWatermark("created_at", late).dropDuplicatesWithinWatermark([event])
+    return hourly_activity(once, lg_k, hour=F.window("created_at", "1 hour")).withColumn("hour", F.col("hour.start"))
+
+
+def stream_sketches(events: DataFrame, target: str, checkpoint: str, **options: str) -> StreamingQuery:
+    """Append the rows of finished hours to a Parquet table."""
+    return (
+        sketches(events, **options)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", target)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def latest(events: DataFrame, key: str, order: tuple[str, ...], value: tuple[str, ...]) -> DataFrame:
     """Current newest event per key; one state row per key."""
     newest = F.max_by(F.struct(*order, *value), F.struct(*order))
