@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom import rules
 from corpusloom.functions import citations as C
 from corpusloom.functions.text import let, py_strip, regex_literal, unnest
-from corpusloom.operators.sections import carried_before
 
 VERDICT = "struct<sentence_id:int,attributed:array<int>,quote:string,supported:boolean,in_scope:boolean,action:string>"
 REQUIRED = ("sentence_id", "attributed_indices", "supporting_quote", "supported", "in_scope", "action")
@@ -299,14 +298,33 @@ def merge_ranges(ranges: DataFrame, keys: Sequence[str], start: str = "start", e
     """Merge overlapping or touching ranges per key.
 
     Equal starts are reduced first, so a section of ``width`` positions holds at most that many rows
-    (for whole-number positions), whatever the size of the key.
+    (for whole-number positions), whatever the size of the key.  Ranges merge to islands inside their
+    section; then one summary row per section says how far earlier sections reach.  Islands that begin
+    within that reach are the first ones of their section, and they all belong to the last island that
+    was begun before them.  Rows whose start is null are left out; a null end counts as the start.
     """
-    distinct = ranges.groupBy(*keys, start).agg(F.max(end).alias(end)).withColumn("_section", F.floor(F.col(start) / width))
-    reach = carried_before(distinct, keys, "_section", [start], end, "max", "_reach")
-    opened = reach.withColumn("_open", F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start)))
-    placed = carried_before(opened, keys, "_section", [start], "_open", "max", "_before")
-    island = F.coalesce("_open", "_before")
-    return placed.groupBy(*keys, island.alias(start)).agg(F.max(end).alias(end))
+    given = ranges.filter(F.col(start).isNotNull()).select(*keys, start, F.coalesce(end, start).alias(end))
+    section = F.floor(F.col(start) / width).alias("_section")
+    distinct = given.groupBy(*keys, section, start).agg(F.max(end).alias(end))
+    inside = Window.partitionBy(*keys, "_section").orderBy(start)
+    reach = F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    opened = distinct.withColumn("_open", F.when(reach.isNull() | (F.col(start) > reach), F.col(start)))
+    placed = opened.withColumn("_island", F.max("_open").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = placed.groupBy(*keys, "_section", F.col("_island").alias(start)).agg(F.max(end).alias(end))
+
+    per_key = Window.partitionBy(*keys).orderBy("_section").rowsBetween(Window.unboundedPreceding, -1)
+    sections = islands.groupBy(*keys, "_section").agg(F.max(start).alias("_last"), F.max(end).alias("_end"))
+    sections = sections.withColumn("_reach", F.max("_end").over(per_key))
+    begun = F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last"))
+    sections = sections.withColumn("_head", F.max(begun).over(per_key)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_section").alias("_s"), "_reach", "_head")
+
+    # Null keys are a group like any other, so the join takes them as equal.
+    same = F.col("_section") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = islands.join(sections, same)
+    head = F.when(F.col(start) <= F.col("_reach"), F.col("_head")).otherwise(F.col(start))
+    return joined.groupBy(*keys, head.alias(start)).agg(F.max(end).alias(end))
 
 
 def merged_in_row(ranges: Column) -> Column:

@@ -42,25 +42,3 @@ def preceding_rows(df: DataFrame, keys: Sequence[str], pos: str, n: int, value:
     frame = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(-n, -1)
     filled = spread.withColumn(out, F.collect_list("_value").over(frame))
     return filled.filter(F.col("_home") == F.col("_block")).drop("_value", "_home", "_block")
-
-
-def carried_before(df: DataFrame, keys: Sequence[str], section: str, order: Sequence[str], value: str, pick: str, out: str) -> DataFrame:
-    """Running ``max`` or ``last`` of ``value`` over all earlier rows of the group (current row excluded).
-
-    ``pick`` is "max" or "last" (last non-null).  Each section is summarized to one row, the summaries
-    are run over, and the result is combined with the running value inside the section.
-    """
-    if pick == "max":
-        summary = F.max(value)
-        over = lambda w: F.max(value).over(w)
-    else:
-        newest = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
-        summary = newest
-        over = lambda w: F.last(value, ignorenulls=True).over(w)
-    sections = df.groupBy(*keys, section).agg(summary.alias(value))
-    earlier = Window.partitionBy(*keys).orderBy(section).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sections.select(*keys, section, over(earlier).alias("_carried"))
-    inside = Window.partitionBy(*keys, section).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("_local", over(inside)).join(carried, [*keys, section])
-    best = F.greatest("_local", "_carried") if pick == "max" else F.coalesce("_local", "_carried")
-    return local.withColumn(out, best).drop("_local", "_carried")

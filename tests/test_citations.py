@@ -112,7 +112,10 @@ def test_merge_ranges_across_sections_with_a_hot_key(spark):
                 out.append([s, e])
         return sorted(map(tuple, out))
 
+    rows += [(None, 3, 5), (None, 5, 200), (None, 150, 160), (None, 201, 202), ("x", None, 9), ("x", 20, None)]
     got = V.merge_ranges(spark.createDataFrame(rows, "k string, start int, end int"), ["k"], width=64).collect()
+    assert sorted((r["start"], r["end"]) for r in got if r["k"] is None) == [(3, 200), (201, 202)]
+    rows = [(k, s, s if e is None else e) for k, s, e in rows if s is not None]
     for key in ("hot", "x"):
         assert sorted((r["start"], r["end"]) for r in got if r["k"] == key) == brute(key)
 
