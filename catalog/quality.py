@@ -8,6 +8,7 @@ from catalog import register
 from catalog.data import table
 from corpusloom.functions.text import count_tokens
 from corpusloom.operators import quality as H
+from corpusloom.session import scratch_path
 
 # Documents as chunks: language decides which parts are missing or wrong.
 _FLAGGED = r"""
@@ -89,6 +90,39 @@ def constraint_report(spark, sf):
     )
 
 
+@register(
+    """select 'unique line' as rule, l_orderkey || '/' || l_linenumber as key, count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1
+    union all select 'unique delivery', l_partkey || '/' || l_suppkey || '/' || l_shipdate::date, count(*) from lineitem group by l_partkey, l_suppkey, l_shipdate having count(*) > 1
+    union all select 'discount', l_orderkey || '/' || l_linenumber, count(*) from lineitem where not (l_discount < 0.1) group by l_orderkey, l_linenumber
+    union all select 'shipped part', l_partkey::varchar, count(*) from lineitem where l_partkey not in (select p_partkey from part where p_size < 49) group by l_partkey
+    union all select 'shipping supplier', l_suppkey::varchar, count(*) from lineitem where l_suppkey not in (select s_suppkey from supplier where s_acctbal > 0) group by l_suppkey"""
+)
+def check_table(spark, sf):
+    """Two uniqueness rules, one domain and two references of the line items from one scan of them."""
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_discount")
+    parts = table(spark, sf, "part", "p_partkey", "p_size").filter("p_size < 49").select("p_partkey")
+    suppliers = table(spark, sf, "supplier", "s_suppkey", "s_acctbal").filter("s_acctbal > 0").select("s_suppkey")
+    return H.check_table(
+        lines.withColumn("l_shipdate", F.col("l_shipdate").cast("date")),
+        unique={"unique line": ["l_orderkey", "l_linenumber"], "unique delivery": ["l_partkey", "l_suppkey", "l_shipdate"]},
+        domains={"discount": (["l_orderkey", "l_linenumber"], F.col("l_discount") < 0.1)},
+        references={"shipped part": (["l_partkey"], parts), "shipping supplier": (["l_suppkey"], suppliers)},
+    )
+
+
+@register(
+    """select 'rows' as rule, count(*) as n from documents union all select 'length', count(*) filter (not n_chars < 2000) from documents
+    union all select 'language', count(*) filter (not lang in ('en', 'de')) from documents"""
+)
+def observe_rules(spark, sf):
+    """Documents checked while they are written."""
+    docs, seen = H.observe_rules(
+        table(spark, sf, "documents", "doc_id", "lang", "n_chars"), {"length": F.col("n_chars") < 2000, "language": F.col("lang").isin("en", "de")}
+    )
+    docs.write.parquet(scratch_path(spark, "observed"))
+    return spark.createDataFrame(list(seen.get.items()), "rule string, n long")
+
+
 @register(
     """select lang as doc_id, count(*) as missing, 'failed' as status from documents where doc_id not in (select vec_id from embeddings) group by lang"""
 )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom import rules
@@ -41,12 +41,16 @@ def seeded_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 
 
 def flag_report(flagged: DataFrame, heavy: Sequence[str] = rules.HEAVY_FLAGS) -> DataFrame:
-    """Count and whole percent of rows per flag, and whether the flag fails the gate."""
-    total = flagged.agg(F.count(F.lit(1))).scalar()
-    counts = flagged.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(
-        "flag", "n", F.floor(F.col("n") * 100 / total).cast("long").alias("percent"), F.col("flag").isin(*heavy).alias("heavy")
-    ).orderBy(F.col("n").desc(), "flag")
+    """Count and whole percent of rows per flag, and whether the flag fails the gate.
+
+    All rows are counted in the same pass, under a null flag beside the others; the window runs over one
+    row per kind of flag.
+    """
+    marks = F.array_append(F.coalesce("flags", F.array().cast("array<string>")), F.lit(None).cast("string"))
+    counts = flagged.select(F.explode(marks).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    total = F.max(F.when(F.col("flag").isNull(), F.col("n"))).over(Window.partitionBy())
+    shares = counts.withColumn("percent", F.floor(F.col("n") * 100 / total).cast("long")).filter(F.col("flag").isNotNull())
+    return shares.select("flag", "n", "percent", F.col("flag").isin(*heavy).alias("heavy")).orderBy(F.col("n").desc(), "flag")
 
 
 def passes_gate(flagged: DataFrame, heavy: Sequence[str] = rules.HEAVY_FLAGS) -> DataFrame:
@@ -78,6 +82,52 @@ def foreign_key_violations(child: DataFrame, parent: DataFrame, rule: str, child
     return lost.select(F.lit(rule).alias("rule"), F.col("_k").cast("string").alias("key"), "n")
 
 
+def check_table(
+    rows: DataFrame,
+    unique: Mapping[str, Sequence[str]] | None = None,
+    domains: Mapping[str, tuple[Sequence[str], Column]] | None = None,
+    references: Mapping[str, tuple[Sequence[str], DataFrame]] | None = None,
+) -> DataFrame:
+    """All rules of one table from one scan: (rule, key, n).
+
+    ``unique`` maps rules to key columns: keys found n > 1 times.  ``domains`` maps rules to key columns
+    and a condition: keys with n rows for which it is false (null passes).  ``references`` maps rules to
+    columns and a parent with as many columns: values that n rows hold and no parent row does.  Keys are
+    written with "/" between their parts; unique keys and references with a null part are not compared,
+    and a null part of a domain rule's key stays empty.  Every row becomes at most one item per rule, all
+    items are counted in one grouped pass with a map-side part, and one anti join serves all references.
+    """
+    unique, domains, references = unique or {}, domains or {}, references or {}
+    if len({*unique, *domains, *references}) < len(unique) + len(domains) + len(references):
+        raise ValueError("every rule needs a name of its own")
+    present = lambda keys: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    # Parts are compared as an array, so that "a/b" and "c" differ from "a" and "b/c".
+    parts = lambda keys: F.array(*[F.col(k).cast("string") for k in keys])
+    item = lambda rule, keys: F.struct(F.lit(rule).alias("rule"), parts(keys).alias("parts"))
+    items = [F.when(present(keys), item(rule, keys)) for rule, keys in unique.items()]
+    items += [F.when(~F.coalesce(allowed, F.lit(True)), item(rule, keys)) for rule, (keys, allowed) in domains.items()]
+    items += [F.when(present(keys), item(rule, keys)) for rule, (keys, _) in references.items()]
+    dealt = rows.select(F.explode(F.array_compact(F.array(*items))).alias("i")).select("i.rule", "i.parts")
+    counts = dealt.groupBy("rule", "parts").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.filter(~F.col("rule").isin(*unique) | (F.col("n") > 1)) if unique else counts
+    if references:
+        parents = [p.select(F.lit(rule).alias("rule"), parts(p.columns).alias("parts")) for rule, (_, p) in references.items()]
+        counts = counts.join(reduce(DataFrame.unionByName, parents), ["rule", "parts"], "left_anti")
+    key = F.array_join(F.transform("parts", lambda p: F.coalesce(p, F.lit(""))), "/")
+    return counts.select("rule", key.alias("key"), "n")
+
+
+def observe_rules(rows: DataFrame, domains: Mapping[str, Column], name: str = "rules") -> tuple[DataFrame, Observation]:
+    """``rows`` as they are, with a count of all rows and of each rule's violations made as they pass.
+
+    The counts (``rows`` and one per rule) stand in the observation after the first action on the result,
+    such as its writing, and cost no scan.  Null passes a rule.
+    """
+    seen = Observation(name)
+    counts = [F.count_if(~F.coalesce(allowed, F.lit(True))).alias(rule) for rule, allowed in domains.items()]
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), seen
+
+
 def constraint_report(violations: Sequence[DataFrame]) -> DataFrame:
     """All violations in one table (rule, key, n)."""
     return reduce(DataFrame.unionByName, violations)
