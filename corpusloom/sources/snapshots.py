@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +52,7 @@ class Snapshot:
         state = self.manifest()
         return self._merged(state, name, sorted(state["base"][name].values()))
 
-    def _merged(self, state: dict, name: str, base_folders: Sequence[str]) -> DataFrame:
+    def _merged(self, state: dict, name: str, base_folders: Sequence[str], buckets: Collection[str] | None = None) -> DataFrame:
         schema = StructType.fromJson(state["schemas"][name])
         base = self._rows(schema, base_folders)
         if not state["changes"]:
@@ -61,7 +61,10 @@ class Snapshot:
         marked = StructType([*schema.fields]).add(VERSION, "long")
         keys = self._rows(StructType([key_field]).add(VERSION, "long"), [c["keys"] for c in state["changes"]])
         changed = keys.groupBy(self.key).agg(F.max(VERSION).alias(VERSION))
-        rows = self._rows(marked, [c["tables"][name] for c in state["changes"] if name in c["tables"]])
+        folders = [c["tables"][name] for c in state["changes"] if name in c["tables"]]
+        if buckets is not None:
+            folders = [f"{f}/{BUCKET}={b}" for f in folders for b in self._buckets_of(f) if b in buckets]
+        rows = self._rows(marked, folders)
         newest = rows.join(changed, [self.key, VERSION], "left_semi").unionByName(rows.filter(F.col(self.key).isNull()))
         return base.join(changed, self.key, "left_anti").unionByName(newest.drop(VERSION)).select(*schema.names)
 
@@ -108,8 +111,10 @@ class Snapshot:
     def compact(self, after: int = 1) -> bool:
         """Fold the open changes into the base if there are at least ``after``.
 
-        Only buckets with a changed key are read and written again.  The rebalance hint lets the
-        optimizer cut a bucket with a very large key into several files.
+        Only buckets with a changed key are read and written again.  If just one change is open, all its
+        rows count, so what it holds for buckets without a base (all of a first load) becomes their base
+        as it is.  The rebalance hint lets the optimizer cut a bucket with a very large key into several
+        files.
         """
         state = self.manifest()
         if not state["changes"] or len(state["changes"]) < after:
@@ -118,10 +123,15 @@ class Snapshot:
         folder = f"data/{uuid.uuid4().hex}"
         base = {}
         for name, old in state["base"].items():
-            merged = self._merged(state, name, [f for b, f in sorted(old.items()) if b in touched])
-            self._write(merged, f"{folder}/{name}", state["buckets"])
-            new = {b: f"{folder}/{name}/{BUCKET}={b}" for b in self._buckets_of(f"{folder}/{name}")}
-            base[name] = {b: f for b, f in old.items() if b not in touched} | new
+            kept = {b: f for b, f in old.items() if b not in touched}
+            if len(state["changes"]) == 1 and (only := state["changes"][0]["tables"].get(name)):
+                kept |= {b: f"{only}/{BUCKET}={b}" for b in self._buckets_of(only) if b not in old}
+            again = touched - set(kept)
+            if again:
+                merged = self._merged(state, name, [f for b, f in sorted(old.items()) if b in again], again)
+                self._write(merged, f"{folder}/{name}", state["buckets"])
+                kept |= {b: f"{folder}/{name}/{BUCKET}={b}" for b in self._buckets_of(f"{folder}/{name}")}
+            base[name] = kept
         self._publish({**state, "version": state["version"] + 1, "base": base, "changes": []})
         return True
 

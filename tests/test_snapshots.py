@@ -69,7 +69,8 @@ def test_readers_touch_base_and_open_changes_and_compaction_the_touched_buckets(
     store.replace({"chunks": rows(spark, [(k, "base", 0) for k in range(64)])})
     store.compact()
     before = store.manifest()["base"]["chunks"]
-    assert len(before) == 8
+    # A first load becomes the base as it was written.
+    assert len(before) == 8 and len(store._names("data")) == 1
     store.replace({"chunks": rows(spark, [(5, "new", 0), (5, "new", 1)])})
     state = store.manifest()
     named = [*state["base"]["chunks"].values(), *[f for c in state["changes"] for f in (c["keys"], *c["tables"].values())]]
@@ -80,6 +81,18 @@ def test_readers_touch_base_and_open_changes_and_compaction_the_touched_buckets(
     assert content(store) == sorted([(k, "base", 0) for k in range(64) if k != 5] + [(5, "new", 0), (5, "new", 1)])
 
 
+def test_one_change_over_old_and_new_buckets(spark, tmp_path):
+    store = Snapshot(spark, str(tmp_path), "doc_id", buckets=8)
+    store.replace({"chunks": rows(spark, [(1, "base", 0), (2, "base", 0)])})
+    store.compact()
+    old = store.manifest()["base"]["chunks"]
+    store.replace({"chunks": rows(spark, [(k, "new", 0) for k in (1, *range(10, 30))])}, spark.createDataFrame([(2,)], "doc_id bigint"))
+    store.compact()
+    new = store.manifest()["base"]["chunks"]
+    assert len(new) == 8 and len({f.split("/")[1] for f in new.values()}) == 2 and not set(old.values()) & set(new.values())
+    assert content(store) == [(k, "new", 0) for k in (1, *range(10, 30))]
+
+
 def test_names_null_keys_and_empty_tables(spark, tmp_path):
     store = Snapshot(spark, str(tmp_path), "doc_id", buckets=4)
     store.replace_by("name", {"documents": rows(spark, [(1, "a", 0), (2, "b", 0), (3, "a", 0), (None, "n", 0), (4, None, 0)])}, "documents")
