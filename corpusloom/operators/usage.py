@@ -216,26 +216,33 @@ def statistics_report(
 
 # --- reports from hourly sketches ----------------------------------------------------------------
 
+SLOTS = 64  # sets of an hour's users
 
-def hourly_activity(messages: DataFrame, lg_k: int = 12, sender: str = "user", answerer: str = "assistant", hour: Column | None = None) -> DataFrame:
+
+def hourly_activity(
+    messages: DataFrame, lg_k: int = 12, sender: str = "user", answerer: str = "assistant", hour: Column | None = None, exact: bool = False
+) -> DataFrame:
     """One row per hour: answers, user messages, and a sketch of the users who sent them.
 
     ``messages(user_id, sender_type, created_at)``, users restricted to the reported role.  Sketches of
     any hours can be united, so every later report reads this table instead of the messages.  A sketch
     has at most 2**lg_k registers; the standard error of a count is about 1.04 / sqrt(2**lg_k).
+    ``exact=True`` keeps the users themselves instead, each hour's in ``SLOTS`` sets dealt by the user's hash.
     """
     asked = F.col("sender_type") == sender
-    return messages.groupBy((F.date_trunc("hour", "created_at") if hour is None else hour).alias("hour")).agg(
-        F.count_if(asked).alias("asked"),
-        F.count_if(F.col("sender_type") == answerer).alias("answered"),
-        F.hll_sketch_agg(F.when(asked, F.col("user_id")), F.lit(lg_k)).alias("users"),
-    )
+    counts = [F.count_if(asked).alias("asked"), F.count_if(F.col("sender_type") == answerer).alias("answered")]
+    hour = (F.date_trunc("hour", "created_at") if hour is None else hour).alias("hour")
+    if exact:
+        slot = F.pmod(F.xxhash64("user_id"), F.lit(SLOTS)).cast("int").alias("slot")
+        return messages.groupBy(hour, slot).agg(*counts, F.collect_set(F.when(asked, F.col("user_id"))).alias("members"))
+    return messages.groupBy(hour).agg(*counts, F.hll_sketch_agg(F.when(asked, F.col("user_id")), F.lit(lg_k)).alias("users"))
 
 
 def sketch_report(hourly: DataFrame, now: datetime, ranges: Sequence[str] = tuple(rules.RANGE_HOURS)) -> DataFrame:
     """Every range and its period before from one scan of the hourly table: (range, metric, value, previous, delta_pct).
 
-    ``now`` is a full hour.  Active users are estimates, the other counts exact.
+    ``now`` is a full hour.  From sketches active users are estimates, from sets of users they are exact; the other
+    counts always are.
     """
     if now.replace(minute=0, second=0, microsecond=0) != now:
         raise ValueError("hourly sketches end at full hours")
@@ -246,10 +253,17 @@ def sketch_report(hourly: DataFrame, now: datetime, ranges: Sequence[str] = tupl
             inside = _in_range("hour", end - span, end)
             periods.append(F.when(inside, F.struct(F.lit(name).alias("range"), F.lit(period).alias("period"))))
     dealt = hourly.filter(_in_range("hour", now - 2 * timedelta(hours=max(rules.RANGE_HOURS[r] for r in ranges)), now))
-    dealt = dealt.withColumn("_p", F.explode(F.array_compact(F.array(*periods)))).select("_p.*", "asked", "answered", "users")
-    sums = dealt.groupBy("range", "period").agg(
-        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("active_users"), F.sum("asked").alias("asked"), F.sum("answered").alias("answered")
-    )
+    exact = "members" in hourly.columns
+    dealt = dealt.withColumn("_p", F.explode(F.array_compact(F.array(*periods)))).select("_p.*", "asked", "answered", "members" if exact else "users")
+    if exact:
+        # the counts of a row go with its first user
+        each = dealt.select("range", "period", "asked", "answered", F.posexplode_outer("members").alias("_at", "user_id"))
+        once = [F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, F.col(c))).alias(c) for c in ("asked", "answered")]
+        dealt = each.groupBy("range", "period", "user_id").agg(*once)
+        users = F.count("user_id")
+    else:
+        users = F.hll_sketch_estimate(F.hll_union_agg("users"))
+    sums = dealt.groupBy("range", "period").agg(users.alias("active_users"), F.sum("asked").alias("asked"), F.sum("answered").alias("answered"))
     measures = ("active_users", "asked", "answered")
     long = sums.select("range", "period", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in measures])).alias("m"))
     wide = long.groupBy("range", "m.metric").agg(

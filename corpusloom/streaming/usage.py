@@ -42,16 +42,17 @@ def stream_activity(events: DataFrame, target: str, checkpoint: str, **options:
     )
 
 
-def sketches(events: DataFrame, late: str = "1 hour", event: str = "event_id", lg_k: int = 12) -> DataFrame:
+def sketches(events: DataFrame, late: str = "1 hour", event: str = "event_id", lg_k: int = 12, exact: bool = False) -> DataFrame:
     """The hourly table of ``hourly_activity`` from a stream; an event delivered again within ``late`` counts once.
 
-    ``events(event_id, user_id, sender_type, created_at)``.  Each hour is one row of state with one sketch.
+    ``events(event_id, user_id, sender_type, created_at)``.  Each hour is one row of state with one sketch, or
+    with ``exact`` a fixed number of rows with sets of users.
     """
     once = events.withWatermark("created_at", late).dropDuplicatesWithinWatermark([event])
-    return hourly_activity(once, lg_k, hour=F.window("created_at", "1 hour")).withColumn("hour", F.col("hour.start"))
+    return hourly_activity(once, lg_k, hour=F.window("created_at", "1 hour"), exact=exact).withColumn("hour", F.col("hour.start"))
 
 
-def stream_sketches(events: DataFrame, target: str, checkpoint: str, **options: str) -> StreamingQuery:
+def stream_sketches(events: DataFrame, target: str, checkpoint: str, **options: str | bool) -> StreamingQuery:
     """Append the rows of finished hours to a Parquet table."""
     return (
         sketches(events, **options)

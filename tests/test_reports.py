@@ -89,3 +89,20 @@ def test_stream_of_sketches_counts_redelivered_events_once(spark, tmp_path):
     assert done >= {(ago(hours=5), 2, 1), (ago(hours=4), 1, 0)}
     value = {r.metric: r.value for r in G.sketch_report(spark.read.parquet(target), ago(hours=3), ["24h"]).collect()}
     assert value == {"active_users": 2, "asked": 3, "answered": 1}
+
+
+def test_exact_report_counts_every_user(spark, tmp_path):
+    """20,000 users are beyond what a sketch holds; a null user sends and answers but is no user."""
+    schema = "event_id bigint, user_id bigint, sender_type string, created_at timestamp"
+    rows = spark.range(60000).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 50 > 0, F.col("id") % 20000).alias("user_id"),
+        F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("sender_type"),
+        (F.lit(ago(days=1)) + F.make_dt_interval(hours=(F.col("id") % 23).cast("int"))).alias("created_at"),
+    )
+    source, target, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    rows.unionByName(spark.createDataFrame([(-1, None, "system", NOW + timedelta(days=1))], schema)).write.parquet(source)
+    U.stream_sketches(spark.readStream.schema(schema).parquet(source), target, marks, exact=True).awaitTermination()
+    sent = rows.where("sender_type = 'user'")
+    want = {"active_users": sent.select("user_id").na.drop().distinct().count(), "asked": sent.count(), "answered": 60000 - sent.count()}
+    for hourly in (G.hourly_activity(rows, exact=True), spark.read.parquet(target)):
+        assert {r.metric: r.value for r in G.sketch_report(hourly, NOW, ["24h"]).collect()} == want
