@@ -27,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NAME_BYTES = 8 << 20
 #: Rows of a batch that a task hands on.
 OUT_ROWS = 8192
+#: Texts that a task turns into Python strings at once.
+TEXT_ROWS = 256
 _GLUE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -100,7 +102,9 @@ def _emitted(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str]]:
     """chunk_id and normalized text of each row."""
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), map(normalized, batch.column(1).to_pylist()))
+        for at in range(0, batch.num_rows, TEXT_ROWS):
+            part = batch.slice(at, TEXT_ROWS)
+            yield from zip(part.column(0).to_pylist(), map(normalized, part.column(1).to_pylist()))
 
 
 def words_by_text(texts: DataFrame, words: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Keyword index: postings of segments, written once, and BM25 over those of the queries' terms.
 
-A segment is one Arrow batch of the corpus.  It gives one row of documents (ids, lengths, filter values) and one row
+A segment is an Arrow batch of the corpus, or a run of its rows where they hold more than ``SEGMENT_TOKENS``.  It gives one row of documents (ids, lengths, filter values) and one row
 for each of its terms: local document numbers, term frequencies, the largest frequency and the least length
 among them.  Segments are written by the tasks that read the corpus, sorted by term inside: building shuffles nothing,
 and a search reads the pages that hold its terms.
@@ -29,11 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from corpusloom.functions.text import search_terms
-from corpusloom.operators.task_search import _Best
+from corpusloom.operators.task_search import _Best, pieces
 
 # Task code travels with the job, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Tokens of a segment (one document at least): what a task that builds holds at once follows from it, not from the input.
+SEGMENT_TOKENS = 1 << 21
+#: Rows of postings that a search turns into Python values at once.
+POSTING_ROWS = 256
 #: Terms named in a filter, as many as the scan compares with its pages' bounds; more are joined.
 NAMED_TERMS = 10
 #: Terms of the queries that are broadcast to the postings; more are joined by shuffle.
@@ -86,7 +90,8 @@ class KeywordIndex:
                 nonlocal kind
                 for batch in batches:
                     kind = batch.schema.field("ids").type.value_type
-                    yield from batch.to_pylist()
+                    for at in range(0, batch.num_rows, POSTING_ROWS):
+                        yield from batch.slice(at, POSTING_ROWS).to_pylist()
 
             for _, parts in groupby(rows(), lambda r: r["segment"]):
                 scorer.score(next(parts), parts, best)
@@ -166,7 +171,8 @@ def build_keyword_index(corpus: DataFrame, path: str, filters: Sequence[str] = (
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(batches):
+        tokens = lambda batch: batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        for number, batch in enumerate(pieces(batches, tokens, SEGMENT_TOKENS)):
             n = batch.num_rows
             ids, lists = batch.column(0), batch.column(1)
             lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)

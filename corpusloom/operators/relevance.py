@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from corpusloom import rules
 from corpusloom.functions import text as T
 from corpusloom.functions.text import normalized
 from corpusloom.operators.automaton import NAME_BYTES, blocks_of, items_by_text, word_counts, words_by_text
+from corpusloom.operators.task_search import pieces
 from corpusloom.session import broadcast_if_small, materialize
 
 # Task code travels with the job, so executors need not have this package installed.
@@ -29,7 +31,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 REFERENCE_BYTES = 16 << 20  # bytes of reference text that one pass over the corpus looks for
 NEAR_CHUNKS = 100_000  # ids of candidate chunks that are broadcast; more are joined by shuffle
-_CELLS = 4_000_000  # numbers held at once by a task
+_CELLS = 1 << 19  # numbers held at once by a task
+TEXT_BYTES = 4 << 20  # texts that a task compares at once; more where the references are larger
 
 
 class ReferenceIndex:
@@ -164,7 +167,8 @@ def shared_trigrams(items: DataFrame, corpus: DataFrame, threshold: float | None
         ids = pa.array([r.query_id for r in block])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            texts_of = lambda batch: pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            for batch in pieces(batches, texts_of, max(TEXT_BYTES, 4 * index.keys.nbytes)):
                 for rows, refs, shared in index.matches([normalized(t) for t in batch.column(1).to_pylist()]):
                     columns = [ids.take(pa.array(refs)), batch.column(0).take(pa.array(rows)), pa.array(shared), pa.array(index.sizes[refs])]
                     yield pa.RecordBatch.from_arrays(columns, ["query_id", "chunk_id", "shared", "n_grams"])

@@ -35,7 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEYWORD_BLOCK = 32_768  # keyword queries answered in one pass over the corpus's terms
 PASS_BYTES = 64 << 20  # query vectors that one pass over the corpus answers
-_CELLS = 4_000_000  # scores held at once by a task
+_CELLS = 1 << 18  # scores held at once by a task
 
 
 # --- per-task scoring ----------------------------------------------------------------------------
