@@ -186,7 +186,7 @@ def normalize_blocks(spark, sf):
 )
 def html_to_blocks(spark, sf):
     pages = table(spark, sf, "pages", "page_id", "html")
-    return pages.select("page_id", F.posexplode_outer(markup.html_blocks("html")).alias("pos", "b")).select(
+    return T.unnest(pages, ["page_id"], markup.html_blocks("html"), "pos", "b").select(
         "page_id", "pos", "b.type", "b.level", "b.value", "b.md"
     )
 

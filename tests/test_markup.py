@@ -81,3 +81,13 @@ def test_column(spark):
     got = {r.i: r.b for r in rows}
     assert got[2] is None and got[3] == []
     assert [tuple(b) for b in got[1]] == [(1, "heading", 1, "T", "# T", None), (1, "table", None, "| a |  |\n| --- | --- |", "| a |  |\n| --- | --- |", [["a", None]])]
+
+
+def test_a_page_without_text_gives_no_row(spark, tmp_path):
+    import catalog
+
+    catalog.load_all()
+    rows = [(1, "<p>a</p>"), (2, ""), (3, None), (4, "<html><head><title>t</title></head><body><p> </p></body></html>")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["html_to_blocks"](spark, str(tmp_path)).collect()
+    assert [(r.page_id, r.pos, r.value) for r in got] == [(1, 0, "a")]
