@@ -8,16 +8,18 @@ is too small.  What the bound leaves is verified on the sets.
 
 Points of unrelated documents have no locality that one tree over all of them could use: an R-tree node of
 unrelated points bounds nothing (README has the argument).  So the trees are built for the documents that
-share a rare-enough shingle: of the sorted hashes of a set of n, any partner has one of the first
-n - ceil(0.75 n) + 1 (the rest alone is too few).  Those tokens are dealt out as packed blocks; tokens of
-one document only go at once.  Tokens of more than ``HOT`` documents count as last in the order: each
-document brings ``SLACK`` further tokens, and where these replace its hot ones, its hot ones need no
-comparison; the remaining documents are compared with all others of the token, which keeps results whole.
-
-Links are found in steps.  In groups of up to ``SMALL`` documents all pairs are bounded; in larger ones each
-document is tied to the middle of its neighbourhood, then to a few documents of each other component, and
-only then, pairs that still lie in different components are enumerated.  Groups are not expanded into all
-pairs.
+share a token.  Of the sorted hashes of a set of n, the first n - ceil(0.75 n) + 1 + ``SLACK`` are listed as its
+tokens: two linked sets have at least ``least_shared`` = min(1 + SLACK, ceil(0.75 n)) of them in common, for the n
+of either.  Tokens are dealt out as packed blocks; those that no two documents of fitting sizes have go at once, and then
+the documents with fewer than ``least_shared`` tokens left.  A document with fewer than that many tokens of more
+than ``HOT`` documents meets all its partners in the other tokens, and leaves the hot ones.
+
+Links are found in steps.  First, documents that share one of their ``SEEDS`` smallest hashes are tied, each to
+the middle of its neighbourhood, and verified.  Nearly all copies are one component then, and whatever lies inside a
+component needs no further work.  Of the rest, tokens of up to ``SMALL`` documents give pairs that are counted over
+all tokens: less than ``least_shared`` is no link.  In larger ones a few pairs with each other component are
+tried, and only then, pairs that still lie in different components are enumerated.  Groups are not expanded
+into all pairs.
 
 Equal sets are one node from the start (its key is a 64-bit hash of the set; shingles are 64-bit hashes).
 Defined cases: texts with fewer than five words have their whole word sequence as one shingle; null texts
@@ -34,21 +36,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import PACKED, deal, pack, partitions_for, spread, unpack
+from corpusloom.llm.common import deal, pack, partitions_for, spread
 from corpusloom.llm.components import components
 from corpusloom.session import materialize
 
 WORDS = 5
 #: Smallest similarity, in percent.
 PERCENT = 75
-HOT = 256
+HOT = 16
 SLACK = 32
 SMALL = 16
-#: Open documents are tied through one in so many of their hot tokens.
-TIE_EVERY = 4
+#: Smallest hashes of a set that the first ties are made by, and documents tied at once.
+SEEDS = 4
+TIED = 256
 FEW = 3
 #: Points of an R-tree leaf, and children of an inner node.
 PAGE = 128
@@ -57,21 +60,26 @@ FINE_GROUPS = 256
 MAX_GROUPS = 4096
 SHARDS_EACH = 8
 PARTS_EACH = 4
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
+DOCS_AT_ONCE = 4096
+#: Bits of the filter that says whose texts are read again; it is broadcast and takes 1 MB at most.
+FILTER_BITS = 1 << 23
+BITMAP = 1 << 15
 
-TOKEN = np.dtype([("token", "<u4"), ("node", "<u8")])
+#: ``n`` is the size of the set, with the highest bit set for a seed.
+TOKEN = np.dtype([("token", "<u4"), ("node", "<u8"), ("n", "<u4")])
+SEED = np.uint32(1 << 31)
 
 
 class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = self[word] = xxhash.xxh3_64_digest(word)
         return found
 
 
 _hashes = WordHashes()
-_factors = spread(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -79,12 +87,15 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     split = (text or "").encode().lower().split()
     if not split:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, split), np.uint64, len(split))
+    h = np.frombuffer(b"".join(map(_hashes.__getitem__, split)), np.uint64)
     k = min(words, len(h))
     total = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + spread(h[i : len(h) - k + 1 + i] + _factors[i])
-    return np.unique(spread(total))
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += h[i : len(h) - k + 1 + i]
+    total = spread(total)
+    total.sort()
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
 def set_key(hashes: np.ndarray) -> int:
@@ -100,6 +111,11 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def least_shared(n: int, percent: int, slack: int) -> int:
+    """Listed tokens that a set of n has in common with any set it links with."""
+    return min(1 + slack, -(-percent * n // 100))
+
+
 def group_counts(hashes: np.ndarray) -> bytes:
     """Counts by group, one byte each; a power of two of groups.
 
@@ -245,108 +261,157 @@ def tie(sizes: np.ndarray, points: list[np.ndarray], percent: int) -> list[tuple
     return pairs
 
 
-def summaries(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node (key of the set; null without one), n (its size) and point of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            nodes = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            points = pa.array([group_counts(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, mask=sizes == 0), pa.array(sizes), points], ["doc_id", "node", "n", "point"])
+def scan(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Documents and their tokens, from one pass over the texts.
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, n long, point binary")
-
-
-def shared_tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """part, token, node, count: the prefix tokens that at least two different sets have."""
+    Rows without a token are documents: doc_id, node (key of the set; null without one), n (its size), point.  The
+    others are tokens that at least two sets of fitting sizes have: part, token, node, n, seed, count.
+    """
     partitions = partitions_for(docs)
-    shards = partitions * SHARDS_EACH
+    shards, parts, slack, seeds = partitions * SHARDS_EACH, partitions * PARTS_EACH, SLACK, SEEDS
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            tokens, nodes = [], []
-            for text in batch.column("text").to_pylist():
-                hashes = shingle_set(text, words)
-                node = set_key(hashes)
-                if not len(hashes) or node in seen:
-                    continue
-                if len(seen) < 1_000_000:  # copies within a task go here; all others in the next step
-                    seen.add(node)
-                tokens.append(hashes[: prefix_length(len(hashes), percent) + SLACK])
-                nodes.append(np.full(len(tokens[-1]), node, np.uint64))
-            if tokens:
-                mixed = spread(np.concatenate(tokens))
-                rows = np.empty(len(mixed), TOKEN)
-                rows["token"], rows["node"] = mixed & np.uint64(0xFFFFFFFF), np.concatenate(nodes)
-                yield pack((((mixed >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64), rows)
+        for whole in batches:
+            for start in range(0, whole.num_rows, DOCS_AT_ONCE):
+                batch = whole.slice(start, DOCS_AT_ONCE)
+                sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+                nodes, sizes = np.array([set_key(s) for s in sets], np.uint64), np.array([len(s) for s in sets], np.int64)
+                fresh = []
+                for i, (node, n) in enumerate(zip(nodes.tolist(), sizes.tolist())):
+                    if n and node not in seen:  # copies within a task go here; all others in the next step
+                        fresh.append(i)
+                        if len(seen) < 200_000:
+                            seen.add(node)
+                ids, points = batch.column("doc_id"), pa.array([group_counts(s) for s in sets], pa.binary())
+                shard = pa.array(np.arange(start, start + len(sets)) % shards, pa.int32())
+                yield pa.RecordBatch.from_arrays([shard, pa.nulls(len(sets), pa.binary()), ids, pa.array(nodes.view(np.int64), mask=sizes == 0), pa.array(sizes), points], names)
+                if fresh:
+                    tokens = [sets[i][: prefix_length(len(sets[i]), percent) + slack] for i in fresh]
+                    lengths = np.array([len(t) for t in tokens])
+                    mixed = spread(np.concatenate(tokens))
+                    rows = np.empty(len(mixed), TOKEN)
+                    rows["token"], rows["node"] = mixed & np.uint64(0xFFFFFFFF), np.repeat(nodes[fresh], lengths)
+                    rows["n"] = np.repeat(sizes[fresh], lengths)
+                    place = np.arange(len(mixed)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                    rows["n"][place < seeds] |= SEED
+                    packed = pack((((mixed >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64), rows)
+                    k = packed.num_rows
+                    yield pa.RecordBatch.from_arrays([*packed.columns, pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_shard: dict[int, list[np.ndarray]] = {}
+        kind = None
         for batch in batches:
-            for shard, block in zip(batch.column("shard").to_pylist(), batch.column("block")):
-                by_shard.setdefault(shard, []).append(np.frombuffer(block.as_buffer(), TOKEN))
+            is_doc = np.asarray(batch.column("block").is_null())
+            found, kind = batch.filter(pa.array(is_doc)), batch.column("doc_id").type
+            none = lambda t: pa.nulls(found.num_rows, t)
+            yield pa.RecordBatch.from_arrays([none(pa.int32()), none(pa.int64()), *(found.column(x) for x in ("node", "n")), none(pa.bool_()), none(pa.int64()), *(found.column(x) for x in ("doc_id", "point"))], out)
+            packed = batch.filter(pa.array(~is_doc))
+            for shard, block in zip(packed.column("shard").to_pylist(), packed.column("block")):
+                by_shard.setdefault(shard, []).append(np.frombuffer(block.as_py(), TOKEN))
         while by_shard:
             shard, blocks = by_shard.popitem()
             rows = np.concatenate(blocks)
-            rows = rows[np.lexsort((rows["node"], rows["token"]))]
-            rows = rows[np.concatenate(([True], (rows["token"][1:] != rows["token"][:-1]) | (rows["node"][1:] != rows["node"][:-1])))]
-            starts = np.flatnonzero(np.concatenate(([True], rows["token"][1:] != rows["token"][:-1])))
+            size = (rows["n"] & ~SEED).astype(np.int64)
+            order = np.lexsort((rows["node"], size, rows["token"]))
+            rows, size = rows[order], size[order]
+            first = np.concatenate(([True], (rows["token"][1:] != rows["token"][:-1]) | (rows["node"][1:] != rows["node"][:-1])))
+            rows, size = rows[first], size[first]
+            # in order of size, a set that fits any other of its token fits the one beside it
+            fits = (rows["token"][1:] == rows["token"][:-1]) & (100 * size[:-1] >= percent * size[1:])
+            keep = np.concatenate(([False], fits)) | np.concatenate((fits, [False]))
+            rows, size = rows[keep], size[keep]
+            starts = np.flatnonzero(np.concatenate(([True], rows["token"][1:] != rows["token"][:-1]))) if len(rows) else np.empty(0, np.int64)
             counts = np.diff(np.concatenate((starts, [len(rows)])))
-            each = np.repeat(counts, counts)
-            rows, each = rows[each > 1], each[each > 1]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(rows), shard % (partitions * PARTS_EACH), np.int32)),
+                    pa.array(np.full(len(rows), shard % parts, np.int32)),
                     pa.array(rows["token"].astype(np.int64) + (np.int64(shard) << np.int64(32))),
-                    pa.array(rows["node"].view(np.int64)),
-                    pa.array(each.astype(np.int64)),
+                    pa.array(rows["node"].view(np.int64)) if len(rows) == 0 else pa.array(np.ascontiguousarray(rows["node"]).view(np.int64)),
+                    pa.array(size),
+                    pa.array((rows["n"] & SEED) > 0),
+                    pa.array(np.repeat(counts, counts).astype(np.int64)),
+                    pa.nulls(len(rows), kind),
+                    pa.nulls(len(rows), pa.binary()),
                 ],
-                ["part", "token", "node", "count"],
+                out,
             )
 
-    blocks = docs.select("text").mapInArrow(emit, PACKED)
-    return deal(blocks, partitions).mapInArrow(meet, "part int, token long, node long, count long")
+    names, out = ["shard", "block", "doc_id", "node", "n", "point"], ["part", "token", "node", "n", "seed", "count", "doc_id", "point"]
+    blocks = docs.select("doc_id", "text").mapInArrow(emit, f"shard int, block binary, doc_id {id_type}, node long, n long, point binary")
+    return deal(blocks, partitions).mapInArrow(meet, f"part int, token long, node long, n long, seed boolean, count long, doc_id {id_type}, point binary")
+
+
+def with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-#: How a document takes part in a token: PASSIVE only against OPEN, ACTIVE against ACTIVE and OPEN.
-PASSIVE, ACTIVE, OPEN = 0, 1, 2
+def open_tokens(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Tokens that links between components can still be found by, with least (tokens that the node shares with any
+    partner), large (its tokens of more than ``SMALL`` documents) and component."""
+    node = Window.partitionBy("node")
+    most = lambda limit: F.count(F.when(F.col("count") > limit, True)).over(node)
+    least = F.least(F.lit(1 + SLACK), F.ceil(F.col("n") * percent / 100)).cast("long")
+    counted = with_components(tokens.drop("seed"), labels).select("*", least.alias("least"), F.count("*").over(node).alias("listed"), most(SMALL).alias("large"), most(HOT).alias("hot"))
+    some = counted.where((F.col("listed") >= F.col("least")) & ((F.col("count") <= HOT) | (F.col("hot") >= F.col("least"))))
+    return some.drop("listed", "hot")
 
 
-def with_roles(tokens: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Token rows with a role; passive ones only where the token has open ones."""
-    cold = tokens.where(F.col("count") <= HOT).withColumn("role", F.lit(ACTIVE))
-    hot = tokens.where(F.col("count") > HOT)
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1
-    listed = F.least(F.col("n"), prefix + SLACK)
-    counted = hot.groupBy("node").agg(F.count("*").alias("hot")).join(points.select("node", "n"), "node")
-    role = F.when(listed - F.col("hot") >= prefix, PASSIVE).when(listed == F.col("n"), ACTIVE).otherwise(OPEN)
-    hot = hot.join(counted.select("node", role.alias("role")), "node")
-    open_tokens = hot.where(F.col("role") == OPEN).select("token").distinct().withColumn("open", F.lit(True))
-    hot = hot.join(open_tokens, "token", "left").where((F.col("role") != PASSIVE) | F.col("open"))
-    return cold.unionByName(hot.select(*tokens.columns, "role"))
+def counted_pairs(tokens: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share enough tokens of small groups and that the bound allows."""
+    small = SMALL
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("token", "node", "n", "component", "least", "large")
+        held = [np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in names]) for batch in batches if batch.num_rows]
+        if not held:
+            return
+        rows = np.concatenate(held, axis=1)
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        found = []
+        for step in range(1, min(small, rows.shape[1])):
+            i = np.flatnonzero(rows[0][step:] == rows[0][:-step])
+            x, y = rows[:, i], rows[:, i + step]
+            some = (x[3] != y[3]) & (100 * np.minimum(x[2], y[2]) >= percent * np.maximum(x[2], y[2]))
+            x, y = x[:, some], y[:, some]
+            needs = np.maximum(1, np.maximum(x[4], y[4]) - np.minimum(x[5], y[5]))
+            found.append(np.stack([np.minimum(x[1], y[1]), np.maximum(x[1], y[1]), needs]))
+        pairs = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+        new = np.concatenate(([True], (pairs[0][1:] != pairs[0][:-1]) | (pairs[1][1:] != pairs[1][:-1]))) if pairs.shape[1] else np.empty(0, bool)
+        starts = np.flatnonzero(new)
+        shared = np.diff(np.concatenate((starts, [pairs.shape[1]])))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*pairs[:, starts], shared)], ["a", "b", "needs", "shared"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = ([np.frombuffer(x.as_py(), np.uint8) for x in batch.column(c)] for c in ("p", "q"))
+            fits = [may_link(n, x, m, y, percent) for n, x, m, y in zip(batch.column("na").to_pylist(), p, batch.column("nb").to_pylist(), q)]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    rows = tokens.where(F.col("count") <= SMALL).repartition("part").select("token", "node", "n", "component", "least", "large")
+    pairs = rows.mapInArrow(run, "a long, b long, needs long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("needs").alias("needs"))
+    pairs = materialize(pairs.where("shared >= needs").select("a", "b"), "counted")
+    left = pairs.join(points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("p")), "a")
+    return left.join(points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("q")), "b").mapInArrow(bound, "a long, b long")
 
 
-def candidate_pairs(tokens: DataFrame, points: DataFrame, percent: int, labels: DataFrame | None = None, few: int = 0) -> DataFrame:
-    """Pairs (a, b) of nodes that the bound allows.
+def tree_pairs(rows: DataFrame, points: DataFrame, percent: int, few: int | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes that the bound allows, of the groups that share a token.
 
-    Without ``labels``: all pairs of small groups, and ties of large ones.  With ``labels`` (node, component):
-    all pairs of large groups whose components differ; with ``few``, of each document only so many with each
-    component that is larger in the group.
+    Without ``few``: all pairs of small groups, and ties of large ones.  Otherwise rows have a component and pairs
+    lie in different ones: all of these, or of each document only ``few`` with each component that is
+    larger in the group; a token whose group has more is a row (token, null).
     """
-    # an open document has more than SLACK hot tokens: a part of them will tie it
-    tying = (F.col("count") <= HOT) | (F.col("role") == ACTIVE) | (F.pmod(F.hash("token"), F.lit(TIE_EVERY)) == 0)
-    rows = tokens.where(tying & (F.col("role") != PASSIVE)) if labels is None else tokens.where(F.col("count") > SMALL)
-    nodes = rows.select("part", "node").distinct().join(points, "node")
-    nodes = nodes.withColumn("component", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    second, small, tied = few is not None, SMALL, TIED
+    rows = rows if second else rows.withColumn("component", F.col("node"))
+    nodes = rows.select("part", "node", "component").distinct().join(points, "node")
     empty = lambda kind: F.lit(None).cast(kind)
-    both = rows.select("part", "token", "node", "role", empty("long").alias("n"), empty("binary").alias("point"), empty("long").alias("component")).unionByName(
-        nodes.select("part", empty("long").alias("token"), "node", empty("int").alias("role"), "n", "point", "component")
+    both = rows.select("part", "token", "node", empty("long").alias("n"), empty("binary").alias("point"), empty("long").alias("component")).unionByName(
+        nodes.select("part", empty("long").alias("token"), "node", "n", "point", "component")
     )
-    second = labels is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, point, component, held = {}, {}, {}, []
@@ -356,66 +421,88 @@ def candidate_pairs(tokens: DataFrame, points: DataFrame, percent: int, labels:
             for node, n, p, c in zip(*(info.column(x).to_pylist() for x in ("node", "n", "point", "component"))):
                 size[node], point[node], component[node] = n, np.frombuffer(p, np.uint8), c
             rest = batch.filter(pa.array(~is_node))
-            held.append(np.stack([rest.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("token", "node", "role")], axis=1))
-        table = np.concatenate(held) if held else np.empty((0, 3), np.int64)
+            held.append(np.stack([rest.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("token", "node")], axis=1))
+        table = np.concatenate(held) if held else np.empty((0, 2), np.int64)
         table = table[np.lexsort((table[:, 1], table[:, 0]))]
         starts = np.flatnonzero(np.concatenate(([True], table[1:, 0] != table[:-1, 0]))) if len(table) else []
         tried: set[tuple[int, int]] = set()
         out: list[tuple[int, int]] = []
 
-        def offer(a: int, b: int) -> None:
+        def offer(a: int, b: int, sure: bool = False) -> None:
             pair = (a, b) if a < b else (b, a)
             if pair not in tried:
                 tried.add(pair)
-                if may_link(size[a], point[a], size[b], point[b], percent):
+                if sure or may_link(size[a], point[a], size[b], point[b], percent):
                     out.append(pair)
 
         for start, stop in zip(starts, [*starts[1:], len(table)]):
-            group, roles = table[start:stop, 1].tolist(), table[start:stop, 2]
-            if len(group) <= SMALL:
+            group = table[start:stop, 1].tolist()
+            if len({component[x] for x in group}) == 1:
+                continue
+            if len(group) <= small:
                 for i, a in enumerate(group):
                     for b in group[i + 1 :]:
                         if component[a] != component[b]:
                             offer(a, b)
             elif not second:
-                for i, j in tie(np.array([size[x] for x in group], np.int64), [point[x] for x in group], percent):
-                    offer(group[i], group[j])
-            elif len({component[x] for x in group}) > 1:
-                sizes = np.array([size[x] for x in group], np.int64)
-                asking, tree = np.flatnonzero(roles != PASSIVE), CountTree(sizes, [point[x] for x in group], percent)
-                count = Counter(component[x] for x in group)
-                for i in asking.tolist():
-                    a, c, taken = group[i], component[group[i]], Counter()
-                    for j in tree.near(i).tolist():
-                        d = component[group[j]]
-                        if d != c and (roles[i] == OPEN or roles[j] != PASSIVE):
-                            if few:
-                                if (count[d], d) < (count[c], c) or taken[d] == few:
-                                    continue
-                                taken[d] += 1
-                            pair = (a, group[j]) if a < group[j] else (group[j], a)
-                            if pair not in tried:
-                                tried.add(pair)
-                                out.append(pair)
+                group.sort(key=size.__getitem__)
+                for k in range(0, len(group), tied):
+                    some = group[k : k + tied]
+                    for i, j in tie(np.array([size[x] for x in some], np.int64), [point[x] for x in some], percent):
+                        offer(some[i], some[j])
+                    if k:
+                        offer(group[k - 1], group[k])
+            else:
+                tree = CountTree(np.array([size[x] for x in group], np.int64), [point[x] for x in group], percent)
+                of = np.array([component[x] for x in group], np.int64)
+                count = Counter(of.tolist())
+                largest = max((n, c) for c, n in count.items())[1]
+                capped = False
+                for i in np.flatnonzero(of != largest).tolist():  # pairs of the largest are found from their other ends
+                    near, c, taken = tree.near(i), int(of[i]), Counter()
+                    for j in near[of[near] != c].tolist():
+                        d = int(of[j])
+                        if few:
+                            if (count[d], d) < (count[c], c):
+                                continue
+                            if taken[d] == few:
+                                capped = True
+                                continue
+                            taken[d] += 1
+                        offer(group[i], group[j], True)
+                if capped:
+                    out.append((int(table[start, 0]), None))
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return both.repartition("part").mapInArrow(run, "a long, b long").distinct()
 
 
+def with_bit(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be in ``wanted``: a filter of a fixed size, broadcast; some others pass."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    place, number = (bit % BITMAP).alias("place"), F.floor(bit / BITMAP).cast("int").alias("number")
+    bitmaps = wanted.select(place, number).groupBy("number").agg(F.bitmap_construct_agg("place").alias("bitmap"))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = docs.select("*", place, number).join(F.broadcast(bitmaps), "number")
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(place % 8 as int))")) != 0).select(*docs.columns)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, summary: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose sets reach the similarity; sets are made of one document of each node in a pair."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     some = summary.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node").select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, DOCS_AT_ONCE) for b in batches for i in range(0, b.num_rows, DOCS_AT_ONCE)):
             sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             values = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
             keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "hashes"])
 
-    wanted = docs.select("doc_id", "text").join(some, docs["doc_id"].eqNullSafe(some["doc_id"]), "left_semi")
+    some = materialize(some, "wanted")
+    near = with_bit(docs.select("doc_id", "text"), some)
+    wanted = near.join(some, near["doc_id"].eqNullSafe(some["doc_id"]), "left_semi")
     sets = materialize(wanted.select("text").mapInArrow(run, "node long, hashes array<long>").join(nodes, "node", "left_semi"), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
@@ -425,17 +512,25 @@ def verified(pairs: DataFrame, docs: DataFrame, summary: DataFrame, words: int,
 
 def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
-    summary = materialize(summaries(docs, words), "summaries")
+    found = materialize(scan(docs, words, percent), "scan")
+    summary = found.where("token is null").select("doc_id", "node", "n", "point")
+    tokens = found.where("token is not null").select("part", "token", "node", "n", "seed", "count")
     points = materialize(summary.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point")), "points")
-    tokens = materialize(shared_tokens(docs, words, percent), "tokens")
-    tokens = materialize(with_roles(tokens, points, percent), "roles")
-    first = materialize(candidate_pairs(tokens, points, percent), "pairs")
-    links = materialize(verified(first, docs, summary, words, percent), "verified")
+    tried = materialize(tree_pairs(tokens.where("seed"), points, percent), "pairs")
+    links = materialize(verified(tried, docs, summary, words, percent), "verified")
     labels = materialize(components(links), "labels")
-    tried = first
-    # what ties missed: first a few pairs with each larger component, then all that still differ
-    for few in (FEW, 0):
-        more = materialize(candidate_pairs(tokens, points, percent, labels, few).join(tried, ["a", "b"], "left_anti"), "pairs")
+    tokens = materialize(open_tokens(tokens, labels, percent), "tokens")
+    large = tokens.where(F.col("count") > SMALL)
+    # what ties missed: counted pairs and a few with each larger component, then all that still differ
+    some = materialize(tree_pairs(large, points, percent, FEW), "few")
+    capped = some.where("b is null").select(F.col("a").alias("token")).distinct()
+    pairs = some.where("b is not null").union(counted_pairs(tokens, points, percent)).distinct()
+    for last in (False, True):
+        if last:
+            if not capped.take(1):
+                break
+            pairs = tree_pairs(with_components(large.drop("component").join(capped, "token", "left_semi"), labels), points, percent, 0)
+        more = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.take(1):
             tried = tried.union(more)
             links = links.union(materialize(verified(more, docs, summary, words, percent), "verified"))
