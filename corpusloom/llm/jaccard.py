@@ -60,7 +60,6 @@ FINE_GROUPS = 256
 MAX_GROUPS = 4096
 SHARDS_EACH = 8
 PARTS_EACH = 4
-CACHE_ENTRIES = 150_000
 DOCS_AT_ONCE = 4096
 #: Bits of the filter that says whose texts are read again; it is broadcast and takes 1 MB at most.
 FILTER_BITS = 1 << 23
@@ -71,23 +70,12 @@ TOKEN = np.dtype([("token", "<u4"), ("node", "<u8"), ("n", "<u4")])
 SEED = np.uint32(1 << 31)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_digest(word)
-        return found
-
-
-_hashes = WordHashes()
-
-
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a text."""
     split = (text or "").encode().lower().split()
     if not split:
         return np.empty(0, np.uint64)
-    h = np.frombuffer(b"".join(map(_hashes.__getitem__, split)), np.uint64)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, split)), np.uint64)
     k = min(words, len(h))
     total = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):

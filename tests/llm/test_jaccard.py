@@ -84,3 +84,19 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
     want = {i: -5 for i in [*range(41), -5]} | {i: 100 for i in range(100, 300)}
     assert got == want
+
+
+def test_a_common_line_sends_no_document_on(spark, monkeypatch):
+    line = "this very line is in nearly every text of all"
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(100)) + "\n" + line) for i in range(30)]
+    counts, write = {}, jaccard.materialize
+
+    def counting(df, label="stage"):
+        written = write(df, label)
+        counts[label] = written.count()
+        return written
+
+    monkeypatch.setattr(jaccard, "materialize", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.similarity_classes(docs).collect()) == [(i, i) for i in range(30)]
+    assert counts["tokens"] == 0
