@@ -9,15 +9,15 @@ is too small.  What the bound leaves is verified on the sets.
 Points of unrelated documents have no locality that one tree over all of them could use: an R-tree node of
 unrelated points bounds nothing (README has the argument).  So the trees are built for the documents that
 share a token.  Of the sorted hashes of a set of n, the first n - ceil(0.75 n) + 1 + ``SLACK`` are listed as its
-tokens: two linked sets have at least ``least_shared`` = min(1 + SLACK, ceil(0.75 n)) of them in common, for the n
+tokens: two linked sets have at least ``least`` = min(1 + SLACK, ceil(0.75 n)) of them in common, for the n
 of either.  Tokens are dealt out as packed blocks; those that no two documents of fitting sizes have go at once, and then
-the documents with fewer than ``least_shared`` tokens left.  A document with fewer than that many tokens of more
+the documents with fewer than ``least`` tokens left.  A document with fewer than that many tokens of more
 than ``HOT`` documents meets all its partners in the other tokens, and leaves the hot ones.
 
 Links are found in steps.  First, documents that share one of their ``SEEDS`` smallest hashes are tied, each to
 the middle of its neighbourhood, and verified.  Nearly all copies are one component then, and whatever lies inside a
 component needs no further work.  Of the rest, tokens of up to ``SMALL`` documents give pairs that are counted over
-all tokens: less than ``least_shared`` is no link.  In larger ones a few pairs with each other component are
+all tokens: less than ``least`` is no link.  In larger ones a few pairs with each other component are
 tried, and only then, pairs that still lie in different components are enumerated.  Groups are not expanded
 into all pairs.
 
@@ -99,11 +99,6 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def least_shared(n: int, percent: int, slack: int) -> int:
-    """Listed tokens that a set of n has in common with any set it links with."""
-    return min(1 + slack, -(-percent * n // 100))
-
-
 def group_counts(hashes: np.ndarray) -> bytes:
     """Counts by group, one byte each; a power of two of groups.
 
