@@ -17,9 +17,10 @@ than ``HOT`` documents meets all its partners in the other tokens, and leaves th
 Links are found in steps.  First, documents that share one of their ``SEEDS`` smallest hashes are tied, each to
 the middle of its neighbourhood, and verified.  Nearly all copies are one component then, and whatever lies inside a
 component needs no further work.  Of the rest, tokens of up to ``SMALL`` documents give pairs that are counted over
-all tokens: less than ``least`` is no link.  In larger ones a few pairs with each other component are
-tried, and only then, pairs that still lie in different components are enumerated.  Groups are not expanded
-into all pairs.
+all tokens: less than ``least`` is no link.  Linked sets without such a token share ``least`` larger ones, so each
+document leaves its ``least`` - 1 most common of them, and two documents meet in the first that both have left only.
+There a few pairs with each larger component are tried, and only then, pairs that still lie in different
+components are enumerated.  Groups are not expanded into all pairs.
 
 Equal sets are one node from the start (its key is a 64-bit hash of the set; shingles are 64-bit hashes).
 Defined cases: texts with fewer than five words have their whole word sequence as one shingle; null texts
@@ -30,7 +31,6 @@ not looked at.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +56,8 @@ FEW = 3
 #: Points of an R-tree leaf, and children of an inner node.
 PAGE = 128
 CHILDREN = 16
+#: Cells of a matrix that a task holds of a group's tokens or pairs.
+CELLS = 1 << 22
 FINE_GROUPS = 256
 MAX_GROUPS = 4096
 SHARDS_EACH = 8
@@ -185,14 +187,14 @@ class CountTree:
             top = np.stack([folded(t, groups) for t in tops]).max(axis=0)
         return min(c[0] for c in children), max(c[1] for c in children), top, children, None
 
-    def near(self, i: int) -> np.ndarray:
-        """Places of all other points that may reach the similarity with point i."""
+    def near(self, i: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Places of all other points, or of those that ``among`` marks, that may reach the similarity with point i."""
         if self.matrix is not None:
-            return np.flatnonzero(self.matrix[i])
-        found = self.search(int(self.sizes[i]), self.points[i])
+            return np.flatnonzero(self.matrix[i] if among is None else self.matrix[i] & among)
+        found = self.search(int(self.sizes[i]), self.points[i], among)
         return found[found != i]
 
-    def search(self, n: int, point: np.ndarray) -> np.ndarray:
+    def search(self, n: int, point: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
         found, todo, percent = [], list(self.top), self.percent
         while todo:
             low, high, top, inside, matrix = todo.pop()
@@ -208,6 +210,8 @@ class CountTree:
                 continue
             sizes = self.sizes[inside]
             fits = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
+            if among is not None:
+                fits &= among[inside]
             if bounded and fits.any():
                 inside, sizes, rows = inside[fits], sizes[fits], matrix[fits]
                 groups = min(rows.shape[1], len(point))
@@ -217,6 +221,34 @@ class CountTree:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
+def met_before(lists: list[np.ndarray], token: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows, some at a time, of the matrix of those members of a token's group that share a smaller token as well.
+
+    ``lists`` has the sorted tokens of each member.  The tokens that most members have are multiplied as a matrix.
+    """
+    size = len(lists)
+    lists = [x[: np.searchsorted(x, token)] for x in lists]
+    owner = np.repeat(np.arange(size), [len(x) for x in lists])
+    _, column, holders = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    rank = np.argsort(np.argsort(-holders, kind="stable"))  # of the columns, the most common first
+    wide = min(int((holders > 1).sum()), CELLS // size)
+    held = np.zeros((size, wide), np.float32)
+    dense = rank[column] < wide
+    held[owner[dense], rank[column[dense]]] = 1
+    rest = ~dense & (holders[column] > 1)
+    owner, column = owner[rest], column[rest]
+    order = np.argsort(column, kind="stable")
+    members, of = owner[order], column[order]  # owners of each other column side by side
+    step = max(1, CELLS // size)
+    for start in range(0, size, step):
+        met = held[start : start + step] @ held.T > 0
+        some = np.flatnonzero((owner >= start) & (owner < start + step))
+        low, high = np.searchsorted(of, column[some]), np.searchsorted(of, column[some], "right")
+        for i, x, y in zip((owner[some] - start).tolist(), low.tolist(), high.tolist()):
+            met[i, members[x:y]] = True
+        yield start, met
+
+
 def tie(sizes: np.ndarray, points: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs that tie every point to the middle of its neighbourhood, breadth first over what the bound allows."""
     tree, fresh, pairs = CountTree(sizes, points, percent), np.ones(len(points), bool), []
@@ -342,7 +374,7 @@ def open_tokens(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     return some.drop("listed", "hot")
 
 
-def counted_pairs(tokens: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def counted_pairs(tokens: DataFrame, points: DataFrame, percent: int, partitions: int) -> DataFrame:
     """Pairs of different components that share enough tokens of small groups and that the bound allows."""
     small = SMALL
 
@@ -374,60 +406,95 @@ def counted_pairs(tokens: DataFrame, points: DataFrame, percent: int) -> DataFra
             fits = [may_link(n, x, m, y, percent) for n, x, m, y in zip(batch.column("na").to_pylist(), p, batch.column("nb").to_pylist(), q)]
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    rows = tokens.where(F.col("count") <= SMALL).repartition("part").select("token", "node", "n", "component", "least", "large")
+    rows = tokens.where(F.col("count") <= SMALL).repartition(partitions, "part").select("token", "node", "n", "component", "least", "large")
     pairs = rows.mapInArrow(run, "a long, b long, needs long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("needs").alias("needs"))
     pairs = materialize(pairs.where("shared >= needs").select("a", "b"), "counted")
     left = pairs.join(points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("p")), "a")
     return left.join(points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("q")), "b").mapInArrow(bound, "a long, b long")
 
 
-def tree_pairs(rows: DataFrame, points: DataFrame, percent: int, few: int | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes that the bound allows, of the groups that share a token.
+def first_tokens(tokens: DataFrame) -> DataFrame:
+    """Node, its ``kept`` tokens (part, token) and their sorted ``list``: of the tokens of large groups all but the
+    ``least`` - 1 of the most documents.  Two linked nodes that share no token of a small group both keep one of them."""
+    large = tokens.where((F.col("count") > SMALL) & (F.col("large") >= F.col("least")))
+    ordered = F.sort_array(F.collect_list(F.struct("count", "token", "part"))).alias("all")
+    some = large.groupBy("node").agg(ordered, F.first(F.col("large") - F.col("least") + 1).cast("int").alias("first"))
+    kept = some.select("node", F.expr("transform(slice(all, 1, first), x -> struct(x.part as part, x.token as token))").alias("kept"))
+    return kept.withColumn("list", F.sort_array("kept.token"))
+
 
-    Without ``few``: all pairs of small groups, and ties of large ones.  Otherwise rows have a component and pairs
-    lie in different ones: all of these, or of each document only ``few`` with each component that is
-    larger in the group; a token whose group has more is a row (token, null).
+def tree_pairs(rows: DataFrame, points: DataFrame, percent: int, partitions: int, few: int | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes that the bound allows, of the groups that share a token of those in ``kept``.
+
+    Without ``few``: all pairs of small groups, and ties of large ones.  Otherwise rows have a component and a list, pairs
+    lie in different components and are those that have no smaller token in both lists: all of these, or of each document
+    only ``few`` with each component that is larger in the group; a token whose group has more is a row (token, null).
     """
     second, small, tied = few is not None, SMALL, TIED
-    rows = rows if second else rows.withColumn("component", F.col("node"))
-    nodes = rows.select("part", "node", "component").distinct().join(points, "node")
+    rows = rows if second else rows.select("*", F.col("node").alias("component"), F.lit(None).cast("array<long>").alias("list"))
     empty = lambda kind: F.lit(None).cast(kind)
-    both = rows.select("part", "token", "node", empty("long").alias("n"), empty("binary").alias("point"), empty("long").alias("component")).unionByName(
-        nodes.select("part", empty("long").alias("token"), "node", "n", "point", "component")
-    )
+    nodes = rows.join(points, "node").select(F.explode(F.array_distinct("kept.part")).alias("part"), empty("long").alias("token"), "node", "n", "point", "component", "list")
+    dealt = rows.select("node", F.explode("kept").alias("k")).select("k.part", "k.token", "node", empty("long").alias("n"), empty("binary").alias("point"), empty("long").alias("component"), empty("array<long>").alias("list"))
+    both = dealt.unionByName(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, point, component, held = {}, {}, {}, []
+        size, point, component, lists, held = {}, {}, {}, {}, []
         for batch in batches:
             is_node = np.asarray(batch.column("token").is_null())
             info = batch.filter(pa.array(is_node))
-            for node, n, p, c in zip(*(info.column(x).to_pylist() for x in ("node", "n", "point", "component"))):
+            for node, n, p, c, x in zip(*(info.column(x).to_pylist() for x in ("node", "n", "point", "component")), info.column("list")):
                 size[node], point[node], component[node] = n, np.frombuffer(p, np.uint8), c
+                if second:
+                    lists[node] = x.values.to_numpy()
             rest = batch.filter(pa.array(~is_node))
             held.append(np.stack([rest.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("token", "node")], axis=1))
         table = np.concatenate(held) if held else np.empty((0, 2), np.int64)
         table = table[np.lexsort((table[:, 1], table[:, 0]))]
         starts = np.flatnonzero(np.concatenate(([True], table[1:, 0] != table[:-1, 0]))) if len(table) else []
         tried: set[tuple[int, int]] = set()
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int | None]] = []
 
-        def offer(a: int, b: int, sure: bool = False) -> None:
+        def offer(a: int, b: int) -> None:
             pair = (a, b) if a < b else (b, a)
             if pair not in tried:
                 tried.add(pair)
-                if sure or may_link(size[a], point[a], size[b], point[b], percent):
+                if may_link(size[a], point[a], size[b], point[b], percent):
                     out.append(pair)
 
+        def first_meetings(token: int, group: list[int]) -> None:
+            sizes, of = (np.array([x[node] for node in group], np.int64) for x in (size, component))
+            ids, place, count = np.unique(of, return_inverse=True, return_counts=True)
+            rank = np.argsort(np.lexsort((ids, count)))[place]  # pairs are found from the end in the smaller component
+            tree, capped = None, False
+            for start, met in met_before([lists[node] for node in group], token):
+                part = slice(start, start + len(met))
+                fits = 100 * np.minimum.outer(sizes[part], sizes) >= percent * np.maximum.outer(sizes[part], sizes)
+                wanted = fits & ~met & (rank[part, None] < rank)
+                for i in np.flatnonzero(wanted.any(axis=1)).tolist():
+                    tree = tree or CountTree(sizes, [point[node] for node in group], percent)
+                    near = tree.near(start + i, wanted[i])
+                    if few:
+                        near = near[np.argsort(of[near], kind="stable")]
+                        new = np.flatnonzero(np.diff(of[near], prepend=of[near][:1] - 1))
+                        taken = np.arange(len(near)) - np.repeat(new, np.diff(new, append=len(near))) < few
+                        near, capped = near[taken], capped or not taken.all()
+                    for j in near.tolist():
+                        a, b = group[start + i], group[j]
+                        out.append((a, b) if a < b else (b, a))
+            if capped:
+                out.append((token, None))
+
         for start, stop in zip(starts, [*starts[1:], len(table)]):
             group = table[start:stop, 1].tolist()
             if len({component[x] for x in group}) == 1:
                 continue
-            if len(group) <= small:
+            if second:
+                first_meetings(int(table[start, 0]), group)
+            elif len(group) <= small:
                 for i, a in enumerate(group):
                     for b in group[i + 1 :]:
-                        if component[a] != component[b]:
-                            offer(a, b)
-            elif not second:
+                        offer(a, b)
+            else:
                 group.sort(key=size.__getitem__)
                 for k in range(0, len(group), tied):
                     some = group[k : k + tied]
@@ -435,29 +502,10 @@ def tree_pairs(rows: DataFrame, points: DataFrame, percent: int, few: int | None
                         offer(some[i], some[j])
                     if k:
                         offer(group[k - 1], group[k])
-            else:
-                tree = CountTree(np.array([size[x] for x in group], np.int64), [point[x] for x in group], percent)
-                of = np.array([component[x] for x in group], np.int64)
-                count = Counter(of.tolist())
-                largest = max((n, c) for c, n in count.items())[1]
-                capped = False
-                for i in np.flatnonzero(of != largest).tolist():  # pairs of the largest are found from their other ends
-                    near, c, taken = tree.near(i), int(of[i]), Counter()
-                    for j in near[of[near] != c].tolist():
-                        d = int(of[j])
-                        if few:
-                            if (count[d], d) < (count[c], c):
-                                continue
-                            if taken[d] == few:
-                                capped = True
-                                continue
-                            taken[d] += 1
-                        offer(group[i], group[j], True)
-                if capped:
-                    out.append((int(table[start, 0]), None))
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return both.repartition("part").mapInArrow(run, "a long, b long").distinct()
+    pairs = both.repartition(partitions, "part").mapInArrow(run, "a long, b long")
+    return pairs if second else pairs.distinct()
 
 
 def with_bit(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -499,20 +547,23 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     summary = found.where("token is null").select("doc_id", "node", "n", "point")
     tokens = found.where("token is not null").select("part", "token", "node", "n", "seed", "count")
     points = materialize(summary.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point")), "points")
-    tried = materialize(tree_pairs(tokens.where("seed"), points, percent), "pairs")
+    partitions = partitions_for(docs)
+    seeds = tokens.where("seed").groupBy("node").agg(F.collect_list(F.struct("part", "token")).alias("kept"))
+    tried = materialize(tree_pairs(materialize(seeds, "seeds"), points, percent, partitions), "pairs")
     links = materialize(verified(tried, docs, summary, words, percent), "verified")
     labels = materialize(components(links), "labels")
     tokens = materialize(open_tokens(tokens, labels, percent), "tokens")
-    large = tokens.where(F.col("count") > SMALL)
+    large = materialize(first_tokens(tokens), "large")
     # what ties missed: counted pairs and a few with each larger component, then all that still differ
-    some = materialize(tree_pairs(large, points, percent, FEW), "few")
+    some = materialize(tree_pairs(with_components(large, labels), points, percent, partitions, FEW), "few")
     capped = some.where("b is null").select(F.col("a").alias("token")).distinct()
-    pairs = some.where("b is not null").union(counted_pairs(tokens, points, percent)).distinct()
+    pairs = some.where("b is not null").union(counted_pairs(tokens, points, percent, partitions)).distinct()
     for last in (False, True):
         if last:
             if not capped.take(1):
                 break
-            pairs = tree_pairs(with_components(large.drop("component").join(capped, "token", "left_semi"), labels), points, percent, 0)
+            left = large.select("node", F.explode("kept").alias("k")).join(capped, F.col("k.token") == capped["token"], "left_semi").groupBy("node").agg(F.collect_list("k").alias("kept"))
+            pairs = tree_pairs(with_components(left.join(large.drop("kept"), "node"), labels), points, percent, partitions, 0)
         more = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.take(1):
             tried = tried.union(more)

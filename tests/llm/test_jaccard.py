@@ -100,3 +100,51 @@ def test_a_common_line_sends_no_document_on(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((r.doc_id, r.component_id) for r in jaccard.similarity_classes(docs).collect()) == [(i, i) for i in range(30)]
     assert counts["tokens"] == 0
+
+
+def family(seed, n):
+    """Copies of one text that are hardly linked, and of another that are."""
+    rng = random.Random(seed)
+    rows = []
+    for tag, share in (("u", 0.065), ("v", 0.02)):
+        base = [f"{tag}{k}" for k in range(240)]
+        rows += [" ".join(f"{tag}{i}-{k}" if rng.random() < share else w for k, w in enumerate(base)) for i in range(n)]
+    return list(enumerate(rows))
+
+
+def test_two_documents_of_a_family_meet_once(spark, monkeypatch):
+    rows, made = family(3, 40), []
+    spread_out = "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(jaccard, "PARTS_EACH", 16)
+    kind = type(spark.range(1))
+    run = kind.mapInArrow
+
+    def recording(self, fn, schema, *args, **more):
+        out = run(self, fn, schema, *args, **more)
+        if schema == "a long, b long" and "part" in self.columns:
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", recording)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set(spread_out, "false")
+    try:
+        got = [tuple(r) for r in jaccard.similarity_classes(docs).collect()]
+        pairs = [df.collect() for df in made[1:]]  # the first are ties
+    finally:
+        spark.conf.unset(spread_out)
+    assert sorted(got, key=str) == brute(rows)
+    assert len(pairs[0]) > 20 and all(len(found) == len(set(found)) for found in pairs)
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 700, 60])
+def test_each_pair_has_one_first_meeting(monkeypatch, cells):
+    monkeypatch.setattr(jaccard, "CELLS", cells)
+    rng = np.random.default_rng(5)
+    lists = [np.sort(rng.choice(60, rng.integers(1, 30), replace=False)).astype(np.int64) for _ in range(50)]
+    seen = np.zeros((50, 50), int)
+    for token in range(60):
+        group = [i for i in range(50) if token in lists[i]]
+        if group:
+            seen[np.ix_(group, group)] += ~np.concatenate([met for _, met in jaccard.met_before([lists[i] for i in group], token)])
+    assert (seen == [[bool(set(a) & set(b)) for b in lists] for a in lists]).all()
